@@ -45,3 +45,4 @@ def with_ctes(*ctes: str) -> str:
 # import the query modules so their ``register`` calls run
 from vitalis.plans import queries_clean as _qc  # noqa: E402,F401
 from vitalis.plans import queries_explore as _qe  # noqa: E402,F401
+from vitalis.plans import queries_evaluate as _qv  # noqa: E402,F401

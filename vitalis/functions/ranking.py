@@ -84,11 +84,8 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, weights: list[str],
     work = df.withColumn(key, (-col(order) if descending else col(order)).cast("double"))
     if uniform_unit:
         nb = buckets or _default_buckets(df)
-        s = -1.0 if descending else 1.0
-        work = work.withColumn("_bucket", F.floor((F.lit(s) * F.col(key) + F.lit(1.0 if descending else 0.0))
-                                                  * F.lit(nb)).cast("int"))
-        if descending:
-            work = work.withColumn("_bucket", F.lit(nb - 1) - F.col("_bucket"))
+        raw = F.least(F.floor(col(order).cast("double") * F.lit(nb)), F.lit(nb - 1)).cast("int")
+        work = work.withColumn("_bucket", (F.lit(nb - 1) - raw) if descending else raw)
     else:
         work = bucket_ids(work, by, key, buckets)
     gcols = [col(b) for b in by]
@@ -131,13 +128,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
                .withColumn("_lo", F.floor("_pos").cast("long"))
                .withColumn("_frac", F.col("_pos") - F.col("_lo"))
                .withColumn("_k", F.explode(F.array(F.col("_lo"), F.least(F.col("_lo") + 1, F.col("_n") - 1)))))
-    cond = [pre[b] == targets[b] for b in by] if by else []
-    hit = targets.alias("t").join(
+    # targets: groups x probs x 2 rows — broadcast is bounded by the group count
+    hit = F.broadcast(targets).alias("t").join(
         pre.alias("p"),
         on=[*[F.col(f"t.{b}").eqNullSafe(F.col(f"p.{b}")) for b in by],
             F.col("p.cnt_before") <= F.col("t._k"), F.col("t._k") < F.col("p.cnt_before") + F.col("p.cnt")],
         how="inner")
-    del cond
     picked = hit.select(*[F.col(f"t.{b}").alias(b) for b in by], "t._pi", "t._frac", "t._lo", "t._k",
                         F.col(f"p.{value}").cast("double").alias("_v"))
     per_p = picked.groupBy(*gcols, "_pi", "_frac").agg(
@@ -149,3 +145,24 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
         F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(f"{name}_{i}") for i in range(len(probs))
     ])
     return wide
+
+
+def hash_rank(df: DataFrame, by: list[str], u: str, out: str = "hash_rank") -> DataFrame:
+    """1-based rank of each row inside its group by an md5 fraction column
+    ``u`` (uniform on [0, 1), distinct per row): bucketed prefix counts, no
+    group-wide window."""
+    counted = df.withColumn("_one", F.lit(1))
+    pre = prefix_sums(counted, by, u, ["_one"], uniform_unit=True)
+    return pre.withColumn(out, (F.col("_one_before") + 1).cast("long")).drop("_one", "_one_before")
+
+
+def smallest_n(df: DataFrame, by: list[str], u: str, n_by_group: DataFrame, n_col: str = "n_take") -> DataFrame:
+    """Rows whose hash rank inside the group is <= the group's quota
+    (``n_by_group``: one row per group, broadcast — bounded by group count)."""
+    ranked = hash_rank(df, by, u, "_hr")
+    if by:
+        ranked = ranked.join(F.broadcast(n_by_group.select(*by, n_col)), on=by, how="inner")
+    else:
+        ranked = ranked.withColumn("_k0", F.lit(0)).join(
+            F.broadcast(n_by_group.select(n_col).withColumn("_k0", F.lit(0))), on="_k0").drop("_k0")
+    return ranked.where(F.col("_hr") <= F.col(n_col)).drop("_hr", n_col)

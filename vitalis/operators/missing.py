@@ -57,3 +57,47 @@ def feature_medians(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def medians_dict(df: DataFrame, cols: list[str]) -> dict[str, float]:
     """M4 collected: one number per feature."""
     return {r["column"]: r["median"] for r in feature_medians(df, cols).collect()}
+
+
+# --- M2 ----------------------------------------------------------------------
+def knn_impute(df: DataFrame, key: str, cols: list[str] | None = None, k: int = 5,
+               grid_cols: list[str] | None = None) -> DataFrame:
+    """M2: k-nearest-neighbour imputation (uniform weights) over ``cols`` with
+    the NaN-aware Euclidean distance; donors for a column are the rows that
+    have it; a receiver without any comparable donor gets the column mean.
+
+    One exact grid k-NN join serves all columns: receivers are exploded to one
+    row per missing column, donors to one row per present column, and the
+    column name is the join group. Grid columns default to the two columns with
+    the fewest missing cells (complete columns make the grid bound tight)."""
+    from vitalis.operators.neighbours import knn_join
+
+    cols = cols if cols is not None else [c for c in numeric_columns(df) if c != key]
+    base = df.select(col(key).alias("_key"), *[as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)])
+    feats = [f"_x{i}" for i in range(len(cols))]
+    if grid_cols is None:
+        nulls = base.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in feats]).first()
+        grid = sorted(feats, key=lambda f: (nulls[f], feats.index(f)))[:2]
+    else:
+        grid = [feats[cols.index(g)] for g in grid_cols]
+    q = base.select("_key", *feats, F.explode(F.array(*[
+        F.when(F.col(f).isNull(), F.lit(i)) for i, f in enumerate(feats)])).alias("_col")).where(F.col("_col").isNotNull())
+    q = q.withColumn("_qid", F.concat_ws("|", F.col("_col").cast("string"), F.col("_key").cast("string")))
+    p = base.select("_key", *feats, F.explode(F.array(*[
+        F.when(F.col(f).isNotNull(), F.struct(F.lit(i).alias("c"), F.col(f).alias("v"))) for i, f in enumerate(feats)
+    ])).alias("_cv")).where(F.col("_cv").isNotNull()).select(
+        "_key", *feats, F.col("_cv.c").alias("_col"), F.col("_cv.v").alias("_val"))
+    nn = knn_join(q, p, qkey="_qid", pkey="_key", features=feats, k=k, group="_col", nan_euclidean=True,
+                  grid_cols=grid, carry=["_val"])
+    means = base.agg(*[F.avg(f).alias(f) for f in feats]).first()  # one number per column
+    filled = (q.select("_qid", "_key", "_col")
+              .join(nn.groupBy("query_key").agg(F.avg("_val").alias("_imp")),
+                    F.col("_qid") == F.col("query_key"), "left"))
+    fallback = F.element_at(F.array(*[F.lit(means[f]).cast("double") for f in feats]), F.col("_col") + 1)
+    filled = filled.select("_key", "_col", F.coalesce(F.col("_imp"), fallback).alias("_imp"))
+    wide = filled.groupBy("_key").agg(*[F.max(F.when(F.col("_col") == i, F.col("_imp"))).alias(f"_i{i}")
+                                        for i in range(len(cols))])
+    out = df.join(wide, df[key] == wide["_key"], "left")
+    return out.select(*[
+        F.coalesce(as_double(c), F.col(f"_i{cols.index(c)}")).alias(c) if c in cols else df[c] for c in df.columns
+    ])

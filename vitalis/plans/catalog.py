@@ -46,3 +46,4 @@ def with_ctes(*ctes: str) -> str:
 from vitalis.plans import queries_clean as _qc  # noqa: E402,F401
 from vitalis.plans import queries_explore as _qe  # noqa: E402,F401
 from vitalis.plans import queries_evaluate as _qv  # noqa: E402,F401
+from vitalis.plans import queries_prep as _qp  # noqa: E402,F401

@@ -49,3 +49,4 @@ from vitalis.plans import queries_evaluate as _qv  # noqa: E402,F401
 from vitalis.plans import queries_prep as _qp  # noqa: E402,F401
 from vitalis.plans import queries_models as _qm  # noqa: E402,F401
 from vitalis.plans import queries_score as _qs  # noqa: E402,F401
+from vitalis.plans import queries_io as _qi  # noqa: E402,F401

@@ -76,8 +76,11 @@ def knn_impute(df: DataFrame, key: str, cols: list[str] | None = None, k: int =
     base = df.select(col(key).alias("_key"), *[as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)])
     feats = [f"_x{i}" for i in range(len(cols))]
     if grid_cols is None:
-        nulls = base.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in feats]).first()
-        grid = sorted(feats, key=lambda f: (nulls[f], feats.index(f)))[:2]
+        # complete columns keep the grid bound valid for every donor; among the
+        # most complete ones prefer the widest spread (the bound is in raw units)
+        st = base.agg(*[F.count_if(F.col(f).isNull()).alias(f"n{f}") for f in feats],
+                      *[F.stddev_pop(f).alias(f"s{f}") for f in feats]).first()
+        grid = sorted(feats, key=lambda f: (st[f"n{f}"], -(st[f"s{f}"] or 0.0), feats.index(f)))[:2]
     else:
         grid = [feats[cols.index(g)] for g in grid_cols]
     q = base.select("_key", *feats, F.explode(F.array(*[

@@ -103,12 +103,12 @@ def build_pipeline(model_type: str, features: list[str], params: dict, n_train:
         depth = p.get("depth", 10)
         clf = RandomForestClassifier(numTrees=int(p.get("trees", 100)), maxDepth=30 if depth is None else int(min(depth, 30)),
                                      minInstancesPerNode=max(1, math.ceil(int(p.get("min_samples_split", 2)) / 2)),
-                                     seed=seed)
+                                     seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
         return Pipeline(stages=[_assembler(features), clf])
     if model_type == "boost":
         clf = GBTClassifier(maxIter=int(p.get("trees", 100)), maxDepth=int(p.get("depth", 6)),
                             stepSize=float(p.get("rate", 0.3)), subsamplingRate=float(p.get("subsample", 1.0)),
-                            seed=seed)
+                            seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
         return Pipeline(stages=[_assembler(features), clf])
     if model_type == "svm":
         c = float(p.get("C", 1.0))

@@ -30,6 +30,7 @@ the point key, so results are deterministic.
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,11 +122,14 @@ def knn_join(queries: DataFrame, points: DataFrame, *, qkey: str, pkey: str, fea
         if exclude_self:
             cand = cand.where(F.col("_qk") != F.col("_pk"))
         cand = cand.withColumn("_d2", _d2(features, nan_euclidean)).where(F.col("_d2").isNotNull())
-        # a point replicated into several cells of the box appears once per cell: dedupe by key
-        cand = cand.dropDuplicates(["_qk", "_pk"])
+        # A point replicated into several cells of the box (NULL grid coordinate)
+        # appears once per cell; its copies tie on (d2, key), so dense_rank gives
+        # the rank among distinct points. The filter runs as a map-side
+        # WindowGroupLimit; only the <= k survivors per query are deduplicated.
         rank_w = Window.partitionBy("_qk").orderBy("_d2", "_pk")
-        top = (cand.withColumn("rank", F.row_number().over(rank_w)).where(F.col("rank") <= k)
-               .select("_qk", "_pk", "_d2", "rank", *[f"_c_{c}" for c in carry]))
+        top = (cand.withColumn("rank", F.dense_rank().over(rank_w)).where(F.col("rank") <= k)
+               .select("_qk", "_pk", "_d2", "rank", *[f"_c_{c}" for c in carry])
+               .dropDuplicates(["_qk", "_pk"]))
         top = top.checkpoint(eager=True)  # cut lineage between rounds (shared checkpoint dir)
         stats = top.groupBy("_qk").agg(F.count(F.lit(1)).alias("_n"), F.max("_d2").alias("_kth"))
         # distance from the query to the border of the examined box, per grid column
@@ -149,6 +153,9 @@ def knn_join(queries: DataFrame, points: DataFrame, *, qkey: str, pkey: str, fea
         done_q = judged.where("_ok").select("_qk")
         results.append(top.join(done_q, on="_qk", how="left_semi"))
         pending = judged.where(~F.col("_ok")).select(*qs.columns)
+        if os.environ.get("VITALIS_DEBUG"):
+            print(f"knn round radius={radius} judged={judged.count()} pending={pending.count()} "
+                  f"candidates={top.count()}", flush=True)
         if pending.isEmpty():
             break
         radius *= 2

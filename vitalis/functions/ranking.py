@@ -109,6 +109,9 @@ def value_counts_prefix(df: DataFrame, by: list[str], value: str) -> DataFrame:
     counts = (df.where(col(value).isNotNull())
               .groupBy(*[col(b) for b in by], col(value).alias(value))
               .agg(F.count(F.lit(1)).alias("cnt")))
+    # read by the bounds pass and by the prefix pass: materialise it once in the
+    # shared checkpoint folder instead of recomputing the input twice
+    counts = counts.checkpoint(eager=True)
     return prefix_sums(counts, by, value, ["cnt"])
 
 

@@ -137,15 +137,15 @@ def encode(df: DataFrame, book: DataFrame, null_label: str | None = None) -> Dat
 
     The codebook is collected into a literal map when it is small (checked row
     count), so encoding is a narrow projection; otherwise it is joined."""
-    cols = [r["column"] for r in book.select("column").distinct().collect()]
-    cols = [c for c in cols if c in df.columns]
-    if not cols:
-        return df
-    n = book.count()
-    if n <= BROADCAST_CODEBOOK_ROWS:
+    # one bounded collect decides the path: literal map when small, join beyond
+    rows = book.limit(BROADCAST_CODEBOOK_ROWS + 1).collect()
+    if len(rows) <= BROADCAST_CODEBOOK_ROWS:
         maps: dict[str, dict[str, int]] = {}
-        for r in book.collect():
+        for r in rows:
             maps.setdefault(r["column"], {})[r["label"]] = r["code"]
+        cols = [c for c in maps if c in df.columns]
+        if not cols:
+            return df
 
         def enc(c: str) -> Column:
             v = col(c).cast("string")
@@ -155,6 +155,7 @@ def encode(df: DataFrame, book: DataFrame, null_label: str | None = None) -> Dat
             return F.try_element_at(m, v).cast("int").alias(c)
 
         return df.select(*[enc(c) if c in cols else col(c) for c in df.columns])
+    cols = [r["column"] for r in book.select("column").distinct().collect() if r["column"] in df.columns]
     out = df
     for c in cols:
         sub = book.where(F.col("column") == c).select(F.col("label").alias("_lab"), F.col("code").alias("_code"))

@@ -154,8 +154,9 @@ def knn_join(queries: DataFrame, points: DataFrame, *, qkey: str, pkey: str, fea
         results.append(top.join(done_q, on="_qk", how="left_semi"))
         pending = judged.where(~F.col("_ok")).select(*qs.columns)
         if os.environ.get("VITALIS_DEBUG"):
-            print(f"knn round radius={radius} judged={judged.count()} pending={pending.count()} "
-                  f"candidates={top.count()}", flush=True)
+            import time as _t
+            print(f"knn round radius={radius} pending={pending.count()} grid={grid_cols} ncell={ncell} "
+                  f"t={_t.strftime('%H:%M:%S')}", flush=True)
         if pending.isEmpty():
             break
         radius *= 2

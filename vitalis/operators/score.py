@@ -39,11 +39,11 @@ def codebook_maps(book: DataFrame | None) -> dict[str, dict[str, int]]:
     """Codebook collected as per-column label maps (size checked)."""
     if book is None:
         return {}
-    n = book.count()
-    if n > BROADCAST_CODEBOOK_ROWS:
-        raise ValueError(f"codebook has {n} rows; too large for a literal map")
+    rows = book.limit(BROADCAST_CODEBOOK_ROWS + 1).collect()
+    if len(rows) > BROADCAST_CODEBOOK_ROWS:
+        raise ValueError(f"codebook has more than {BROADCAST_CODEBOOK_ROWS} rows; too large for a literal map")
     maps: dict[str, dict[str, int]] = {}
-    for r in book.collect():
+    for r in rows:
         maps.setdefault(r["column"], {})[r["label"]] = int(r["code"])
     return maps
 

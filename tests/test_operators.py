@@ -1,6 +1,7 @@
 """Hand-worked cases (a few rows each) and properties of the operators."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -278,3 +279,26 @@ def test_package_roundtrip(spark, planted, tmp_path):
     b = {r.id: r.prob for r in S.score(test, back, "id").collect()}
     assert a == b and len(a) == test.count()
     assert math.isclose(sum(a.values()) / len(a), sum(b.values()) / len(b))
+
+
+def test_udf_runs_without_installed_package(tmp_path):
+    # Executors have no copy of the package: the pandas UDF must travel with
+    # the task. A fresh driver started outside the repository checks that.
+    import subprocess
+    import sys as _sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from vitalis.session import get_spark\n"
+        "from pyspark.sql import functions as F\n"
+        "from vitalis.functions.stats import t_pvalue\n"
+        "s = get_spark('udf-ship', 2)\n"
+        "r = s.range(1).select(t_pvalue(F.lit(2.0), F.lit(10.0)).alias('p')).collect()\n"
+        "print(round(r[0].p, 4))\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([_sys.executable, "-c", code], cwd=tmp_path, env=env,
+                         capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.strip().splitlines()[-1] == "0.0734"

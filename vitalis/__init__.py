@@ -11,6 +11,15 @@ Operators are plain functions ``DataFrame -> DataFrame`` grouped by stage:
 * ``vitalis.streaming`` — the scoring plan attached to a file stream
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from vitalis.session import checkpoint_dir, get_spark
 
+# Python code that runs inside tasks (the pandas UDF of functions/stats.py) is
+# shipped with the task itself, so executors need no installed copy of the
+# package and no --py-files entry.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["get_spark", "checkpoint_dir"]

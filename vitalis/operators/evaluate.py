@@ -68,9 +68,14 @@ def metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
 
 # --- V2 ----------------------------------------------------------------------
 def _score_groups(df: DataFrame, label: str, prob: str, by: list[str]) -> DataFrame:
-    return (df.where(col(prob).isNotNull() & col(label).isNotNull())
-            .groupBy(*[col(b) for b in by], col(prob).cast("double").alias("score"))
-            .agg(F.count_if(col(label) == 1).alias("pos"), F.count_if(col(label) != 1).alias("neg")))
+    """Distinct scores with their class counts. The bucketed prefix pass reads
+    this table three times (bounds, bucket totals, local prefix); it is written
+    once to the shared checkpoint folder so the scored input (often a model
+    transform) runs once."""
+    g = (df.where(col(prob).isNotNull() & col(label).isNotNull())
+         .groupBy(*[col(b) for b in by], col(prob).cast("double").alias("score"))
+         .agg(F.count_if(col(label) == 1).alias("pos"), F.count_if(col(label) != 1).alias("neg")))
+    return g.checkpoint(eager=True)
 
 
 def auc(df: DataFrame, label: str = "label", prob: str = "prob", by: list[str] | None = None) -> DataFrame:

@@ -27,8 +27,15 @@ def split_flags(df: DataFrame, key: str, label: str, test: float = 0.2, seed: in
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2,
-                     seed: int = 42) -> tuple[DataFrame, DataFrame]:
+                     seed: int = 42, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Train and test halves of one flagged table. Both halves are read many
+    times downstream (fit passes, scoring, every metric), so by default the
+    flagged table is written once to the shared checkpoint folder: neither half
+    recomputes the ranking shuffles, and a lost executor re-reads the written
+    table instead of re-running the split."""
     flagged = split_flags(df, key, label, test, seed)
+    if materialize:
+        flagged = flagged.checkpoint(eager=True)
     return flagged.where(~F.col("is_test")).drop("is_test"), flagged.where("is_test").drop("is_test")
 
 

@@ -17,7 +17,6 @@ from vitalis.plans.queries_prep import u_sql
 def _order_split(spark, sf):
     ol = order_lines(spark, sf)
     train, test = P.stratified_split(ol, "rid", "returned", 0.2, 42)
-    train = train.cache()
     sc = P.scaler_dict(P.fit_scaler(train, ORDER_FEATURES))
     return P.apply_scaler(train, sc), P.apply_scaler(test, sc)
 

@@ -67,7 +67,8 @@ def knn_impute(df: DataFrame, key: str, cols: list[str] | None = None, k: int =
     have it; a receiver without any comparable donor gets the column mean.
 
     One exact grid k-NN join serves all columns: receivers are exploded to one
-    row per missing column, donors to one row per present column, and the
+    row per missing column, donors to one row per present column that has
+    receivers, and the
     column name is the join group. Grid columns default to the two columns with
     the fewest missing cells (complete columns make the grid bound tight)."""
     from vitalis.operators.neighbours import knn_join
@@ -75,6 +76,7 @@ def knn_impute(df: DataFrame, key: str, cols: list[str] | None = None, k: int =
     cols = cols if cols is not None else [c for c in numeric_columns(df) if c != key]
     base = df.select(col(key).alias("_key"), *[as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)])
     feats = [f"_x{i}" for i in range(len(cols))]
+    st = None
     if grid_cols is None:
         # complete columns keep the grid bound valid for every donor; among the
         # most complete ones prefer the widest spread (the bound is in raw units)
@@ -86,9 +88,13 @@ def knn_impute(df: DataFrame, key: str, cols: list[str] | None = None, k: int =
     q = base.select("_key", *feats, F.explode(F.array(*[
         F.when(F.col(f).isNull(), F.lit(i)) for i, f in enumerate(feats)])).alias("_col")).where(F.col("_col").isNotNull())
     q = q.withColumn("_qid", F.concat_ws("|", F.col("_col").cast("string"), F.col("_key").cast("string")))
+    # donors only for columns that have receivers: a complete column's donor
+    # rows would never meet a query
+    gapped = [i for i, f in enumerate(feats) if st is None or st[f"n{f}"] > 0]
     p = base.select("_key", *feats, F.explode(F.array(*[
-        F.when(F.col(f).isNotNull(), F.struct(F.lit(i).alias("c"), F.col(f).alias("v"))) for i, f in enumerate(feats)
-    ])).alias("_cv")).where(F.col("_cv").isNotNull()).select(
+        F.when(F.col(f).isNotNull(), F.struct(F.lit(i).alias("c"), F.col(f).alias("v")))
+        for i, f in enumerate(feats) if i in gapped
+    ] or [F.lit(None).cast("struct<c:int,v:double>")])).alias("_cv")).where(F.col("_cv").isNotNull()).select(
         "_key", *feats, F.col("_cv.c").alias("_col"), F.col("_cv.v").alias("_val"))
     nn = knn_join(q, p, qkey="_qid", pkey="_key", features=feats, k=k, group="_col", nan_euclidean=True,
                   grid_cols=grid, carry=["_val"])

@@ -103,16 +103,19 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, weights: list[str],
     return out.drop(key, "_bucket", *[f"_o_{i}" for i in range(len(weights))])
 
 
-def value_counts_prefix(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct ``(by, value)`` with ``cnt`` and ``cnt_before`` (rows strictly
-    below in the group). NULL values are excluded."""
+def _value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     counts = (df.where(col(value).isNotNull())
               .groupBy(*[col(b) for b in by], col(value).alias(value))
               .agg(F.count(F.lit(1)).alias("cnt")))
     # read by the bounds pass and by the prefix pass: materialise it once in the
     # shared checkpoint folder instead of recomputing the input twice
-    counts = counts.checkpoint(eager=True)
-    return prefix_sums(counts, by, value, ["cnt"])
+    return counts.checkpoint(eager=True)
+
+
+def value_counts_prefix(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Distinct ``(by, value)`` with ``cnt`` and ``cnt_before`` (rows strictly
+    below in the group). NULL values are excluded."""
+    return prefix_sums(_value_counts(df, by, value), by, value, ["cnt"])
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float],
@@ -123,9 +126,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     Work: one aggregation to distinct values, one bucketed prefix pass, and a
     join against a tiny target table (groups x probs x 2 ranks).
     """
-    pre = value_counts_prefix(df, by, value)
+    counts = _value_counts(df, by, value)
+    pre = prefix_sums(counts, by, value, ["cnt"])
     gcols = [col(b) for b in by]
-    n = pre.groupBy(*gcols).agg(F.sum("cnt").alias("_n"))
+    # group sizes from the written counts, not from the prefix-summed table
+    n = counts.groupBy(*gcols).agg(F.sum("cnt").alias("_n"))
     targets = (n.select(*gcols, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_pi", "_p"))
                .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
                .withColumn("_lo", F.floor("_pos").cast("long"))

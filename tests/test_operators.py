@@ -302,3 +302,18 @@ def test_udf_runs_without_installed_package(tmp_path):
                          capture_output=True, text=True, timeout=300)
     assert out.returncode == 0, out.stderr[-2000:]
     assert out.stdout.strip().splitlines()[-1] == "0.0734"
+
+
+def test_materialised_split_matches_lazy_split(spark):
+    # the written split is the same split: halves disjoint, complete, and equal
+    # to the lazily computed halves; per-class test counts are round(0.2 * n)
+    df = spark.range(503).select(F.col("id"), (F.col("id") % 4 == 0).cast("int").alias("y"))
+    tr_m, te_m = P.stratified_split(df, "id", "y", 0.2, materialize=True)
+    tr_l, te_l = P.stratified_split(df, "id", "y", 0.2, materialize=False)
+    ids = lambda d: sorted(r.id for r in d.select("id").collect())
+    assert ids(tr_m) == ids(tr_l) and ids(te_m) == ids(te_l)
+    assert not set(ids(tr_m)) & set(ids(te_m))
+    assert len(ids(tr_m)) + len(ids(te_m)) == 503
+    per = {r.y: r["count"] for r in te_m.groupBy("y").count().collect()}
+    n1 = 503 // 4 + 1
+    assert per[1] == int(math.floor(0.2 * n1 + 0.5)) and per[0] == int(math.floor(0.2 * (503 - n1) + 0.5))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from vitalis.llm.minhash import op4_minhash_near_dedup
 from vitalis.llm.substrings import op1_substring_dedup
+from vitalis.llm.tokens import op8_token_counts
+from vitalis.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op8_token_counts": op8_token_counts,
 }
 ORACLES: dict[str, str] = {}

@@ -9,7 +9,7 @@ encoding a left-to-right dynamic programme instead of a merge queue:
 * hence for every prefix of a word the last piece is the one piece that ends
   there and is compatible with the last piece of the prefix before it.
 
-``encode_words`` advances many words together, one symbol at a time: hashes of
+``encode_words`` advances many words of about equal length together, one symbol at a time: hashes of
 the substrings that end at the position probe the sorted piece keys, and the
 compatible candidate becomes the back pointer. Whether two pieces are
 compatible is found by running the merges on just these two, and remembered.
@@ -114,14 +114,35 @@ class Merges:
         self._drop_unreachable(ids, lens)
 
     def _drop_unreachable(self, ids, lens):
-        """Pieces that their own text is not encoded to can never come out."""
-        fine = np.ones(int(ids.max()) + 1, bool)
+        """Keep the pieces that their own text is encoded to, and note the last merge that makes each."""
+        size_all = int(ids.max()) + 1
+        fine = np.ones(size_all, bool)
+        self.split = np.full((size_all, 2), -1, np.int64)
+        self.formed = np.full(size_all, -1, np.int64)
         for size in np.unique(lens[lens > 1]):
             rows = ids[lens == size]
-            enc = self.run(self._atoms_of(rows, size))
+            enc, pair = self.run(self._atoms_of(rows, size), with_last=True)
             fine[rows] = (enc[:, 0] == rows) & (enc[:, 1:] < 0).all(axis=1)
+            self.split[rows] = pair
+            self.formed[rows] = self._rank(pair[:, 0], pair[:, 1])[0]
         keep = fine[self.piece_ids]
         self.piece_keys, self.piece_ids = self.piece_keys[keep], self.piece_ids[keep]
+        self.right, self.right_gone = self._spines(1)
+        self.left, self.left_gone = self._spines(0)
+
+    def _spines(self, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece: what stands at its ``side`` edge over time, latest first, and the rank that ends it."""
+        never = np.iinfo(np.int64).max
+        now = np.arange(len(self.split))
+        gone = np.full(len(now), never)
+        levels, ends = [], []
+        while (now >= 0).any():
+            levels.append(now)
+            ends.append(gone)
+            held = np.maximum(now, 0)
+            gone = np.where(now >= 0, self.formed[held], never)
+            now = np.where(now >= 0, self.split[held, side], -1)
+        return np.stack(levels, axis=1), np.stack(ends, axis=1)
 
     def _atoms_of(self, ids, size):
         syms = self.syms[self.sym_offs[ids][:, None] + np.arange(size)]
@@ -140,10 +161,14 @@ class Merges:
         hit = (self.pair_keys[at] == key) & (a >= 0) & (b >= 0)
         return np.where(hit, self.ranks[at], np.iinfo(np.int64).max), self.made[at]
 
-    def run(self, rows: np.ndarray) -> np.ndarray:
-        """Apply the merges to rows of ids (-1 pads on the right): lowest rank first, then leftmost."""
+    def run(self, rows: np.ndarray, with_last: bool = False):
+        """Apply the merges to rows of ids: lowest rank first, then leftmost. -1 pads the result on the right.
+
+        ``with_last``: also the pair that the last merge joined, of rows that end as one piece.
+        """
         rows = rows.copy()
         out = np.full_like(rows, -1)
+        pair = np.full((len(rows), 2), -1, np.int64)
         live = np.arange(len(rows))
         while len(live):
             if rows.shape[1] < 2:
@@ -158,11 +183,12 @@ class Merges:
             if not len(live):
                 break
             k = np.arange(len(rows))
+            if rows.shape[1] == 2:
+                pair[live] = rows
             cols = np.arange(rows.shape[1] - 1)
             rows[k, at] = made[k, at]
-            shifted = np.where(cols[None, :] > at[:, None], rows[:, 1:], rows[:, :-1])
-            rows = shifted
-        return out
+            rows = np.where(cols[None, :] > at[:, None], rows[:, 1:], rows[:, :-1])
+        return (out, pair) if with_last else out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Is the encoding of a's text followed by b's just (a, b)? Any a below 0 (no piece before) is fine."""
@@ -174,26 +200,35 @@ class Merges:
         miss = np.flatnonzero((known < 0) & (a >= 0))
         if len(miss):
             uniq, first, inv = np.unique(key[miss], return_index=True, return_inverse=True)
-            x, y = a[miss[first]].astype(np.int64), b[miss[first]].astype(np.int64)
-            lx, ly = self.sym_offs[x + 1] - self.sym_offs[x], self.sym_offs[y + 1] - self.sym_offs[y]
-            good = np.zeros(len(uniq), np.int32)
-            size = lx + ly
-            for s in np.unique(size):
-                rows = np.flatnonzero(size == s)
-                for k in range(0, len(rows), 20_000):
-                    r = rows[k:k + 20_000]
-                    j = np.arange(s)[None, :]
-                    left = j < lx[r][:, None]
-                    at = np.where(left, self.sym_offs[x[r]][:, None] + j,
-                                  self.sym_offs[y[r]][:, None] + j - lx[r][:, None])
-                    enc = self.run(self.atom_ids(self.syms[at]))
-                    good[r] = (enc[:, 0] == x[r]) & (enc[:, 1] == y[r]) & (enc[:, 2:] < 0).all(axis=1)
+            good = (~self._crossed(a[miss[first]].astype(np.int64), b[miss[first]].astype(np.int64))).astype(np.int32)
             self._pairs.put(uniq, good)
             known[miss] = good[inv]
         return (known == 1) | (a < 0)
 
-    def encode_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encode rows of symbols of equal length: (last, counts).
+    def _crossed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Would a merge join an edge of x with an edge of y when x and y stand side by side?
+
+        Merges take place in the order of their ranks. The pair of an edge s of x and
+        an edge u of y can merge from ``when`` on: its own rank, or the rank that forms
+        s or u if that is later. It does if neither has been merged away by then; of
+        equal ranks the one further left comes first.
+        """
+        crossed = np.zeros(len(x), bool)
+        for i in range(self.right.shape[1]):
+            rows = np.flatnonzero((self.right[x, i] >= 0) & ~crossed)
+            for j in range(self.left.shape[1]):
+                rows = rows[(self.left[y[rows], j] >= 0) & ~crossed[rows]]
+                if not len(rows):
+                    break
+                s, u = self.right[x[rows], i], self.left[y[rows], j]
+                rank, _ = self._rank(s, u)
+                when = np.maximum(rank, np.maximum(self.formed[s], self.formed[u]))
+                crossed[rows] = ((rank < np.iinfo(np.int64).max) & (when < self.right_gone[x[rows], i])
+                                 & (when <= self.left_gone[y[rows], j]))
+        return crossed
+
+    def encode_words(self, words: np.ndarray, lens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Encode rows of symbols: (last, counts). ``lens``, if the rows differ in length, must descend.
 
         last[w, i] is the last piece of the first i symbols and counts[w, i] how
         many pieces they make; the pieces follow from ``last`` from right to left.
@@ -202,15 +237,17 @@ class Merges:
         n, size = words.shape
         last = np.full((n, size + 1), -1, np.int32)
         counts = np.zeros((n, size + 1), np.int32)
-        # hashes[l] of the l symbols that end at the position; column j starts where the substring does
+        # hashes of the substrings that end at the position, the longest first
         begun: list[np.ndarray] = []
         for i in range(1, size + 1):
-            begun = [step_hash(h, words[:, i - 1]) for h in begun[-(self.longest - 1):]] if self.longest > 1 else []
-            begun.append(step_hash(np.zeros(n, np.uint64), words[:, i - 1]))
+            k = n if lens is None else int(np.searchsorted(-lens, -i, side="right"))
+            sym = words[:k, i - 1]
+            begun = [step_hash(h[:k], sym) for h in begun[-(self.longest - 1):]] if self.longest > 1 else []
+            begun.append(step_hash(np.zeros(k, np.uint64), sym))
             for back, h in enumerate(reversed(begun), 1):
                 key = seal(h)
                 at = np.minimum(np.searchsorted(self.piece_keys, key), len(self.piece_keys) - 1)
-                rows = np.flatnonzero((self.piece_keys[at] == key) & (last[:, i] < 0))
+                rows = np.flatnonzero((self.piece_keys[at] == key) & (last[:k, i] < 0))
                 if not len(rows):
                     continue
                 piece, before = self.piece_ids[at[rows]], last[rows, i - back]
@@ -218,24 +255,23 @@ class Merges:
                 rows, piece = rows[good], piece[good]
                 last[rows, i] = piece
                 counts[rows, i] = counts[rows, i - back] + 1
-            alone = last[:, i] < 0
-            if alone.any():
-                last[alone, i] = -2
-                counts[alone, i] = counts[alone, i - 1] + 1
+            alone = np.flatnonzero(last[:k, i] < 0)
+            last[alone, i] = -2
+            counts[alone, i] = counts[alone, i - 1] + 1
         return last, counts
 
-    def pieces_of(self, last: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def pieces_of(self, last: np.ndarray, counts: np.ndarray, lens: np.ndarray | None = None) -> np.ndarray:
         """The ids of each row, padded with -1 on the right (-2: a symbol that has no piece)."""
-        n, size = len(last), last.shape[1] - 1
-        total = counts[:, -1]
-        out = np.full((n, int(total.max()) if n else 0), -1, np.int64)
-        at, k = np.full(n, size), total - 1
+        n = len(last)
+        at = np.full(n, last.shape[1] - 1) if lens is None else lens.copy()
         rows = np.arange(n)
+        total = counts[rows, at]
+        out = np.full((n, int(total.max()) if n else 0), -1, np.int64)
+        k = total - 1
         while len(rows):
             piece = last[rows, at[rows]].astype(np.int64)
             out[rows, k[rows]] = piece
-            width = np.where(piece < 0, 1, self.sym_offs[piece + 1] - self.sym_offs[piece])
-            at[rows] -= width
+            at[rows] -= np.where(piece < 0, 1, self.sym_offs[piece + 1] - self.sym_offs[piece])
             k[rows] -= 1
             rows = rows[at[rows] > 0]
         return out

@@ -8,7 +8,7 @@ the vocabulary's published pattern: contractions, runs of letters, single digits
 runs of other signs. That pattern is compiled by hand into a transducer of 7 states over
 13 character classes; a transition is annotated with the word starts it emits
 (at this character, at the one before). A block of text is cut into chunks of
-64 characters, each chunk's map from entry state to exit state is computed for
+256 characters, each chunk's map from entry state to exit state is computed for
 all chunks in lockstep, the maps are composed by a parallel prefix scan, and
 with every chunk's entry state known a second lockstep pass emits the starts.
 
@@ -30,12 +30,12 @@ from pyspark.sql import types as T
 
 from vitalis.functions.columns import col
 from vitalis.llm.bpe import WORD_END, Memo, load_word_bpe
-from vitalis.llm.textkit import mix, span_hash, worker_cache, _powers
+from vitalis.llm.textkit import _powers, span_hash, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 CONTEXT_LIMIT = 2048
 BLOCK_CHARS = 1 << 20
-CHUNK = 64
+CHUNK = 256
 
 # Character classes. Letters that occur in contractions have classes of their own.
 SPACE, LETTER, NUMBER, SIGN, QUOTE = range(5)
@@ -176,7 +176,7 @@ def words_of(segments: list[str]):
 def word_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     prefix = np.empty(len(points) + 1, np.uint64)
     prefix[0] = 0
-    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * _powers(len(points) + 1)[0][:len(points)], out=prefix[1:])
+    np.cumsum((points + np.uint32(1)) * _powers(len(points) + 1)[0][:len(points)], out=prefix[1:])
     h = span_hash(prefix, start, end)
     h[h == 0] = 1
     return h
@@ -199,20 +199,28 @@ def compiled(path: str):
     return cache["bpe", path]
 
 
-LOCKSTEP = 100_000
+# Words of up to so many bytes advance together; the matrices of one go are bounded by LOCKSTEP cells.
+LENGTHS = (12, 24, 48, 96, 192)
+LOCKSTEP = 4_000_000
 
 
 def encode_distinct(merges, words: list[bytes]):
-    """Yields (rows into ``words``, last, counts) of the words, equal lengths together."""
+    """Yields (rows into ``words``, their lengths, last, counts): words of like length together."""
     lens = np.array([len(w) for w in words])
-    for size in np.unique(lens):
-        rows = np.flatnonzero(lens == size)
-        step = max(1, LOCKSTEP // int(size))
-        for k in range(0, len(rows), step):
-            some = rows[k:k + step]
-            syms = np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(len(some), size).astype(np.int64)
-            syms[:, -1] += WORD_END
-            yield some, *merges.encode_words(syms)
+    order = np.argsort(-lens, kind="stable")
+    top = np.searchsorted(np.array(LENGTHS), lens[order])
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(top)) + 1, [len(order)]])
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        while a < b:
+            size = int(lens[order[a]])
+            some = order[a:min(b, a + max(1, LOCKSTEP // size))]
+            a += len(some)
+            own = lens[some]
+            flat = np.frombuffer(b"".join(words[i] for i in some), np.uint8)
+            syms = np.zeros((len(some), size), np.int64)
+            syms[np.arange(size)[None, :] < own[:, None]] = flat
+            syms[np.arange(len(some)), own - 1] += WORD_END
+            yield some, own, *merges.encode_words(syms, own)
 
 
 class TokenCounter:
@@ -244,8 +252,8 @@ class TokenCounter:
             miss = np.flatnonzero(counts < 0)
             if len(miss):
                 words = word_bytes(points, start[first[miss]], end[first[miss]])
-                for rows, _, emitted in encode_distinct(self.merges, words):
-                    counts[miss[rows]] = emitted[:, -1]
+                for rows, lens, _, emitted in encode_distinct(self.merges, words):
+                    counts[miss[rows]] = emitted[np.arange(len(rows)), lens]
                 self.memo.put(uniq[miss], counts[miss])
             total = total + np.bincount(owner[seg], weights=counts[inverse], minlength=len(texts)).astype(np.int64)
         return total

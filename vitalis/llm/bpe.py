@@ -1,6 +1,6 @@
 """Byte-pair encoding as batched array work, for published vocabularies.
 
-``Merges`` holds a vocabulary's merge table as sorted arrays. Two facts make
+``Merges`` holds a vocabulary's pieces and merges as hash tables of arrays. Two facts make
 encoding a left-to-right dynamic programme instead of a merge queue:
 
 * a sequence of pieces is the encoding of its text if and only if every two
@@ -10,7 +10,7 @@ encoding a left-to-right dynamic programme instead of a merge queue:
   there and is compatible with the last piece of the prefix before it.
 
 ``encode_words`` advances many words of about equal length together, one symbol at a time: hashes of
-the substrings that end at the position probe the sorted piece keys, and the
+the substrings that end at the position probe the table of piece keys, and the
 compatible candidate becomes the back pointer. Whether two pieces are
 compatible is found by running the merges on just these two, and remembered.
 """
@@ -35,18 +35,22 @@ class Memo:
 
     def _reset(self, bits):
         self.bits, self.used = bits, 0
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values, or -1 where a key is not held. Keys must not be 0."""
-        out = np.full(len(keys), -1, np.int32)
-        left, slot = np.arange(len(keys)), (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], np.int32(-1))
+        left = np.flatnonzero((held != keys) & (held != EMPTY))
+        slot = slot[left]
         while len(left):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
             held = self.keys[slot]
             hit = held == keys[left]
             out[left[hit]] = self.values[slot[hit]]
             go = ~hit & (held != EMPTY)
-            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+            left, slot = left[go], slot[go]
         return out
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> bool:
@@ -89,8 +93,9 @@ class Merges:
 
     def __init__(self, pieces: dict[int, tuple[int, ...]], pairs: list[tuple[int, int, int, int]]):
         table = np.array(sorted(pairs), np.int64).reshape(-1, 4)
-        self.pair_keys = _pair_key(table[:, 0], table[:, 1])
         self.ranks, self.made = table[:, 2].copy(), table[:, 3].copy()
+        self.pairs = Memo(18)
+        self.pairs.put(mix(_pair_key(table[:, 0], table[:, 1])), np.arange(len(table), dtype=np.int32))
         self.atoms = {p[0]: i for i, p in pieces.items() if len(p) == 1}
         self.sym_offs = np.zeros(max(pieces) + 2, np.int64)
         for i, p in pieces.items():
@@ -127,6 +132,8 @@ class Merges:
             self.formed[rows] = self._rank(pair[:, 0], pair[:, 1])[0]
         keep = fine[self.piece_ids]
         self.piece_keys, self.piece_ids = self.piece_keys[keep], self.piece_ids[keep]
+        self.pieces = Memo(18)
+        self.pieces.put(self.piece_keys, self.piece_ids)
         self.right, self.right_gone = self._spines(1)
         self.left, self.left_gone = self._spines(0)
 
@@ -156,9 +163,8 @@ class Merges:
         return np.where(self._atom_sym[at] == syms, self._atom_id[at], -2)
 
     def _rank(self, a, b):
-        key = _pair_key(a, b)
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        hit = (self.pair_keys[at] == key) & (a >= 0) & (b >= 0)
+        at = self.pairs.get(mix(_pair_key(a, b)).reshape(-1)).reshape(a.shape)
+        hit = (at >= 0) & (a >= 0) & (b >= 0)
         return np.where(hit, self.ranks[at], np.iinfo(np.int64).max), self.made[at]
 
     def run(self, rows: np.ndarray, with_last: bool = False):
@@ -245,12 +251,11 @@ class Merges:
             begun = [step_hash(h[:k], sym) for h in begun[-(self.longest - 1):]] if self.longest > 1 else []
             begun.append(step_hash(np.zeros(k, np.uint64), sym))
             for back, h in enumerate(reversed(begun), 1):
-                key = seal(h)
-                at = np.minimum(np.searchsorted(self.piece_keys, key), len(self.piece_keys) - 1)
-                rows = np.flatnonzero((self.piece_keys[at] == key) & (last[:k, i] < 0))
+                found = self.pieces.get(seal(h))
+                rows = np.flatnonzero((found >= 0) & (last[:k, i] < 0))
                 if not len(rows):
                     continue
-                piece, before = self.piece_ids[at[rows]], last[rows, i - back]
+                piece, before = found[rows], last[rows, i - back]
                 good = self.compatible(before, piece)
                 rows, piece = rows[good], piece[good]
                 last[rows, i] = piece

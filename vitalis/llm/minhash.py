@@ -11,10 +11,19 @@ share a key, and a pair at Jaccard 0.75 (mean distance 17.5) is missed with
 probability (1 - 0.75^5 - 5*0.25*0.75^4)^14, below 1e-6.
 
 Documents with equal sets form a class and are represented by their smallest
-id. Candidates come in two rounds, so that no group is ever expanded into all
-its pairs: first each key's members meet only the key's smallest member (a
-star); then, with the components these links make, members of a key meet only
-members of *other* components. Every candidate is confirmed on the full sets.
+id. No group is expanded into all its pairs. In the first round each key's
+members meet only the key's smallest member (a star). With the components these
+links make, only keys with members of several components can still hide a
+link; their documents go to a second round, an exact prefix join: each set is
+ordered by rarity, two sets at the threshold must share an element among the
+rarest quarter of the larger and seventh of the smaller one, and the places of
+that element bound their overlap. Near-copies of one text that are too far apart
+to be linked differ in rare shingles, so they mostly never meet. Every
+candidate of either round is confirmed on the full sets.
+
+The sets of the candidates' documents are cut from the texts where these lie:
+a Bloom filter of the wanted ids (at most 8 MB) goes to the tasks, so texts are
+never shuffled.
 """
 
 from __future__ import annotations
@@ -118,22 +127,131 @@ def _sketch(size):
     return run
 
 
-def _sets(size):
+def _marks(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Two bit positions of each id."""
+    h = mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return np.stack([(h >> np.uint64(64 - bits)), (mix(h) >> np.uint64(64 - bits))]).astype(np.int64)
+
+
+def _mark(bits):
     def run(batches):
+        found = np.zeros(1 << bits, bool)
         for batch in batches:
-            buf, offs = text_buffer(batch.column(1))
-            out = [b""] * batch.num_rows
+            found[_marks(batch.column(0).to_numpy(), bits)] = True
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0]), pa.array([np.packbits(found).tobytes()], pa.binary())], ["slot", "marks"])
+    return run
+
+
+def _either(table: pa.Table) -> pa.Table:
+    out = None
+    for b in table["marks"]:
+        one = np.frombuffer(b.as_buffer(), np.uint8)
+        out = one.copy() if out is None else out | one
+    return pa.Table.from_arrays([table["slot"].combine_chunks()[:1], pa.array([out.tobytes()], pa.binary())],
+                                ["slot", "marks"])
+
+
+FILTER_BITS = 26  # 8 MB; beyond, more ids pass that nobody asked for, and the joins drop them
+
+
+def id_filter(ids: DataFrame) -> tuple[bytes, int]:
+    """A Bloom filter of a table of distinct ids: (bits, log2 of their number)."""
+    bits = min(FILTER_BITS, max(13, power_bits(16 * ids.count())))
+    kind = "slot long, marks binary"
+    some = (ids.coalesce(64).mapInArrow(_mark(bits), kind)
+            .withColumn("slot", F.pmod(F.xxhash64("marks"), F.lit(8))).groupBy("slot").applyInArrow(_either, kind)
+            .withColumn("slot", F.lit(0).cast("long")).groupBy("slot").applyInArrow(_either, kind).collect())
+    return (bytes(some[0]["marks"]) if some else bytes(1 << (bits - 3))), bits
+
+
+def _sets(size, marks, bits):
+    """The shingles of the documents whose id passes the filter, as sorted 64-bit integers."""
+    def run(batches):
+        held = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero(held[_marks(ids, bits)].all(axis=0))
+            buf, offs = text_buffer(batch.column(1).take(pa.array(rows)))
+            out = [b""] * len(rows)
             for a, b in doc_blocks(offs):
                 lo, hi = offs[a], offs[b]
                 doc, h = shingles(buf[lo:hi], offs[a:b + 1] - lo, size)
                 edge = np.searchsorted(doc, np.arange(b - a + 1))
                 for d in range(b - a):
                     out[a + d] = h[edge[d]:edge[d + 1]].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())],
-                                             ["id", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(out, pa.binary())], ["id", "items"])
     return run
 
 
+RARITY_BITS = 20
+
+
+def _prefixes(rarity, threshold):
+    """The rarest shingles of each set: as many as a partner at the threshold cannot all miss."""
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for doc, comp, b in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2),
+                                    strict=True):
+                items = np.frombuffer(b.as_buffer(), np.uint64)
+                n = len(items)
+                length = n - -(-threshold * n // 100) + 1
+                order = np.lexsort((items, rarity[items.astype(np.int64) >> (SET_BITS - RARITY_BITS)]))[:length]
+                out[0].append(items[order].astype(np.int64))
+                for k, value in enumerate((doc, comp, n)):
+                    out[k + 1].append(np.full(length, value))
+                out[4].append(np.arange(length))
+            cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)).cast(pa.int64()) for c in out]
+            yield pa.RecordBatch.from_arrays(cols, ["item", "id", "comp", "n", "pos"])
+    return run
+
+
+def _across(placed: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the threshold. ``placed``: id, comp, items."""
+    counts = np.zeros(1 << RARITY_BITS, np.int32)
+    cells = (placed.select("items").mapInArrow(_counted_in_slices, "slot long, counts binary")
+             .groupBy("slot").applyInArrow(_summed, "slot long, counts binary").collect())
+    width = (1 << RARITY_BITS) // RARITY_SLICES
+    for r in cells:
+        counts[r["slot"] * width:(r["slot"] + 1) * width] = np.minimum(
+            np.frombuffer(r["counts"], np.int64), 2**31 - 1)
+    prefix = written(placed.mapInArrow(_prefixes(counts, threshold),
+                                       "item long, id long, comp long, n long, pos long"), "prefixes")
+    large = prefix.select("item", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"),
+                          F.col("pos").alias("px"))
+    small = (prefix.where((100 + threshold) * (F.col("n") - F.col("pos")) >= 2 * threshold * F.col("n"))
+             .select("item", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"),
+                     F.col("pos").alias("py")))
+    return (large.join(small, (large.item == small.item) & (F.col("cx") != F.col("cy"))
+                       & ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))))
+                       & (100 * F.col("ny") >= threshold * F.col("nx"))
+                       & ((100 + threshold) * F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+                          >= threshold * (F.col("nx") + F.col("ny"))))
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
+RARITY_SLICES = 16
+
+
+def _counted_in_slices(batches):
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    for batch in batches:
+        for b in batch.column(0):
+            at = np.frombuffer(b.as_buffer(), np.uint64).astype(np.int64) >> (SET_BITS - RARITY_BITS)
+            np.add.at(counts, at, 1)
+    for k, part in enumerate(counts.reshape(RARITY_SLICES, -1)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()], pa.binary())],
+                                             ["slot", "counts"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(b.as_buffer(), np.int64) for b in table["counts"])
+    return pa.Table.from_arrays([table["slot"].combine_chunks()[:1], pa.array([total.tobytes()], pa.binary())],
+                                ["slot", "counts"])
+
+
 def masked_keys(sig: np.ndarray) -> np.ndarray:
     """The CHUNKS * SYMBOLS keys of each signature: a chunk's symbols with one of them masked."""
     n = len(sig)
@@ -251,19 +369,16 @@ def _spread(table: pa.Table) -> pa.Table:
 
 
 def _members(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The rows (key, id, component, set size) of a chunk's keys that several components share."""
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64())])
+    """(id, component) of a chunk's documents that have a key which several components share."""
+    schema = pa.schema([("id", pa.int64()), ("comp", pa.int64())])
     if not left.num_rows:
         return schema.empty_table()
-    keys, comps, row = _chunk_keys(left, "comp")
-    new = _group_starts(keys)
+    keys, _, row = _chunk_keys(left, "comp")
     parts = sorted((r["bucket"], r["bits"], r["n"]) for r in right.to_pylist())
     mixed = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, b, n in parts]).astype(bool)
-    pick = mixed[np.cumsum(new) - 1]
-    row = row[pick]
-    return pa.Table.from_arrays(
-        [pa.array(keys[pick].view(np.int64)), pa.array(left["id"].to_numpy()[row]), pa.array(comps[pick]),
-         pa.array(left["n_shingles"].to_numpy()[row])], schema=schema)
+    row = np.unique(row[mixed[np.cumsum(_group_starts(keys)) - 1]])
+    return pa.Table.from_arrays([pa.array(left["id"].to_numpy()[row]), pa.array(left["comp"].to_numpy()[row])],
+                                schema=schema)
 
 
 def _close_signatures(batches):
@@ -293,11 +408,8 @@ def _confirm(threshold):
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The candidate pairs whose full sets are similar enough.
-
-    Set sizes and signatures sort out most of the others before any text is read again.
-    """
+def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The candidate pairs whose full sets are similar enough; sizes and signatures sort out most others first."""
     side = reps.select("id", "n_shingles", "signature")
     near = (pairs.join(side.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"),
                                    F.col("signature").alias("sa")), "a")
@@ -305,10 +417,6 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, th
                               F.col("signature").alias("sb")), "b")
             .where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
             .select("a", "b", "sa", "sb").mapInArrow(_close_signatures, "a long, b long"))
-    near = written(near, "near-pairs")
-    wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, items binary")
-    sets = written(sets, "sets")
     return (near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
             .select("a", "b", "xa", "xb").mapInArrow(_confirm(threshold), "a long, b long"))
@@ -344,8 +452,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     stars = written(dealt(reps).applyInArrow(_send_stars(bits), SEND)
                     .groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct(), "stars")
-    texts = docs.where(F.col("id").isNotNull())
-    links = written(_confirmed(stars, reps, texts, size, threshold), "star-links")
+    wanted = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
+    sets = written(docs.where(F.col("id").isNotNull())
+                   .mapInArrow(_sets(size, *id_filter(wanted)), "id long, items binary"), "sets")
+    links = written(_confirmed(stars, reps, sets, threshold), "star-links")
 
     # second round: what shares a key but not a component
     comps = connected_components(links)
@@ -353,19 +463,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        .drop("component_id"), "labelled")
     spread = (dealt(labelled).applyInArrow(_send_spread(bits), SEND)
               .groupBy("bucket").applyInArrow(_spread, "cid long, bucket long, n long, bits binary"))
-    members = written(dealt(labelled).cogroup(spread.groupBy("cid"))
-                      .applyInArrow(_members, "key long, id long, comp long, n long"), "members")
-    main = (members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-            .groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main")))
-    side = members.join(main, "key")
-    rest = side.where("comp != main").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"),
-                                             F.col("n").alias("nx"))
-    cross = (rest.join(side, "key")
-             .where((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("id")))
-                    & (100 * F.least("nx", "n") >= threshold * F.greatest("nx", "n")))
-             .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-             .join(stars, ["a", "b"], "left_anti"))
-    more = _confirmed(written(cross, "cross"), reps, texts, size, threshold)
+    members = (dealt(labelled).cogroup(spread.groupBy("cid")).applyInArrow(_members, "id long, comp long").distinct())
+    placed = written(members.join(sets, "id").select("id", "comp", "items"), "placed")
+    more = _confirmed(_across(placed, threshold), reps, sets, threshold)
     comps = connected_components(links.union(more))
 
     classes = (reps.join(comps, "id", "left")

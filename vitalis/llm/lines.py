@@ -136,11 +136,11 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """(h, line) of first lines, taken from the documents that hold them."""
-        per_doc = (wanted.groupBy(F.col("at.r").alias("rid"), F.nullif(F.col("at.o"), F.lit(LAST)).alias("id"))
-                   .agg(F.collect_list(F.struct(F.col("at.p").alias("p"), F.col("h"))).alias("want")))
-        held = dealt.join(per_doc, (dealt.rid == per_doc.rid) & dealt.id.eqNullSafe(per_doc.id))
-        return (held.select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
-                .select(F.col("w.h").alias("h"), F.get("lines", F.col("w.p")).alias("line")))
+        per_doc = (wanted.groupBy(F.col("at.r").alias("want_rid"), F.nullif(F.col("at.o"), F.lit(LAST)).alias("want_id"))
+                   .agg(F.collect_list("at.p").alias("want")))
+        held = dealt.join(per_doc, (F.col("rid") == F.col("want_rid")) & F.col("id").eqNullSafe(F.col("want_id")))
+        return (held.select("want", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+                .where(F.array_contains("want", F.col("pos"))).select(F.xxhash64("line").alias("h"), "line"))
 
     index, probes = line_keys(F.col("line"), max_edits)
     texts = texts_of(long)

@@ -7,7 +7,7 @@ pigeonhole one segment survives any max_edits edits unchanged. Each distinct
 line is indexed under (its length, segment number, segment), and probes the
 indexes of all lengths up to max_edits below its own with the substrings that
 can still be that segment (their start may be off by as many places as there
-are edits left and right of it). Pairs that meet must agree in letter counts
+are edits left and right of it). Pairs that meet must agree in counts of letters
 (an edit changes the counts by two at most; checked inside the join) and are
 verified by a banded bit-parallel edit distance: the 2 * max_edits + 1 diagonals
 around the main one are the bits of one integer, moved along both lines by an
@@ -27,51 +27,48 @@ from vitalis.llm.layout import fresh_names, measured, shuffle_partitions, writte
 MAX_EDITS = 2
 MIN_CHARS = 20
 NEAR_CHARS = 60
-# Letters by class for the count filter; a class's count is kept modulo 16.
-LETTER_CLASSES = ("e", "nb", "it", "ak", "rv", "sm", "hlf", "odu")
+# Letters of the count filter; a count is kept modulo 16.
+LETTERS = "enitas"
 LAST = 2**63 - 1
 
 
-def segment_bounds(length: Column, segments: int) -> list[tuple[Column, Column]]:
-    """(0-based start, size) of the segments of a line: even, the longer ones last."""
-    base, extra = F.floor(length / segments).cast("int"), (length % segments).cast("int")
-    out = []
-    for k in range(segments):
-        short = segments - extra  # so many segments are of the base size
-        out.append((base * k + F.greatest(F.lit(0), F.lit(k) - short), base + F.when(F.lit(k) >= short, 1).otherwise(0)))
-    return out
+INDEX, PROBE = 0, 1
 
 
-def line_keys(line: Column, max_edits: int) -> tuple[Column, Column]:
-    """(index keys, probe keys) of a line, as arrays of hashes."""
-    size, segments = F.char_length(line), max_edits + 1
+def line_entries(lines: DataFrame, max_edits: int) -> DataFrame:
+    """``lines`` (h, line) as (h, c, entries): the (side, key) structs of the index entries and of the probes."""
+    segments, out = max_edits + 1, []
+    sized = lines.select("h", "line", letter_counts(F.col("line")).alias("c"), F.char_length("line").alias("size"))
+    names = {(d, k): f"s{d}_{k}" for d in range(max_edits + 1) for k in range(segments + 1)}
+    cut = sized.select("h", "line", "c", *(
+        F.floor((F.col("size") - d) * k / segments).cast("int").alias(name) for (d, k), name in names.items()))
 
-    def key(length, k, start, width):
-        return F.xxhash64(length, F.lit(k), line.substr(start + 1, width))
+    def entry(side, d, k, shift):
+        start, end = F.col(names[d, k]), F.col(names[d, k + 1])
+        return F.struct(F.lit(side).alias("side"),
+                        F.xxhash64(F.col(names[d, segments]), F.lit(k),
+                                   F.col("line").substr(start + (1 + shift), end - start)).alias("key"))
 
-    index = [key(size, k, start, width) for k, (start, width) in enumerate(segment_bounds(size, segments))]
-    probes = []
+    out += [entry(INDEX, 0, k, 0) for k in range(segments)]
     for shorter in range(max_edits + 1):
-        length = size - shorter
-        for k, (start, width) in enumerate(segment_bounds(length, segments)):
+        for k in range(segments):
             left, right = k, max_edits - k  # edits that may lie before and behind the segment
             for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                probes.append(key(length, k, start + shift, width))
-    return F.array(*index), F.array(*probes)
+                out.append(entry(PROBE, shorter, k, shift))
+    return cut.select("h", "c", F.array(*out).alias("entries"))
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of the letter classes, 4 bits each."""
-    size = F.char_length(line)
-    parts = [F.shiftleft(((size - F.char_length(F.translate(line, letters, ""))) % 16).cast("long"), 4 * k)
-             for k, letters in enumerate(LETTER_CLASSES)]
-    return reduce(lambda a, b: a.bitwiseOR(b), parts).cast("long")
+    """Counts of the letters, 4 bits each."""
+    parts = [F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 16, 4 * k)
+             for k, letter in enumerate(LETTERS)]
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
 def counts_apart(a: Column, b: Column) -> Column:
     """Sum of the differences of two letter counts, each taken the short way round modulo 16."""
     out = F.lit(0)
-    for k in range(len(LETTER_CLASSES)):
+    for k in range(len(LETTERS)):
         d = F.pmod(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)),
                    F.lit(16))
         out = out + F.least(d, F.lit(16) - d)
@@ -87,18 +84,19 @@ def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
     """
     k = max_edits
     width = 2 * k + 1
-    full = F.lit((1 << width) - 1)
-    x, y, rows = F.split(a, ""), F.split(b, ""), F.char_length(a)
+    full, rows = F.lit((1 << width) - 1), F.char_length(a)
 
     def bit(value, r):
         return F.shiftright(value, r).bitwiseAND(F.lit(1))
 
-    def step(state, j):
-        vp, vn, score = state["vp"], state["vn"], state["score"]
-        char = F.get(y, j - 1)
-        match = reduce(lambda p, q: p.bitwiseOR(q), [
-            F.when((j - k + r >= 1) & (F.get(x, j - k + r - 1) == char), F.lit(1 << r)).otherwise(F.lit(0))
-            for r in range(width)])
+    def matches(lines):
+        """For each column, the rows of its band that hold its character."""
+        return F.transform(F.sequence(F.lit(1), F.char_length(b)), lambda j: reduce(lambda p, q: p.bitwiseOR(q), [
+            F.when((j - k + r >= 1) & (F.get(lines["x"], j - k + r - 1) == F.get(lines["y"], j - 1)), F.lit(1 << r))
+            .otherwise(F.lit(0)) for r in range(width)]))
+
+    def step(state, match):
+        j, vp, vn, score = state["j"], state["vp"], state["vn"], state["score"]
         d0 = (match.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(full)
         hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(full))
         hn = d0.bitwiseAND(vp)
@@ -108,13 +106,16 @@ def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
                  - F.call_function("shiftright", hn, at).bitwiseAND(F.lit(1)))
         moved = F.shiftright(d0, 1)
         return F.struct(
+            (j + 1).alias("j"),
             hn.bitwiseOR(F.bitwise_not(moved.bitwiseOR(hp)).bitwiseAND(full)).cast("int").alias("vp"),
             moved.bitwiseAND(hp).cast("int").alias("vn"),
             (score + F.when(j + k <= rows, down).otherwise(along)).cast("int").alias("score"))
 
-    start = F.struct(F.lit(((1 << (k + 1)) - 1) << k).cast("int").alias("vp"), F.lit(0).alias("vn"),
-                     F.lit(k).alias("score"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(b)), start, step, lambda s: s["score"])
+    start = F.struct(F.lit(1).alias("j"), F.lit(((1 << (k + 1)) - 1) << k).cast("int").alias("vp"),
+                     F.lit(0).alias("vn"), F.lit(k).alias("score"))
+    # an array of one, mapped, so that the lines are taken apart once and not at every step
+    both = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
+    return F.aggregate(F.get(F.transform(both, matches), 0), start, step, lambda s: s["score"])
 
 
 def _split_lines(docs: DataFrame) -> DataFrame:
@@ -142,15 +143,14 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
         return (held.select("want", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
                 .where(F.array_contains("want", F.col("pos"))).select(F.xxhash64("line").alias("h"), "line"))
 
-    index, probes = line_keys(F.col("line"), max_edits)
-    texts = texts_of(long)
-    left = texts.select(F.col("h").alias("ha"), letter_counts(F.col("line")).alias("ca"),
-                        F.explode(index).alias("key"))
-    right = texts.select(F.col("h").alias("hb"), letter_counts(F.col("line")).alias("cb"),
-                         F.explode(F.array_distinct(probes)).alias("key"))
+    # one shuffle of the entries serves both sides of the join: index entries and probes meet by side < side
+    entries = (line_entries(texts_of(long), max_edits).select("h", "c", F.explode("entries").alias("e"))
+               .select(F.col("e.key").alias("key"), F.col("e.side").alias("side"), "h", "c"))
+    left = entries.toDF("key", "side_a", "ha", "ca")
+    right = entries.toDF("key_b", "side_b", "hb", "cb")
     pairs = written(
-        left.join(right, (left.key == right.key) & (F.col("ha") != F.col("hb"))
-                  & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * max_edits))
+        left.join(right, (F.col("key") == F.col("key_b")) & (F.col("side_a") < F.col("side_b"))
+                  & (F.col("ha") != F.col("hb")) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * max_edits))
         .select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct(), "line-pairs")
     ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     known = written(texts_of(long.join(ends, "h", "left_semi")).join(long.select("h", "at"), "h"), "pair-lines")

@@ -29,46 +29,43 @@ MIN_CHARS = 20
 NEAR_CHARS = 60
 # Letters of the count filter; a count is kept modulo 16.
 LETTERS = "enitas"
+# More letters, looked at before a pair is verified.
+MORE_LETTERS = "rohdlucm", "gwbpfvzk"
 LAST = 2**63 - 1
 
 
-INDEX, PROBE = 0, 1
-
-
 def line_entries(lines: DataFrame, max_edits: int) -> DataFrame:
-    """``lines`` (h, line) as (h, c, entries): the (side, key) structs of the index entries and of the probes."""
+    """``lines`` (h, line) as (h, c, keys): max_edits + 1 keys of the index entries, then those of the probes."""
     segments, out = max_edits + 1, []
     sized = lines.select("h", "line", letter_counts(F.col("line")).alias("c"), F.char_length("line").alias("size"))
     names = {(d, k): f"s{d}_{k}" for d in range(max_edits + 1) for k in range(segments + 1)}
     cut = sized.select("h", "line", "c", *(
         F.floor((F.col("size") - d) * k / segments).cast("int").alias(name) for (d, k), name in names.items()))
 
-    def entry(side, d, k, shift):
+    def key(d, k, shift):
         start, end = F.col(names[d, k]), F.col(names[d, k + 1])
-        return F.struct(F.lit(side).alias("side"),
-                        F.xxhash64(F.col(names[d, segments]), F.lit(k),
-                                   F.col("line").substr(start + (1 + shift), end - start)).alias("key"))
+        return F.xxhash64(F.col(names[d, segments]), F.lit(k), F.col("line").substr(start + (1 + shift), end - start))
 
-    out += [entry(INDEX, 0, k, 0) for k in range(segments)]
+    out += [key(0, k, 0) for k in range(segments)]
     for shorter in range(max_edits + 1):
         for k in range(segments):
             left, right = k, max_edits - k  # edits that may lie before and behind the segment
             for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                out.append(entry(PROBE, shorter, k, shift))
-    return cut.select("h", "c", F.array(*out).alias("entries"))
+                out.append(key(shorter, k, shift))
+    return cut.select("h", "c", F.array(*out).alias("keys"))
 
 
-def letter_counts(line: Column) -> Column:
+def letter_counts(line: Column, letters: str = LETTERS) -> Column:
     """Counts of the letters, 4 bits each."""
     parts = [F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 16, 4 * k)
-             for k, letter in enumerate(LETTERS)]
+             for k, letter in enumerate(letters)]
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
-def counts_apart(a: Column, b: Column) -> Column:
+def counts_apart(a: Column, b: Column, letters: str = LETTERS) -> Column:
     """Sum of the differences of two letter counts, each taken the short way round modulo 16."""
     out = F.lit(0)
-    for k in range(len(LETTERS)):
+    for k in range(len(letters)):
         d = F.pmod(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)),
                    F.lit(16))
         out = out + F.least(d, F.lit(16) - d)
@@ -144,8 +141,8 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
                 .where(F.array_contains("want", F.col("pos"))).select(F.xxhash64("line").alias("h"), "line"))
 
     # one shuffle of the entries serves both sides of the join: index entries and probes meet by side < side
-    entries = (line_entries(texts_of(long), max_edits).select("h", "c", F.explode("entries").alias("e"))
-               .select(F.col("e.key").alias("key"), F.col("e.side").alias("side"), "h", "c"))
+    entries = (line_entries(texts_of(long), max_edits).select("h", "c", F.posexplode("keys").alias("at", "key"))
+               .select("key", (F.col("at") > max_edits).alias("side"), "h", "c"))
     left = entries.toDF("key", "side_a", "ha", "ca")
     right = entries.toDF("key_b", "side_b", "hb", "cb")
     pairs = written(
@@ -158,6 +155,8 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     two = known.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("at").alias("atb"))
     near = (pairs.join(one, "a").join(two, "b")
             .where(F.abs(F.char_length("la") - F.char_length("lb")) <= max_edits)
+            .where(sum(counts_apart(letter_counts(F.col("la"), some), letter_counts(F.col("lb"), some), some)
+                       for some in (LETTERS, *MORE_LETTERS)) <= 2 * max_edits)
             .where(banded_distance(F.col("la"), F.col("lb"), max_edits) <= max_edits)
             .select(F.greatest("ata", "atb").alias("at")).distinct()
             .select(F.col("at.r").alias("rid"), F.nullif(F.col("at.o"), F.lit(LAST)).alias("id"),

@@ -190,18 +190,19 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     docs = keyed.select(col(rid).alias("rid"), col(own).alias("id"), col(text_col).alias("text"))
     _, total = measured(df, text_col)
     parts = max(shuffle_partitions(df.sparkSession), -(-total // (32 << 20)))
-    gone = (repeated_lines(docs, max_edits, min_chars, near_chars, dealt=docs.repartition(parts, "rid"))
-            .groupBy("rid").agg(F.collect_set("pos").alias("gone"),
-                                F.count_if(~F.col("near")).alias("e"), F.count_if("near").alias("n"))
-            .select(F.col("rid").alias("gone_rid"), "gone", "e", "n"))
-    merged = keyed.repartition(parts, col(rid)).join(gone, col(rid) == F.col("gone_rid"), "left")
+    key, gone, near = fresh_names(df, "gone_rid", "gone", "gone_near")
+    drops = (repeated_lines(docs, max_edits, min_chars, near_chars, dealt=docs.repartition(parts, "rid"))
+             .groupBy("rid").agg(F.collect_set("pos").alias(gone), F.count_if("near").alias(near))
+             .withColumnRenamed("rid", key))
+    merged = keyed.repartition(parts, col(rid)).join(drops, col(rid) == F.col(key), "left")
     lines = F.split(col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     return merged.select(
-        *(F.when(F.col("gone").isNull(), col(c)).otherwise(kept).alias(c) if c == text_col else col(c)
+        *(F.when(F.col(gone).isNull(), col(c)).otherwise(kept).alias(c) if c == text_col else col(c)
           for c in df.columns),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines),
-        F.coalesce("e", F.lit(0)).cast("long").alias(n_equal), F.coalesce("n", F.lit(0)).cast("long").alias(n_near))
+        F.coalesce(F.size(gone) - F.col(near), F.lit(0)).cast("long").alias(n_equal),
+        F.coalesce(near, F.lit(0)).cast("long").alias(n_near))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -148,9 +148,8 @@ def write_packed(df: DataFrame, folder: str, **options) -> DataFrame:
 
 def position_ids(cu_seqlens: np.ndarray, row: int = ROW) -> np.ndarray:
     """Positions of a sequence: from 0 in every segment and in the filling."""
-    out = np.arange(row)
-    starts = np.unique(np.minimum(cu_seqlens, row - 1))
-    return out - np.repeat(starts, np.diff(np.append(starts, row)))
+    starts = np.unique(cu_seqlens[cu_seqlens < row])
+    return np.arange(row) - np.repeat(starts, np.diff(np.append(starts, row)))
 
 
 def _digest(batches):

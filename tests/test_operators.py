@@ -230,7 +230,7 @@ def test_shapley_sums_to_prob_minus_base(spark):
     fn = X.linear_prob_fn(feats, sc, lin)
     probs = {r.k: r.prob for r in fn(df).collect()}
     for exact in (True, False):
-        phi = X.shapley(df, "k", feats, med, fn, max_exact=10 if exact else 0, n_perm=16)
+        phi = X.shapley(df, "k", feats, med, fn, method="exact" if exact else "sampled", n_perm=16)
         for r in phi.groupBy("k").agg(F.sum("contribution").alias("s"), F.first("base").alias("b")).collect():
             assert r.s == pytest.approx(probs[r.k] - r.b, abs=1e-9)
 
@@ -273,8 +273,7 @@ def test_package_roundtrip(spark, planted, tmp_path):
     feats = ["x1", "x2", "x3"]
     m = ML.fit("forest", train, feats, "y", {"trees": 5, "depth": 4})
     pkg = Package("forest", m, feats, "y", scaler={f: (0.0, 1.0) for f in feats}, medians={f: 0.0 for f in feats})
-    save_package(pkg, str(tmp_path / "pkg"))
-    back = load_package(spark, str(tmp_path / "pkg"))
+    back = load_package(spark, save_package(pkg, str(tmp_path / "pkg")))
     a = {r.id: r.prob for r in S.score(test, pkg, "id").collect()}
     b = {r.id: r.prob for r in S.score(test, back, "id").collect()}
     assert a == b and len(a) == test.count()

@@ -71,19 +71,29 @@ def bucket_ids(df: DataFrame, by: list[str], value: str, buckets: int | None = N
     return df.withColumn(out, expr)
 
 
+def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> tuple[DataFrame, Column]:
+    """``right`` with ``cols`` renamed, and the null-safe equality of the columns: a NULL group is a group."""
+    renamed, cond = right, F.lit(True)
+    for i, c in enumerate(cols):
+        renamed = renamed.withColumnRenamed(c, f"_same{i}")
+        cond = cond & col(c).eqNullSafe(F.col(f"_same{i}"))
+    return renamed, cond
+
+
 def prefix_sums(df: DataFrame, by: list[str], order: str, weights: list[str],
                 descending: bool = False, buckets: int | None = None,
-                uniform_unit: bool = False) -> DataFrame:
+                uniform_unit: bool = False, tie: str | None = None) -> DataFrame:
     """For rows distinct on ``(by, order)`` add ``<w>_before``: the sum of ``w``
     over rows of the same group that come strictly earlier in ``order``.
 
     ``uniform_unit`` marks an order value known to be uniform on [0, 1) (an md5
     fraction): buckets are then ``floor(v * buckets)`` and need no bounds pass.
+    ``tie`` orders rows of equal ``order`` (a row key). A NULL group is kept.
     """
     key = "_ord"
     work = df.withColumn(key, (-col(order) if descending else col(order)).cast("double"))
     if uniform_unit:
-        nb = buckets or _default_buckets(df)
+        nb = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
         raw = F.least(F.floor(col(order).cast("double") * F.lit(nb)), F.lit(nb - 1)).cast("int")
         work = work.withColumn("_bucket", (F.lit(nb - 1) - raw) if descending else raw)
     else:
@@ -95,8 +105,10 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, weights: list[str],
         F.coalesce(F.sum(f"_t_{i}").over(wb), F.lit(0)).alias(f"_o_{i}") for i in range(len(weights))
     ])
     # groups x buckets rows: bounded by the bucket count, safe to broadcast
-    joined = work.join(F.broadcast(offsets), on=[*by, "_bucket"], how="inner")
-    wl = Window.partitionBy(*gcols, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, "_bucket"]
+    offsets, same = _same(work, offsets, keys)
+    joined = work.join(F.broadcast(offsets), same).drop(*[f"_same{i}" for i in range(len(keys))])
+    wl = Window.partitionBy(*gcols, "_bucket").orderBy(key, *([col(tie)] if tie else [])).rowsBetween(Window.unboundedPreceding, -1)
     out = joined
     for i, w in enumerate(weights):
         out = out.withColumn(f"{w}_before", F.col(f"_o_{i}") + F.coalesce(F.sum(col(w)).over(wl), F.lit(0)))
@@ -155,12 +167,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     return wide
 
 
-def hash_rank(df: DataFrame, by: list[str], u: str, out: str = "hash_rank") -> DataFrame:
+def hash_rank(df: DataFrame, by: list[str], u: str, out: str = "hash_rank", tie: str | None = None) -> DataFrame:
     """1-based rank of each row inside its group by an md5 fraction column
-    ``u`` (uniform on [0, 1), distinct per row): bucketed prefix counts, no
-    group-wide window."""
+    ``u`` (uniform on [0, 1)), equal fractions by the key ``tie``: bucketed
+    prefix counts, no group-wide window."""
     counted = df.withColumn("_one", F.lit(1))
-    pre = prefix_sums(counted, by, u, ["_one"], uniform_unit=True)
+    pre = prefix_sums(counted, by, u, ["_one"], uniform_unit=True, tie=tie)
     return pre.withColumn(out, (F.col("_one_before") + 1).cast("long")).drop("_one", "_one_before")
 
 
@@ -169,7 +181,8 @@ def smallest_n(df: DataFrame, by: list[str], u: str, n_by_group: DataFrame, n_co
     (``n_by_group``: one row per group, broadcast — bounded by group count)."""
     ranked = hash_rank(df, by, u, "_hr")
     if by:
-        ranked = ranked.join(F.broadcast(n_by_group.select(*by, n_col)), on=by, how="inner")
+        quota, same = _same(ranked, n_by_group.select(*[col(b) for b in by], n_col), by)
+        ranked = ranked.join(F.broadcast(quota), same).drop(*[f"_same{i}" for i in range(len(by))])
     else:
         ranked = ranked.withColumn("_k0", F.lit(0)).join(
             F.broadcast(n_by_group.select(n_col).withColumn("_k0", F.lit(0))), on="_k0").drop("_k0")

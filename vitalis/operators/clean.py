@@ -26,7 +26,6 @@ NUMERIC_ACCEPT_BELOW = 0.9
 NULL_LABEL = "nan"
 
 # A codebook above this many rows is joined with a shuffle instead of broadcast.
-BROADCAST_CODEBOOK_ROWS = 2_000_000
 
 
 # --- P1 / P7 -----------------------------------------------------------------
@@ -128,43 +127,36 @@ def fit_codebook(df: DataFrame, cols: list[str] | None = None, null_label: str |
     kv = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), lab(c).alias("label")) for c in cols
     ])).alias("kv")).select("kv.*").where(F.col("label").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("label")
-    return kv.select("column", "label", (F.row_number().over(w) - 1).cast("int").alias("code"))
-
-
-def encode(df: DataFrame, book: DataFrame, null_label: str | None = None) -> DataFrame:
-    """Replace each codebook column by its code (unseen label -> NULL).
-
-    The codebook is collected into a literal map when it is small (checked row
-    count), so encoding is a narrow projection; otherwise it is joined."""
-    # one bounded collect decides the path: literal map when small, join beyond
-    rows = book.limit(BROADCAST_CODEBOOK_ROWS + 1).collect()
-    if len(rows) <= BROADCAST_CODEBOOK_ROWS:
-        maps: dict[str, dict[str, int]] = {}
-        for r in rows:
-            maps.setdefault(r["column"], {})[r["label"]] = r["code"]
-        cols = [c for c in maps if c in df.columns]
-        if not cols:
-            return df
-
-        def enc(c: str) -> Column:
-            v = col(c).cast("string")
-            if null_label is not None:
-                v = F.coalesce(v, F.lit(null_label))
-            m = F.create_map(*[x for k, code in sorted(maps[c].items()) for x in (F.lit(k), F.lit(code))])
-            return F.try_element_at(m, v).cast("int").alias(c)
-
-        return df.select(*[enc(c) if c in cols else col(c) for c in df.columns])
-    cols = [r["column"] for r in book.select("column").distinct().collect() if r["column"] in df.columns]
+    # ranks without one task per column: range partitions in label order, each with a local rank and an offset
+    ranged = (kv.repartitionByRange("column", "label").withColumn("_part", F.spark_partition_id())
+              .checkpoint(eager=True))
+    local = Window.partitionBy("column", "_part").orderBy("label")
+    before = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy("column", "_part").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    return (ranged.withColumn("_rank", F.row_number().over(local)).join(offsets, ["column", "_part"])
+            .select("column", "label", (F.col("_before") + F.col("_rank") - 1).cast("int").alias("code")))
+
+
+def code_of(df: DataFrame, book: DataFrame, cols: list[str], null_label: str | None = None,
+            kind: str = "int") -> DataFrame:
+    """``df`` with the text columns ``cols`` replaced by their codes (unseen label -> NULL, NULL -> the code of
+    ``null_label``). One join per column on the label; Spark broadcasts a column's labels when they are few."""
     out = df
     for c in cols:
-        sub = book.where(F.col("column") == c).select(F.col("label").alias("_lab"), F.col("code").alias("_code"))
         v = col(c).cast("string")
-        if null_label is not None:
-            v = F.coalesce(v, F.lit(null_label))
-        out = (out.withColumn("_lab", v).join(sub, on="_lab", how="left")
-               .withColumn(c, F.col("_code")).drop("_lab", "_code"))
-    return out.select(*df.columns)
+        labels = book.where(F.col("column") == c).select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+        out = (out.withColumn("_own", F.coalesce(v, F.lit(null_label)) if null_label is not None else v)
+               .join(labels, F.col("_own") == F.col("_label"), "left")
+               .withColumn(c, F.col("_code").cast(kind)).drop("_own", "_label", "_code"))
+    return out.select(*[col(c) for c in df.columns])
+
+
+def encode(df: DataFrame, book: DataFrame, null_label: str | None = None, cols: list[str] | None = None) -> DataFrame:
+    """Replace each codebook column (or ``cols``) by its code (unseen label -> NULL)."""
+    if cols is None:  # one row per column
+        cols = sorted(r["column"] for r in book.select("column").distinct().collect())
+    return code_of(df, book, [c for c in cols if c in df.columns], null_label)
 
 
 def clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,7 +168,7 @@ def clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = text_columns(df)
     df = fill_mode(df, texts)
     book = fit_codebook(df, texts)
-    return encode(df, book), book
+    return encode(df, book, cols=texts), book
 
 
 # --- P8 / P9 / P10 -----------------------------------------------------------

@@ -4,9 +4,9 @@ For each row and each coalition S of features, the row's values are kept for
 the features in S and replaced by the background (the stored medians) for the
 rest; one model ``transform`` scores every hybrid row. With F features:
 
-* exact (F <= ``max_exact``): all 2^F coalitions; ``phi_i = sum_S v(S) * c_i(S)``
+* ``method="exact"``: all 2^F coalitions; ``phi_i = sum_S v(S) * c_i(S)``
   with ``c_i(S) = w(|S|-1)`` if i in S else ``-w(|S|)``, ``w(s) = s!(F-s-1)!/F!``;
-* sampled: ``n_perm`` permutations per row drawn from md5 of (row, seed); each
+* ``method="sampled"``: ``n_perm`` permutations per row drawn from md5 of (row, seed); each
   permutation contributes ``v(prefix_j) - v(prefix_{j-1})`` to its j-th feature.
 
 Work is linear in rows (rows x coalitions hybrid rows, explode + one grouped
@@ -31,15 +31,17 @@ def _weight(s: int, f: int) -> float:
 
 
 def shapley(df: DataFrame, key: str, features: list[str], medians: dict[str, float], prob_fn,
-            max_exact: int = 10, n_perm: int = 32, seed: int = 42) -> DataFrame:
+            method: str = "exact", n_perm: int = 32, seed: int = 42) -> DataFrame:
     """``(key, feature, contribution, base)`` for every row and feature.
 
     ``prob_fn(hybrid_df) -> hybrid_df + prob`` scores a DataFrame holding the
     feature columns (and any other columns, which it must keep)."""
+    if method not in ("exact", "sampled"):
+        raise ValueError("method must be 'exact' or 'sampled'")
     nf = len(features)
     bg = {f: float(medians.get(f) or 0.0) for f in features}
     base_df = df.select(col(key), *[as_double(f).alias(f) for f in features])
-    if nf <= max_exact:
+    if method == "exact":
         masks = list(range(1 << nf))
         coal = base_df.select(col(key), *[col(f) for f in features],
                               F.explode(F.array(*[F.lit(m) for m in masks])).alias("_mask"))

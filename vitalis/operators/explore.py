@@ -226,13 +226,15 @@ def melt(df: DataFrame, ids: list[str], name: str, value: str) -> DataFrame:
 
 # --- E12 ---------------------------------------------------------------------
 def scatter3d_points(df: DataFrame, key: str, x: str, y: str, z: str, by: str,
-                     max_points: int = 5000, seed: int = 42) -> DataFrame:
-    """Points for a 3-axis plot, a deterministic hash sample of at most
-    ``max_points`` rows (top-k by md5 fraction: each task keeps k, bounded)."""
+                     max_points: int | None = None, seed: int = 42) -> DataFrame:
+    """Points for a 3-axis plot: every row, or with ``max_points`` a deterministic
+    hash sample of so many (top-k by md5 fraction: each task keeps k)."""
     u = unit_hash(col(key), seed, "scatter")
-    return (df.select(col(key).alias("key"), as_double(x).alias("x"), as_double(y).alias("y"),
-                      as_double(z).alias("z"), col(by).alias("grp"), u.alias("_u"))
-            .orderBy("_u").limit(max_points).drop("_u"))
+    points = (df.select(col(key).alias("key"), as_double(x).alias("x"), as_double(y).alias("y"),
+                      as_double(z).alias("z"), col(by).alias("grp"), u.alias("_u")))
+    if max_points is not None:
+        points = points.orderBy("_u", "key").limit(max_points)
+    return points.drop("_u")
 
 
 # --- E13 ---------------------------------------------------------------------
@@ -242,8 +244,9 @@ def t_tests(df: DataFrame, target: str, cols: list[str] | None = None, alpha: fl
     Student-t tail on the one-row-per-column result. Empty unless the target has
     exactly two distinct values (NULL counts as a value)."""
     stats = t_test_stats(df, target, cols)
-    return stats.withColumn("p", F.round(t_pvalue(F.col("t"), F.col("dof")), 5)).withColumn(
+    judged = stats.withColumn("p", t_pvalue(F.col("t"), F.col("dof"))).withColumn(
         "significant", F.col("p") < F.lit(alpha))
+    return judged.withColumn("p", F.round("p", 5))
 
 
 def t_test_stats(df: DataFrame, target: str, cols: list[str] | None = None) -> DataFrame:

@@ -210,12 +210,12 @@ def intrinsic_importance(model, features: list[str], spark) -> DataFrame | None:
 # --- F6 ------------------------------------------------------------------------------
 SEARCH_SPACES = {
     # fixed values: the candidate lists of the studied application's random search
-    "svm": {"C": [0.1, 1, 10, 100], "gamma": ["scale", "auto", 0.1, 0.01], "kernel": ["rbf", "linear", "poly"]},
-    "forest": {"trees": [50, 100, 200], "depth": [None, 10, 20, 30], "min_samples_split": [2, 5, 10]},
+    "svm": {"C": [0.1, 1, 10, 100], "kernel": ["linear", "rbf", "poly"], "gamma": ["scale", "auto", 0.1, 0.01]},
+    "forest": {"trees": [50, 100, 200, 300], "depth": [None, 10, 20, 30], "min_samples_split": [2, 5, 10]},
     "logreg": {"C": [0.01, 0.1, 1, 10, 100]},
-    "knn": {"k": [3, 5, 7, 9, 11, 15, 19], "weights": ["uniform", "distance"]},
-    "boost": {"trees": [50, 100, 200], "rate": [0.01, 0.05, 0.1, 0.2], "depth": [3, 5, 7],
-              "subsample": [0.7, 0.8, 1.0]},
+    "knn": {"k": list(range(3, 20)), "weights": ["uniform", "distance"]},
+    "boost": {"trees": [50, 100, 200, 300], "depth": [3, 5, 7, 10], "rate": [0.01, 0.05, 0.1, 0.2],
+              "subsample": [0.6, 0.8, 1.0]},
 }
 
 
@@ -245,7 +245,16 @@ def random_search(model_type: str, train: DataFrame, features: list[str], label:
 
     cands = sample_grid(space or SEARCH_SPACES[model_type], n_iter, seed)
     data = stratified_folds(_prepare(train, features, label).withColumn(key, col(key)), key, "label", folds, seed).cache()
-    n = data.count()
+    n = data.count() * (folds - 1) / folds  # rows that a fold's fit sees: C is per row
+
+    def refit(scores: list[float]):
+        """The best parameters fitted on all rows, where C counts all of them."""
+        best = int(np.argmax(scores))
+        model = fit(model_type, data, features, "label", cands[best], key=key, seed=seed)
+        if model_type != "knn":  # a k-NN model keeps its training rows
+            data.unpersist()
+        return model, cands[best], list(zip(cands, scores))
+
     if model_type != "knn" and not (model_type == "svm"):
         base = build_pipeline(model_type, features, cands[0], n, data, seed)
         clf = base.getStages()[-1]
@@ -268,12 +277,10 @@ def random_search(model_type: str, train: DataFrame, features: list[str], label:
                     m[attr] = val
             grid.append(m)
         ev = MulticlassClassificationEvaluator(metricName="recallByLabel", metricLabel=1.0)
-        cv = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
+        cv = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=folds,
                             parallelism=parallelism, seed=seed)
-        cvm = cv.fit(data)
-        scores = list(cvm.avgMetrics)
-        best = int(np.argmax(scores))
-        return cvm.bestModel, cands[best], list(zip(cands, scores))
+        scores = list(cv.fit(data).avgMetrics)
+        return refit(scores)
 
     def score(c: dict) -> float:
         vals = []
@@ -285,8 +292,7 @@ def random_search(model_type: str, train: DataFrame, features: list[str], label:
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         scores = list(pool.map(score, cands))
-    best = int(np.argmax(scores))
-    return fit(model_type, data, features, "label", cands[best], key=key, seed=seed), cands[best], list(zip(cands, scores))
+    return refit(scores)
 
 
 # --- F7 ------------------------------------------------------------------------------
@@ -305,18 +311,22 @@ def learning_curve(model_type: str, df: DataFrame, features: list[str], label: s
         r = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
         return float(r or 0.0)
 
-    def run(args):
-        f, frac = args
-        tr = data.where(F.col("fold") != f)
-        n_tr = tr.count()
-        n_take = int(frac * n_tr)
-        sub = hash_rank(tr, [], "_lu", "_r").where(F.col("_r") <= n_take).drop("_r")
-        m = fit(model_type, sub, features, "label", params or {}, key=key, seed=seed)
-        return (f, frac, n_take, acc(predict(m, sub, features, key)),
-                acc(predict(m, data.where(F.col("fold") == f), features, key)))
+    def run(f):
+        """All sizes of one fold: its training rows are ranked and counted once."""
+        tr = hash_rank(data.where(F.col("fold") != f), [], "_lu", "_r", tie=key).cache()
+        n_tr, out = tr.count(), []
+        for frac in fracs:
+            n_take = int(frac * n_tr)
+            sub = tr.where(F.col("_r") <= n_take).drop("_r")
+            m = fit(model_type, sub, features, "label", params or {}, key=key, seed=seed)
+            out.append((f, frac, n_take, acc(predict(m, sub, features, key)),
+                        acc(predict(m, data.where(F.col("fold") == f), features, key))))
+        tr.unpersist()
+        return out
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows = list(pool.map(run, [(f, fr) for fr in fracs for f in range(cv)]))
+        rows = [r for part in pool.map(run, range(cv)) for r in part]
+    data.unpersist()
     spark = df.sparkSession
     res = spark.createDataFrame(rows, "fold int, frac double, n_train long, train_acc double, val_acc double")
     return res.groupBy("frac").agg(F.avg("n_train").alias("n_train"), F.avg("train_acc").alias("train_mean"),
@@ -339,12 +349,12 @@ def permutation_importance(model, test: DataFrame, features: list[str], label: s
     data = _prepare(test, features, label).withColumn(key, col(key))
     base_scored = predict(model, data, features, key)
     base_acc = base_scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] or 0.0
-    ranked = hash_rank(data.withColumn("_bu", unit_hash(col(key), seed, "perm-base")), [], "_bu", "_pos").drop("_bu")
+    ranked = hash_rank(data.withColumn("_bu", unit_hash(col(key), seed, "perm-base")), [], "_bu", "_pos", tie=key).drop("_bu")
     groups = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
                        for f in features for r in range(repeats)])
     exploded = ranked.select("*", F.explode(groups).alias("_g")).select("*", "_g.feature", "_g.rep").drop("_g")
     exploded = exploded.withColumn("_pu", unit_hash(col(key), seed, F.concat_ws("|", F.col("feature"), F.col("rep").cast("string"))))
-    target = hash_rank(exploded, ["feature", "rep"], "_pu", "_tpos").drop("_pu")
+    target = hash_rank(exploded, ["feature", "rep"], "_pu", "_tpos", tie=key).drop("_pu")
     donor_val = F.lit(None).cast("double")
     for f in features:
         donor_val = F.when(F.col("feature") == f, col(f)).otherwise(donor_val)

@@ -30,7 +30,6 @@ the point key, so results are deterministic.
 from __future__ import annotations
 
 import math
-import os
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,8 +71,7 @@ def grid_cuts(points: DataFrame, grid_cols: list[str], target_per_cell: int,
 
 def knn_join(queries: DataFrame, points: DataFrame, *, qkey: str, pkey: str, features: list[str], k: int,
              group: str | None = None, exclude_self: bool = False, nan_euclidean: bool = False,
-             grid_cols: list[str] | None = None, target_per_cell: int = 64, carry: list[str] | None = None,
-             max_rounds: int = 16) -> DataFrame:
+             grid_cols: list[str] | None = None, target_per_cell: int = 64, carry: list[str] | None = None) -> DataFrame:
     """For every query row, its ``k`` nearest points:
     ``(query_key, point_key, d2, rank, carry...)``. ``group`` restricts candidates to
     points of the same group value (both sides must have the column)."""
@@ -110,7 +108,7 @@ def knn_join(queries: DataFrame, points: DataFrame, *, qkey: str, pkey: str, fea
     results: list[DataFrame] = []
     pending = qs
     radius = 1
-    for _round in range(max_rounds):
+    while True:  # the radius doubles until a box spans the grid, so every query gets final
         box = pending
         for j in range(len(gidx)):
             h = F.col(f"_h{j}")
@@ -133,7 +131,8 @@ def knn_join(queries: DataFrame, points: DataFrame, *, qkey: str, pkey: str, fea
         top = top.checkpoint(eager=True)  # cut lineage between rounds (shared checkpoint dir)
         stats = top.groupBy("_qk").agg(F.count(F.lit(1)).alias("_n"), F.max("_d2").alias("_kth"))
         # distance from the query to the border of the examined box, per grid column
-        lb = F.lit(float("inf"))
+        inf = F.lit(float("inf"))
+        lower, upper = inf, inf
         full = F.lit(True)
         for j, i in enumerate(gidx):
             h, q = F.col(f"_h{j}"), F.col(f"_q{i}")
@@ -141,22 +140,21 @@ def knn_join(queries: DataFrame, points: DataFrame, *, qkey: str, pkey: str, fea
             if arr is not None:
                 below = F.when(h - radius - 1 >= 0, q - F.element_at(arr, (h - radius).cast("int")))
                 above = F.when(h + radius <= ncell[j] - 2, F.element_at(arr, (h + radius + 1).cast("int")) - q)
-                lb = F.least(lb, F.coalesce(F.when(h.isNull(), F.lit(float("inf"))), below, F.lit(float("inf"))),
-                             F.coalesce(F.when(h.isNull(), F.lit(float("inf"))), above, F.lit(float("inf"))))
+                lower = F.least(lower, F.coalesce(F.when(h.isNull(), inf), below, inf))
+                upper = F.least(upper, F.coalesce(F.when(h.isNull(), inf), above, inf))
             covers = h.isNull() | ((h - radius <= 0) & (h + radius >= ncell[j] - 1))
             full = full & covers
         judged = (pending.join(stats, on="_qk", how="left")
-                  .withColumn("_lb", lb).withColumn("_full", full)
+                  .withColumn("_lower", lower).withColumn("_upper", upper).withColumn("_full", full)
+                  # a cell begins at its lower cut: a point on the box's upper cut lies outside it, one on the
+                  # lower cut inside, so only the upper border may not be touched
                   .withColumn("_ok", F.col("_full") | ((F.coalesce(F.col("_n"), F.lit(0)) >= k)
-                                                      & (F.col("_kth") <= F.col("_lb") * F.col("_lb")))))
+                                                      & (F.col("_kth") <= F.col("_lower") * F.col("_lower"))
+                                                      & (F.col("_kth") < F.col("_upper") * F.col("_upper")))))
         judged = judged.checkpoint(eager=True)
         done_q = judged.where("_ok").select("_qk")
         results.append(top.join(done_q, on="_qk", how="left_semi"))
         pending = judged.where(~F.col("_ok")).select(*qs.columns)
-        if os.environ.get("VITALIS_DEBUG"):
-            import time as _t
-            print(f"knn round radius={radius} pending={pending.count()} grid={grid_cols} ncell={ncell} "
-                  f"t={_t.strftime('%H:%M:%S')}", flush=True)
         if pending.isEmpty():
             break
         radius *= 2

@@ -10,6 +10,12 @@ from vitalis.functions.ranking import hash_rank
 from vitalis.functions.rng import unit_hash
 
 
+def _labelled(df: DataFrame, label: str) -> DataFrame:
+    """``df``; a row without a label ends the job with a clear error instead of getting lost."""
+    message = F.raise_error(F.lit(f"the label column {label!r} holds NULL: drop or fill those rows before a split"))
+    return df.withColumn(label, F.coalesce(col(label), message.cast(df.schema[label].dataType)))
+
+
 # --- T1 ----------------------------------------------------------------------
 def split_flags(df: DataFrame, key: str, label: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``: inside each label, the ``round(test * n_label)`` rows
@@ -18,8 +24,8 @@ def split_flags(df: DataFrame, key: str, label: str, test: float = 0.2, seed: in
     if not 0.0 < test < 1.0:
         raise ValueError("test share must be in (0, 1)")
     u = "_split_u"
-    with_u = df.withColumn(u, unit_hash(col(key), seed, "split"))
-    ranked = hash_rank(with_u, [label], u, "_r")
+    with_u = _labelled(df, label).withColumn(u, unit_hash(col(key), seed, "split"))
+    ranked = hash_rank(with_u, [label], u, "_r", tie=key)
     n = with_u.groupBy(col(label).alias(label)).agg(F.count(F.lit(1)).alias("_n"))
     # one row per label value: broadcast bounded by the label cardinality
     j = ranked.join(F.broadcast(n), on=label, how="inner")
@@ -44,8 +50,8 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 3, seed:
     """Fold id = (rank inside the label by md5 fraction) mod ``folds``:
     class shares equal across folds up to one row."""
     u = "_fold_u"
-    with_u = df.withColumn(u, unit_hash(col(key), seed, "fold"))
-    ranked = hash_rank(with_u, [label], u, "_r")
+    with_u = _labelled(df, label).withColumn(u, unit_hash(col(key), seed, "fold"))
+    ranked = hash_rank(with_u, [label], u, "_r", tie=key)
     return ranked.withColumn(out, ((F.col("_r") - 1) % folds).cast("int")).drop("_r", u)
 
 

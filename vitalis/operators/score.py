@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalis.functions.columns import as_double, col
-from vitalis.operators.clean import BROADCAST_CODEBOOK_ROWS
+from vitalis.operators.clean import code_of
 from vitalis.sources.tables import require_columns
 
 # fixed values
@@ -35,34 +35,22 @@ def select_features(df: DataFrame, key: str, features: list[str], extra: list[st
     return df.select(col(key), *[col(c) for c in extra], *[col(f) for f in features])
 
 
-def codebook_maps(book: DataFrame | None) -> dict[str, dict[str, int]]:
-    """Codebook collected as per-column label maps (size checked)."""
-    if book is None:
-        return {}
-    rows = book.limit(BROADCAST_CODEBOOK_ROWS + 1).collect()
-    if len(rows) > BROADCAST_CODEBOOK_ROWS:
-        raise ValueError(f"codebook has more than {BROADCAST_CODEBOOK_ROWS} rows; too large for a literal map")
-    maps: dict[str, dict[str, int]] = {}
-    for r in rows:
-        maps.setdefault(r["column"], {})[r["label"]] = int(r["code"])
-    return maps
-
-
-def encode_for_scoring(df: DataFrame, features: list[str], book: DataFrame | dict | None) -> DataFrame:
-    """Text features -> codebook code (unseen label -> NULL) when the
-    column has a codebook, else numeric coercion; numeric features as double."""
-    maps = book if isinstance(book, dict) else codebook_maps(book)
+def encode_for_scoring(df: DataFrame, features: list[str], book: DataFrame | None,
+                       null_label: str | None = None) -> DataFrame:
+    """Text features -> codebook code (unseen label -> NULL; NULL -> the code of
+    the label that stood for it when the codebook was fitted) when the column has a
+    codebook, else numeric coercion; numeric features as double."""
     types = {f.name: f.dataType for f in df.schema.fields}
+    texts = [c for c in features if isinstance(types[c], T.StringType)]
+    coded = sorted(r["column"] for r in book.select("column").distinct().collect()) if book is not None and texts else []
+    coded = [c for c in texts if c in coded]
 
     def enc(c: str) -> Column:
-        if isinstance(types[c], T.StringType):
-            if c in maps:
-                m = F.create_map(*[x for k, v in sorted(maps[c].items()) for x in (F.lit(k), F.lit(float(v)))])
-                return F.try_element_at(m, col(c)).cast("double").alias(c)
-            return col(c).try_cast("double").alias(c)
-        return as_double(c).alias(c)
+        if c not in features or c in coded:
+            return col(c)
+        return (col(c).try_cast("double") if c in texts else as_double(c)).alias(c)
 
-    return df.select(*[enc(c) if c in features else col(c) for c in df.columns])
+    return code_of(df.select(*[enc(c) for c in df.columns]), book, coded, null_label, "double")
 
 
 # --- S3 ----------------------------------------------------------------------
@@ -98,7 +86,7 @@ def score(df: DataFrame, pkg, key: str, extra: list[str] | None = None, fallback
     from vitalis.operators.models import predict
 
     feats = pkg.features
-    x = encode_for_scoring(select_features(df, key, feats, extra), feats, pkg.codebook)
+    x = encode_for_scoring(select_features(df, key, feats, extra), feats, pkg.codebook, pkg.null_label)
     x = x.withColumn("missing_cols", missing_columns(feats))
     x = fill_medians(x, feats, pkg.medians)
     linear = pkg.linear or linear_from_model(pkg.model, feats)

@@ -166,12 +166,9 @@ def q_melt(spark, sf):
 
 @register("scatter3d_points", with_ctes(ORDER_LINES_SQL) + """
 SELECT rid AS key, round(quantity, 6) AS x, round(price, 6) AS y, round(discount, 6) AS z, returned AS grp
-FROM ol
-ORDER BY CAST(('0x' || substr(md5(rid || '|42|scatter'), 1, 13)) AS BIGINT) / 4503599627370496.0
-LIMIT 5000""")
+FROM ol""")
 def q_scatter(spark, sf):
-    return rounded(E.scatter3d_points(order_lines(spark, sf), "rid", "quantity", "price", "discount", "returned",
-                                      max_points=5000))
+    return rounded(E.scatter3d_points(order_lines(spark, sf), "rid", "quantity", "price", "discount", "returned"))
 
 
 _T = "\n  UNION ALL ".join(

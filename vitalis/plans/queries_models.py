@@ -95,7 +95,7 @@ def q_search(spark, sf):
 @register("random_search_knn")
 def q_search_knn(spark, sf):
     dl = doc_labels(spark, sf)
-    _, best, results = ML.random_search("knn", dl, DOC_FEATURES, "toxic", "doc_id", n_iter=4, folds=3)
+    _, best, results = ML.random_search("knn", dl, DOC_FEATURES, "toxic", "doc_id", n_iter=10, folds=3)
     rows = [(str(sorted(c.items())), float(s), c == best) for c, s in results]
     return spark.createDataFrame(rows, "params string, recall double, best boolean")
 

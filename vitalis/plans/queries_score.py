@@ -319,7 +319,7 @@ def q_shapley_sampled(spark, sf):
     pkg = scoring_package(spark, sf)
     scored = S.score(dirty_events(spark, sf), pkg, "event_id")
     fn = X.linear_prob_fn(SCORE_FEATURES, pkg.scaler, LINEAR)
-    return rounded(X.shapley(scored, "event_id", SCORE_FEATURES, pkg.medians, fn, max_exact=0, n_perm=8))
+    return rounded(X.shapley(scored, "event_id", SCORE_FEATURES, pkg.medians, fn, method="sampled"))
 
 
 # ============================ packages (I4 / G7) ===================================
@@ -335,6 +335,5 @@ def q_package(spark, sf):
     pkg = Package(model_type="logreg", model=m, features=DOC_FEATURES, target="toxic", scaler=sc,
                   medians=M.medians_dict(dl, DOC_FEATURES))
     path = os.path.join(checkpoint_dir(spark), f"package-{uuid.uuid4().hex}")
-    save_package(pkg, path)
-    back = load_package(spark, path)
+    back = load_package(spark, save_package(pkg, path))
     return rounded(S.verdict(S.score(dl, back, "doc_id")).select("doc_id", "prob", "risk_pct", "verdict"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 LOCAL_DEFAULTS = {
@@ -30,10 +31,14 @@ LOCAL_DEFAULTS = {
 
 def get_spark(app: str = "vitalis", cores: int | None = None) -> SparkSession:
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
-    builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for k, v in LOCAL_DEFAULTS.items():
-        builder = builder.config(k, v)
-    spark = builder.getOrCreate()
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        given = SparkConf()  # what the launcher submitted
+        builder = SparkSession.builder
+        for k, v in (LOCAL_DEFAULTS | {"spark.master": f"local[{cores}]", "spark.app.name": app}).items():
+            if not given.contains(k):
+                builder = builder.config(k, v)
+        spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
@@ -42,12 +47,14 @@ def get_spark(app: str = "vitalis", cores: int | None = None) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    On a cluster this is ``spark.checkpoint.dir`` as configured by the
-    launcher (a shared file system). Only when it is unset — local tests —
-    a fresh scratch folder is created and registered.
+    On a cluster this is ``spark.checkpoint.dir`` as configured by the launcher
+    (a shared file system), or the folder set on the context; neither set is an
+    error there. Only local tests get a fresh scratch folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="vitalis-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -41,6 +42,7 @@ class Package:
     codebook: DataFrame | None = None
     scores: DataFrame | None = None                       # label, prob of the test rows
     run_time: str = ""
+    null_label: str | None = None                         # the text that stood for NULL in the codebook
     linear: dict | None = None                            # intercept/coefficients of a logistic model
 
     def meta(self) -> dict:
@@ -48,12 +50,16 @@ class Package:
                 "params": {k: v for k, v in self.params.items()}, "metrics": self.metrics,
                 "scaler": {k: list(v) for k, v in self.scaler.items()}, "importance": self.importance,
                 "medians": self.medians, "run_time": self.run_time, "linear": self.linear,
+                "null_label": self.null_label, "parts": [n for n in ("codebook", "scores")
+                                                         if getattr(self, n) is not None],
                 "knn_key": getattr(self.model, "key", None), "knn_k": getattr(self.model, "k", None),
                 "knn_weights": getattr(self.model, "weights", None)}
 
 
 def save_package(pkg: Package, path: str) -> str:
+    """Write a package into a fresh folder below ``path``; returns that folder. Earlier saves stay as they are."""
     spark = SparkSession.getActiveSession()
+    path = os.path.join(path, f"v-{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}")
     mpath = os.path.join(path, "model")
     if isinstance(pkg.model, KnnModel):
         pkg.model.train.write.mode("overwrite").parquet(mpath)
@@ -80,17 +86,14 @@ def load_package(spark: SparkSession, path: str) -> Package:
         model = PipelineModel.load(mpath)
 
     def opt(name):
-        p = os.path.join(path, name)
-        try:
-            return spark.read.parquet(p)
-        except Exception:  # noqa: BLE001 - optional part absent
-            return None
+        return spark.read.parquet(os.path.join(path, name)) if name in meta["parts"] else None
 
     return Package(model_type=meta["model_type"], model=model, features=meta["features"], target=meta["target"],
                    params=meta.get("params") or {}, metrics=meta.get("metrics") or {},
                    scaler={k: tuple(v) for k, v in (meta.get("scaler") or {}).items()},
                    importance=meta.get("importance"), medians=meta.get("medians") or {},
                    codebook=opt("codebook"), scores=opt("scores"), run_time=meta.get("run_time", ""),
+                   null_label=meta.get("null_label"),
                    linear=meta.get("linear"))
 
 
@@ -105,7 +108,7 @@ def registry_row(spark: SparkSession, pkg: Package, name: str, path: str, active
 
 def register_package(spark: SparkSession, registry_path: str, pkg: Package, name: str, path: str,
                      active: bool = False) -> None:
-    save_package(pkg, path)
+    path = save_package(pkg, path)
     registry_row(spark, pkg, name, path, active).write.mode("append").parquet(registry_path)
 
 

@@ -119,38 +119,65 @@ def _split_lines(docs: DataFrame) -> DataFrame:
     return docs.select("rid", "id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
+SIEVE_BITS = 23  # 1 MB; beyond, more hashes pass that nobody asked for, and the joins drop them
+
+
+def sieve(hashes: DataFrame, h: str) -> Column:
+    """A bitmap of 2**SIEVE_BITS bits, as a literal, that holds the high bits of every hash."""
+    words = (hashes.select(F.shiftrightunsigned(F.col(h), 64 - SIEVE_BITS).alias("bit"))
+             .select(F.shiftright("bit", 6).cast("int").alias("word"),
+                     F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+                     .alias("mark"))
+             .groupBy("word").agg(F.bit_or("mark").alias("mark")).collect())
+    held = [0] * (1 << (SIEVE_BITS - 6))
+    for r in words:
+        held[r["word"]] = r["mark"]
+    return F.from_json(F.lit(str(held)), "array<bigint>")
+
+
+def _passes(table: Column, h: str) -> Column:
+    bits = F.shiftrightunsigned(F.col(h), 64 - SIEVE_BITS)
+    word = F.element_at(table, (F.shiftright(bits, 6) + 1).cast("int"))
+    """May the hash be one of those in the bitmap?"""
+    return F.call_function("shiftright", word, bits.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
-                   near_chars: int = NEAR_CHARS, dealt: DataFrame | None = None) -> DataFrame:
+                   near_chars: int = NEAR_CHARS) -> DataFrame:
     """(rid, id, pos, near) of the lines to drop of ``docs`` (rid, id, text); see ``dedup_lines``."""
-    dealt = docs if dealt is None else dealt
     place = F.struct(F.coalesce("id", F.lit(LAST)).alias("o"), F.col("pos").alias("p"), F.col("rid").alias("r"))
     lines = written(_split_lines(docs).where(F.char_length("line") >= min_chars)
                     .select("rid", "id", "pos", F.xxhash64("line").alias("h"),
                             F.xxhash64(F.lit(1), "line").alias("g"), F.char_length("line").alias("size")), "lines")
-    first = written(lines.groupBy("h", "g").agg(F.min(place).alias("at"), F.max("size").alias("size")), "first-lines")
-    equal = (lines.join(first.select("h", "g", "at"), ["h", "g"]).where(place != F.col("at"))
+    first = written(lines.groupBy("h", "g").agg(F.min(place).alias("at"), F.max("size").alias("size"),
+                                                F.count(F.lit(1)).alias("copies")), "first-lines")
+    equal = (lines.join(first.where("copies > 1").select("h", "g", "at"), ["h", "g"]).where(place != F.col("at"))
              .select("rid", "id", "pos", F.lit(False).alias("near")))
     long = first.where(F.col("size") >= near_chars)
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """(h, line) of first lines, taken from the documents that hold them."""
-        per_doc = (wanted.groupBy(F.col("at.r").alias("want_rid"), F.nullif(F.col("at.o"), F.lit(LAST)).alias("want_id"))
-                   .agg(F.collect_list("at.p").alias("want")))
-        held = dealt.join(per_doc, (F.col("rid") == F.col("want_rid")) & F.col("id").eqNullSafe(F.col("want_id")))
-        return (held.select("want", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-                .where(F.array_contains("want", F.col("pos"))).select(F.xxhash64("line").alias("h"), "line"))
-
-    # one shuffle of the entries serves both sides of the join: index entries and probes meet by side < side
-    entries = (line_entries(texts_of(long), max_edits).select("h", "c", F.posexplode("keys").alias("at", "key"))
-               .select("key", (F.col("at") > max_edits).alias("side"), "h", "c"))
-    left = entries.toDF("key", "side_a", "ha", "ca")
-    right = entries.toDF("key_b", "side_b", "hb", "cb")
+    # The texts of distinct lines are taken where they lie. A line that occurs once needs no look at others; those
+    # that may occur twice (by the sieve) are merged by hash first, map-side too.
+    texts = (docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line") >= near_chars)
+             .select(F.xxhash64("line").alias("h"), "line"))
+    twice = sieve(long.where("copies > 1"), "h")
+    distinct = texts.where(~_passes(twice, "h")).union(
+        texts.where(_passes(twice, "h")).groupBy("h").agg(F.min("line").alias("line")))
+
+    # one shuffle of the entries serves both sides of the join; the sides are told apart behind it
+    parts = shuffle_partitions(docs.sparkSession)
+    entries = (line_entries(distinct, max_edits).select("h", "c", F.posexplode("keys").alias("at", "key"))
+               .select("key", (F.col("at") > max_edits).alias("side"), "h", "c").repartition(parts, "key"))
+    here = F.spark_partition_id() >= 0  # keeps the filters above the shuffle
+    left = entries.where(F.when(here, ~F.col("side"))).select("key", F.col("h").alias("ha"), F.col("c").alias("ca"))
+    right = entries.where(F.when(here, F.col("side"))).select(
+        F.col("key").alias("key_b"), F.col("h").alias("hb"), F.col("c").alias("cb"))
     pairs = written(
-        left.join(right, (F.col("key") == F.col("key_b")) & (F.col("side_a") < F.col("side_b"))
-                  & (F.col("ha") != F.col("hb")) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * max_edits))
+        left.join(right, (F.col("key") == F.col("key_b")) & (F.col("ha") != F.col("hb"))
+                  & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * max_edits))
         .select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct(), "line-pairs")
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    known = written(texts_of(long.join(ends, "h", "left_semi")).join(long.select("h", "at"), "h"), "pair-lines")
+    ends = written(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "ends")
+    known = written(texts.where(_passes(sieve(ends, "h"), "h")).join(ends, "h").groupBy("h")
+                    .agg(F.min("line").alias("line")).join(long.select("h", "at"), "h"), "pair-lines")
     one = known.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("at").alias("ata"))
     two = known.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("at").alias("atb"))
     near = (pairs.join(one, "a").join(two, "b")
@@ -191,7 +218,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     _, total = measured(df, text_col)
     parts = max(shuffle_partitions(df.sparkSession), -(-total // (32 << 20)))
     key, gone, near = fresh_names(df, "gone_rid", "gone", "gone_near")
-    drops = (repeated_lines(docs, max_edits, min_chars, near_chars, dealt=docs.repartition(parts, "rid"))
+    drops = (repeated_lines(docs, max_edits, min_chars, near_chars)
              .groupBy("rid").agg(F.collect_set("pos").alias(gone), F.count_if("near").alias(near))
              .withColumnRenamed("rid", key))
     merged = keyed.repartition(parts, col(rid)).join(drops, col(rid) == F.col(key), "left")

@@ -288,7 +288,8 @@ def _best_features(n_clean: int, n_toxic: int):
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = n * (toxic * (n_clean - clean) - clean * (n_toxic - toxic)) ** 2 / (
                 both * (n - both) * float(n_clean) * n_toxic)
-        chi = np.where((both >= LEAST_DOCS) & (both < n), chi, 0.0)
+        # only what speaks for toxicity: a text is not cleared by what else it says
+        chi = np.where((both >= LEAST_DOCS) & (both < n) & (toxic * n > both * n_toxic), chi, 0.0)
         top = np.lexsort((f, -chi))[:FEATURES]
         top = top[chi[top] > 0]
         return pa.Table.from_arrays([pa.array(f[top]), pa.array(chi[top])], ["feature", "chi"])

@@ -35,24 +35,30 @@ LAST = 2**63 - 1
 
 
 def line_entries(lines: DataFrame, max_edits: int) -> DataFrame:
-    """``lines`` (h, line) as (h, c, keys): max_edits + 1 keys of the index entries, then those of the probes."""
-    segments, out = max_edits + 1, []
-    sized = lines.select("h", "line", letter_counts(F.col("line")).alias("c"), F.char_length("line").alias("size"))
-    names = {(d, k): f"s{d}_{k}" for d in range(max_edits + 1) for k in range(segments + 1)}
-    cut = sized.select("h", "line", "c", *(
-        F.floor((F.col("size") - d) * k / segments).cast("int").alias(name) for (d, k), name in names.items()))
-
-    def key(d, k, shift):
-        start, end = F.col(names[d, k]), F.col(names[d, k + 1])
-        return F.xxhash64(F.col(names[d, segments]), F.lit(k), F.col("line").substr(start + (1 + shift), end - start))
-
-    out += [key(0, k, 0) for k in range(segments)]
-    for shorter in range(max_edits + 1):
-        for k in range(segments):
-            left, right = k, max_edits - k  # edits that may lie before and behind the segment
-            for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                out.append(key(shorter, k, shift))
-    return cut.select("h", "c", F.array(*out).alias("keys"))
+    """(key, indexed, h, c) of ``lines`` (h, line): a key for each segment and each place where it may be found.
+
+    The segments of the line itself, unshifted, are index entries and probes at once
+    (``indexed``); the others are probes of shorter lines or of shifted segments.
+    Built one segment a row, so that the generated code stays small enough to be compiled.
+    """
+    segments = max_edits + 1
+    per_segment = (lines.select("h", "line", letter_counts(F.col("line")).alias("c"),
+                                F.char_length("line").alias("size"))
+                   .select("h", "line", "c", "size", F.explode(F.array(*map(F.lit, range(segments)))).alias("k")))
+    size, k, keys = F.col("size"), F.col("k"), []
+    for shorter in range(segments):
+        length = size - shorter
+        start = F.floor(length * k / segments).cast("int")
+        width = F.floor(length * (k + 1) / segments).cast("int") - start
+        for shift in sorted(range(-max_edits, max_edits + 1), key=abs):
+            # k edits may lie before segment k, max_edits - k behind it
+            fits = [j for j in range(segments) if max(-j, shorter - (max_edits - j)) <= shift
+                    <= min(j, shorter + (max_edits - j))]
+            if fits:
+                key = F.xxhash64(length, k, F.col("line").substr(start + (1 + shift), width))
+                keys.append(key if len(fits) == segments else F.when(k.isin(fits), key))
+    return (per_segment.select("h", "c", F.posexplode(F.array(*keys)).alias("at", "key"))
+            .where(F.col("key").isNotNull()).select("key", (F.col("at") == 0).alias("indexed"), "h", "c"))
 
 
 def letter_counts(line: Column, letters: str = LETTERS) -> Column:
@@ -163,13 +169,11 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     distinct = texts.where(~_passes(twice, "h")).union(
         texts.where(_passes(twice, "h")).groupBy("h").agg(F.min("line").alias("line")))
 
-    # one shuffle of the entries serves both sides of the join; the sides are told apart behind it
-    parts = shuffle_partitions(docs.sparkSession)
-    entries = (line_entries(distinct, max_edits).select("h", "c", F.posexplode("keys").alias("at", "key"))
-               .select("key", (F.col("at") > max_edits).alias("side"), "h", "c").repartition(parts, "key"))
-    here = F.spark_partition_id() >= 0  # keeps the filters above the shuffle
-    left = entries.where(F.when(here, ~F.col("side"))).select("key", F.col("h").alias("ha"), F.col("c").alias("ca"))
-    right = entries.where(F.when(here, F.col("side"))).select(
+    # one shuffle of the entries serves both sides of the join; the indexed ones are picked behind it
+    entries = line_entries(distinct, max_edits).repartition(shuffle_partitions(docs.sparkSession), "key")
+    here = F.spark_partition_id() >= 0  # keeps the filter above the shuffle
+    left = entries.where(F.when(here, F.col("indexed"))).select("key", F.col("h").alias("ha"), F.col("c").alias("ca"))
+    right = entries.where(F.when(here, F.col("key").isNotNull())).select(
         F.col("key").alias("key_b"), F.col("h").alias("hb"), F.col("c").alias("cb"))
     pairs = written(
         left.join(right, (F.col("key") == F.col("key_b")) & (F.col("ha") != F.col("hb"))

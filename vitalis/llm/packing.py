@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from vitalis.functions.columns import col
 from vitalis.llm.layout import measured, shuffle_partitions, written
-from vitalis.llm.textkit import mix
+from vitalis.llm.textkit import mix, small_batches
 from vitalis.llm.tokenids import IdEncoder, ID_TYPE
 from vitalis.llm.tokens import vocabulary_path
 
 WINDOW = 2048
 END_ID = 1
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 QUERY_TERMS = 24
 PARTITION_BYTES = 64 << 20
 K1, B = 1.2, 0.75
@@ -43,7 +43,7 @@ IDS = "doc_id long, key long, n long, ids binary"
 def _encode(path):
     def run(batches):
         encoder = IdEncoder(path)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             doc_ids = batch.column(0).cast(pa.int64())
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             ids, offs, lows = encoder(texts, with_least=True)
@@ -60,7 +60,7 @@ def _encode(path):
 
 def _document_frequencies(batches):
     counts = np.zeros(0, np.int64)
-    for batch in batches:
+    for batch in small_batches(batches, 1, 1 << 20):
         ids = np.frombuffer(b"".join(batch.column(1).to_pylist()), ID_TYPE).astype(np.int64)
         doc = np.repeat(np.arange(batch.num_rows), batch.column(0).to_numpy())
         cell = np.unique((doc << 32) | ids)
@@ -198,8 +198,8 @@ def _pack(idf, window):
 
         ids, docs, total = [], [], 0
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = np.frombuffer(raw, ID_TYPE)
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                one = np.frombuffer(raw.as_buffer(), ID_TYPE)
                 ids.append(doc_id)
                 docs.append(np.append(one, ID_TYPE(END_ID)))
                 total += len(one) + 1

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from vitalis.functions.columns import col
 from vitalis.llm.bpe import Merges, seal, step_hash
-from vitalis.llm.textkit import worker_cache
+from vitalis.llm.textkit import small_batches, worker_cache
 from vitalis.llm.tokenids import ID_TYPE, MOST_WORDS, WordIds, spread
 from vitalis.llm.tokens import vocabulary_path, word_hashes
 
@@ -200,7 +200,7 @@ class PieceEncoder:
 def _encode(path, keep):
     def run(batches):
         encoder = PieceEncoder(path)
-        for batch in batches:
+        for batch in small_batches(batches, len(keep)):
             texts = ["" if t is None else t for t in batch.column(batch.num_columns - 1).to_pylist()]
             ids, offs = encoder.encode(texts)
             wide = ids.astype("<u4").tobytes()
@@ -262,7 +262,7 @@ def _digest(path):
         encoder = PieceEncoder(path)
         byte = np.zeros(1 << 16, bool)
         byte[encoder.model.byte_ids] = True
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             ids, offs = encoder.encode(texts)
             wide, fell = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(byte[ids])])

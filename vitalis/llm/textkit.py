@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WHITESPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BLOCK_BYTES = 1 << 20
@@ -53,6 +54,14 @@ def blocks(offs: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
+def small_batches(batches, column: int, limit: int = 4 * BLOCK_BYTES):
+    """The rows of Arrow batches in slices of about ``limit`` bytes of one column: what a task copies stays small."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in blocks(np.concatenate([[0], np.cumsum(sizes)]), limit):
+            yield batch.slice(a, b - a)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every input bit over all 64 output bits."""
     h = h ^ (h >> np.uint64(32))

@@ -14,7 +14,7 @@ from vitalis.llm.tokens import BLOCK_CHARS, compiled, encode_distinct, split_spe
 
 ID_TYPE = np.uint16  # every id of the vocabulary is below 65 536 (checked when it is loaded)
 
-MOST_WORDS = 1_000_000
+MOST_WORDS = 600_000
 
 
 class WordIds:

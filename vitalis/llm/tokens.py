@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from vitalis.functions.columns import col
 from vitalis.llm.bpe import WORD_END, Memo, load_word_bpe
-from vitalis.llm.textkit import _powers, span_hash, worker_cache
+from vitalis.llm.textkit import _powers, small_batches, span_hash, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 CONTEXT_LIMIT = 2048
@@ -262,7 +262,7 @@ class TokenCounter:
 def _count(path, text_name, keep):
     def run(batches):
         counter = TokenCounter(path)
-        for batch in batches:
+        for batch in small_batches(batches, len(keep)):
             texts = batch.column(batch.schema.get_field_index(text_name))
             texts = ["" if t is None else t for t in texts.to_pylist()]
             n_bytes = [len(t) if t.isascii() else len(t.encode("utf-8")) for t in texts]

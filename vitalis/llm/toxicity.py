@@ -320,7 +320,7 @@ def _rows_for_fit(model, chosen):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.2) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression by Newton steps (intercept free)."""
     x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])

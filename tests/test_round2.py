@@ -127,3 +127,18 @@ def test_packages_are_versioned_and_promotion_is_found(spark, tmp_path):
     back = load_package(spark, row["path"])
     scored = S.score(labelled(spark), back, "k")
     assert scored.count() == 240 and scored.where("prob is null").isEmpty()
+
+
+def test_clinical_names_reach_the_models(spark):
+    names = {"a": "D.O.A", "b": "TYPE OF ADMISSION-EMERGENCY/OPD"}
+    df = labelled(spark)
+    for old, new in names.items():
+        df = df.withColumnRenamed(old, new)
+    feats = list(names.values())
+    for kind, params in (("logreg", {}), ("forest", {"trees": 5, "depth": 3}), ("svm", {"kernel": "linear"}),
+                         ("knn", {"k": 3})):
+        model = ML.fit(kind, df, feats, "y", params, key="k")
+        scored = ML.predict(model, df, feats, "k")
+        assert scored.count() == 240 and set(feats) <= set(scored.columns)
+    ct = E.crosstab_pct(df.withColumn("x.y", F.col("k") % 3 * 1e10), "y", "x.y")
+    assert ct.columns == ["y", "0.0", "1.0E10", "2.0E10"] and ct.count() == 2

@@ -207,15 +207,13 @@ def crosstab_pct(df: DataFrame, cat: str, target: str) -> DataFrame:
     """Row-normalised cross-tab in percent; one column per target value (text
     of the value), missing cells 0, null keys excluded."""
     base = df.where(col(cat).isNotNull() & col(target).isNotNull())
-    values = [r[0] for r in base.select(col(target)).distinct().orderBy(col(target)).collect()]  # few labels
-    wide = base.groupBy(col(cat).alias(cat)).pivot(target, values).agg(F.count(F.lit(1)))
-    names = [str(v) for v in values]
-    tot = sum((F.coalesce(F.col(q_(n)), F.lit(0)) for n in names), F.lit(0))
-    return wide.select(col(cat), *[(F.coalesce(F.col(q_(n)), F.lit(0)) * 100.0 / tot).alias(n) for n in names])
-
-
-def q_(name: str) -> str:
-    return "`" + name + "`"
+    base = base.select(col(cat).alias("_cat"), col(target).alias("_v"), col(target).cast("string").alias("_s"))
+    # one row per label: they become the columns
+    names = [r["_s"] for r in base.select("_v", "_s").distinct().orderBy("_v").collect()]
+    wide = base.groupBy("_cat").pivot("_s", names).agg(F.count(F.lit(1)))
+    tot = sum((F.coalesce(col(n), F.lit(0)) for n in names), F.lit(0))
+    return wide.select(F.col("_cat").alias(cat),
+                       *[(F.coalesce(col(n), F.lit(0)) * 100.0 / tot).alias(n) for n in names])
 
 
 def melt(df: DataFrame, ids: list[str], name: str, value: str) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -44,8 +45,14 @@ from vitalis.functions.rng import unit_hash
 MODEL_TYPES = ["logreg", "forest", "boost", "svm", "knn"]
 
 
-def _assembler(features: list[str], out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep")
+def _assembler(features: list[str], out: str = "features") -> list:
+    """Stages that gather the features. The assembler reads a dot in a name as a field, so names that are not
+    plain get plain copies first."""
+    if all(re.fullmatch(r"\w+", f) for f in features):
+        return [VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep")]
+    copies = ", ".join(f"{q(f)} AS _x{i}" for i, f in enumerate(features))
+    return [SQLTransformer(statement=f"SELECT *, {copies} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol=out, handleInvalid="keep")]
 
 
 def _prepare(df: DataFrame, features: list[str], label: str | None) -> DataFrame:
@@ -98,18 +105,18 @@ def build_pipeline(model_type: str, features: list[str], params: dict, n_train:
         c = float(p.get("C", 1.0))
         clf = LogisticRegression(regParam=1.0 / (c * n_train), elasticNetParam=0.0, standardization=False,
                                  maxIter=int(p.get("max_iter", 100)), tol=1e-6)
-        return Pipeline(stages=[_assembler(features), clf])
+        return Pipeline(stages=[*_assembler(features), clf])
     if model_type == "forest":
         depth = p.get("depth", 10)
         clf = RandomForestClassifier(numTrees=int(p.get("trees", 100)), maxDepth=30 if depth is None else int(min(depth, 30)),
                                      minInstancesPerNode=max(1, math.ceil(int(p.get("min_samples_split", 2)) / 2)),
                                      seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
-        return Pipeline(stages=[_assembler(features), clf])
+        return Pipeline(stages=[*_assembler(features), clf])
     if model_type == "boost":
         clf = GBTClassifier(maxIter=int(p.get("trees", 100)), maxDepth=int(p.get("depth", 6)),
                             stepSize=float(p.get("rate", 0.3)), subsamplingRate=float(p.get("subsample", 1.0)),
                             seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
-        return Pipeline(stages=[_assembler(features), clf])
+        return Pipeline(stages=[*_assembler(features), clf])
     if model_type == "svm":
         c = float(p.get("C", 1.0))
         kernel = p.get("kernel", "rbf")
@@ -117,12 +124,12 @@ def build_pipeline(model_type: str, features: list[str], params: dict, n_train:
         if kernel == "rbf":
             g = gamma_value(train, features, p.get("gamma", "scale")) if train is not None else 1.0 / len(features)
             nc = int(p.get("n_components", 200))
-            stages += [rff_transformer(features, g, nc, seed), _assembler([f"_rff{j}" for j in range(nc)])]
+            stages += [rff_transformer(features, g, nc, seed), *_assembler([f"_rff{j}" for j in range(nc)])]
         elif kernel == "poly":
-            stages += [_assembler(features, "_raw_features"),
+            stages += [*_assembler(features, "_raw_features"),
                        PolynomialExpansion(degree=int(p.get("degree", 3)), inputCol="_raw_features", outputCol="features")]
         else:
-            stages += [_assembler(features)]
+            stages += _assembler(features)
         stages += [LinearSVC(regParam=1.0 / (c * n_train), maxIter=200, rawPredictionCol="svm_raw",
                              predictionCol="prediction"),
                    LogisticRegression(featuresCol="svm_raw", regParam=1e-6, rawPredictionCol="platt_raw",
@@ -143,7 +150,7 @@ class KnnModel:
     def predict(self, df: DataFrame, key: str) -> DataFrame:
         from vitalis.operators.neighbours import knn_join
 
-        nn = knn_join(df.select(key, *self.features), self.train, qkey=key, pkey=self.key,
+        nn = knn_join(df.select(*map(col, [key, *self.features])), self.train, qkey=key, pkey=self.key,
                       features=self.features, k=self.k, carry=["label"])
         if self.weights == "distance":
             d = F.sqrt("d2")
@@ -153,7 +160,7 @@ class KnnModel:
         else:
             nn = nn.withColumn("_w", F.lit(1.0))
         prob = nn.groupBy("query_key").agg((F.sum(F.col("_w") * F.col("label")) / F.sum("_w")).alias("prob"))
-        out = df.join(prob, df[key] == prob["query_key"], "left").drop("query_key")
+        out = df.join(prob, col(key) == F.col("query_key"), "left").drop("query_key")
         return out.withColumn("prediction", F.when(F.col("prob") > 0.5, 1.0).otherwise(0.0))
 
 
@@ -171,11 +178,13 @@ def fit(model_type: str, train: DataFrame, features: list[str], label: str, para
         key = key or "_key"
         if key not in data.columns:
             data = data.withColumn(key, F.monotonically_increasing_id())
-        return KnnModel(data.select(key, *features, "label"), features, int(params.get("k", 5)),
+        return KnnModel(data.select(*map(col, [key, *features, "label"])), features, int(params.get("k", 5)),
                         params.get("weights", "uniform"), key)
     data = data.cache()
-    n = data.count()
-    return build_pipeline(model_type, features, params, n, data, seed).fit(data)
+    try:
+        return build_pipeline(model_type, features, params, data.count(), data, seed).fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict(model, df: DataFrame, features: list[str], key: str | None = None) -> DataFrame:

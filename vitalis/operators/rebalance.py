@@ -55,11 +55,11 @@ def _quota_by_rank(seeds: DataFrame, key: str, n_new: int, n_seeds: int, seed: i
 def _interpolate(seeds: DataFrame, minority: DataFrame, key: str, features: list[str], label: str,
                  label_value, k: int, seed: int) -> DataFrame:
     """Synthetic rows for seeds with a ``quota`` column."""
-    nn = knn_join(seeds.select(key, *features), minority.select(key, *features), qkey=key, pkey=key,
+    nn = knn_join(seeds.select(*map(col, [key, *features])), minority.select(*map(col, [key, *features])), qkey=key, pkey=key,
                   features=features, k=k, exclude_self=True)
     navail = nn.groupBy("query_key").agg(F.count(F.lit(1)).alias("_na"))
     copies = (seeds.where(F.col("quota") > 0)
-              .join(navail, seeds[key] == navail["query_key"], "inner").drop("query_key")
+              .join(navail, col(key) == F.col("query_key"), "inner").drop("query_key")
               .select(col(key).alias("_a"), *[col(f).alias(f"_a_{i}") for i, f in enumerate(features)], "_na",
                       F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("_copy")))
     copies = copies.withColumn("rank", (F.floor(unit_hash(F.col("_a"), seed, F.concat(F.lit("nb|"), F.col("_copy").cast("string")))
@@ -87,7 +87,7 @@ def smote_samples(df: DataFrame, key: str, features: list[str], label: str, k: i
     """Synthetic minority rows only (``key`` becomes ``"<seed key>#<copy>"``)."""
     mi, n_mi, ma, n_ma = _minority_majority(df, label)
     n_new = n_ma - n_mi
-    base = _with_string_key(df.select(key, *features, label), key)
+    base = _with_string_key(df.select(*map(col, [key, *features, label])), key)
     minority = base.where(col(label) == F.lit(mi))
     if n_new <= 0:
         return base.limit(0)
@@ -99,7 +99,7 @@ def smote_samples(df: DataFrame, key: str, features: list[str], label: str, k: i
 
 def smote(df: DataFrame, key: str, features: list[str], label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Raise the minority class to the majority count."""
-    base = _with_string_key(df.select(key, *features, label), key)
+    base = _with_string_key(df.select(*map(col, [key, *features, label])), key)
     return base.unionByName(smote_samples(df, key, features, label, k, seed))
 
 
@@ -111,7 +111,7 @@ def adasyn_samples(df: DataFrame, key: str, features: list[str], label: str, k:
     quotas ``rint(ratio / sum * G)`` (half to even)."""
     mi, n_mi, ma, n_ma = _minority_majority(df, label)
     g = n_ma - n_mi
-    base = _with_string_key(df.select(key, *features, label), key)
+    base = _with_string_key(df.select(*map(col, [key, *features, label])), key)
     minority = base.where(col(label) == F.lit(mi))
     nn = knn_join(minority, base, qkey=key, pkey=key, features=features, k=k, exclude_self=True, carry=[label])
     ratio = nn.groupBy("query_key").agg((F.count_if(col(label) != F.lit(mi)) / F.lit(float(k))).alias("_r"))
@@ -124,7 +124,7 @@ def adasyn_samples(df: DataFrame, key: str, features: list[str], label: str, k:
 
 
 def adasyn(df: DataFrame, key: str, features: list[str], label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    base = _with_string_key(df.select(key, *features, label), key)
+    base = _with_string_key(df.select(*map(col, [key, *features, label])), key)
     return base.unionByName(adasyn_samples(df, key, features, label, k, seed))
 
 
@@ -133,7 +133,7 @@ def danger_set(df: DataFrame, key: str, features: list[str], label: str, m: int
     """Minority rows with at least half, but not all, of their ``m`` nearest
     neighbours (whole table) in the majority class."""
     mi, _, _, _ = _minority_majority(df, label)
-    base = _with_string_key(df.select(key, *features, label), key)
+    base = _with_string_key(df.select(*map(col, [key, *features, label])), key)
     minority = base.where(col(label) == F.lit(mi))
     nn = knn_join(minority, base, qkey=key, pkey=key, features=features, k=m, exclude_self=True, carry=[label])
     maj = nn.groupBy("query_key").agg(F.count_if(col(label) != F.lit(mi)).alias("_maj"))
@@ -147,7 +147,7 @@ def borderline_smote_samples(df: DataFrame, key: str, features: list[str], label
     neighbours among all minority rows."""
     mi, n_mi, ma, n_ma = _minority_majority(df, label)
     n_new = n_ma - n_mi
-    base = _with_string_key(df.select(key, *features, label), key)
+    base = _with_string_key(df.select(*map(col, [key, *features, label])), key)
     minority = base.where(col(label) == F.lit(mi))
     danger = danger_set(df, key, features, label, m).cache()
     n_d = danger.count()
@@ -159,7 +159,7 @@ def borderline_smote_samples(df: DataFrame, key: str, features: list[str], label
 
 def borderline_smote(df: DataFrame, key: str, features: list[str], label: str, k: int = 5, m: int = 10,
                      seed: int = 42) -> DataFrame:
-    base = _with_string_key(df.select(key, *features, label), key)
+    base = _with_string_key(df.select(*map(col, [key, *features, label])), key)
     return base.unionByName(borderline_smote_samples(df, key, features, label, k, m, seed))
 
 

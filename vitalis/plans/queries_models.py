@@ -87,7 +87,7 @@ def q_knn(spark, sf):
 @register("random_search_logreg")
 def q_search(spark, sf):
     train, _ = _order_split(spark, sf)
-    _, best, results = ML.random_search("logreg", train, ORDER_FEATURES, "returned", "rid", n_iter=5, folds=3)
+    _, best, results = ML.random_search("logreg", train, ORDER_FEATURES, "returned", "rid", n_iter=10, folds=3)
     rows = [(str(sorted(c.items())), float(s), c == best) for c, s in results]
     return spark.createDataFrame(rows, "params string, recall double, best boolean")
 

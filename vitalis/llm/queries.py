@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vitalis.llm import oracles
 from vitalis.llm.embeddings import op6_embedding_near_dedup
 from vitalis.llm.fingerprints import op2_improbable_features
 from vitalis.llm.lines import op3_line_dedup
@@ -25,4 +26,8 @@ QUERIES = {
     "op9_retrieval_packing": op9_retrieval_packing,
     "op10_token_matrices": op10_token_matrices,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_substring_dedup": oracles.OP1,
+    "op4_minhash_near_dedup": oracles.OP4,
+    "op6_embedding_near_dedup": oracles.OP6,
+}

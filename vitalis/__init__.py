@@ -7,7 +7,7 @@ Operators are plain functions ``DataFrame -> DataFrame`` grouped by stage:
   models, evaluation, registry, scoring, explanation
 * ``vitalis.functions`` — Column-level helpers (hash RNG, exact ranks/quantiles,
   statistics)
-* ``vitalis.plans``     — end-to-end workflows and the TESTDATA fixtures
+* ``vitalis.plans``     — the registered queries, their SQL and the TESTDATA fixtures
 * ``vitalis.streaming`` — the scoring plan attached to a file stream
 """
 

@@ -260,8 +260,7 @@ def _document_counts(model):
                     key = np.unique((doc << HASH_BITS) | f)
                     doc, f = key >> HASH_BITS, key & ((1 << HASH_BITS) - 1)
                     for label in (0, 1):
-                        counts[label] += np.bincount(f[toxic[a:b][doc] == label],
-                                                     minlength=1 << HASH_BITS).astype(np.int32)
+                        np.add.at(counts[label], f[toxic[a:b][doc] == label], 1)
         width = (1 << HASH_BITS) // SLICES
         for s in range(SLICES):
             part = counts[:, s * width:(s + 1) * width]
@@ -296,11 +295,16 @@ def _best_features(n_clean: int, n_toxic: int):
     return run
 
 
-def _present(buf, offs, chosen: np.ndarray) -> np.ndarray:
-    """Does each document have each chosen feature?"""
-    out = np.zeros((len(offs) - 1, len(chosen)), bool)
-    table = np.full(1 << HASH_BITS, -1, np.int32)
+def _places(chosen: np.ndarray) -> np.ndarray:
+    """The column of each feature, -1 for those not chosen."""
+    table = np.full(1 << HASH_BITS, -1, np.int16)
     table[chosen] = np.arange(len(chosen))
+    return table
+
+
+def _present(buf, offs, table: np.ndarray, width: int) -> np.ndarray:
+    """Does each document have each chosen feature?"""
+    out = np.zeros((len(offs) - 1, width), bool)
     for doc, f in features(buf, offs):
         k = table[f]
         hit = k >= 0
@@ -310,12 +314,13 @@ def _present(buf, offs, chosen: np.ndarray) -> np.ndarray:
 
 def _rows_for_fit(model, chosen):
     def run(batches):
+        places = _places(chosen)
         for batch in batches:
             buf, offs = text_buffer(batch.column(0))
             bits = []
             for a, b in blocks(offs):
                 text, to = restore(buf[offs[a]:offs[b]], offs[a:b + 1] - offs[a], model)
-                bits += [row.tobytes() for row in np.packbits(_present(text, to, chosen), axis=1)]
+                bits += [row.tobytes() for row in np.packbits(_present(text, to, places, len(chosen)), axis=1)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bits, pa.binary())], ["toxic", "bits"])
     return run
 
@@ -374,13 +379,14 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, text_col: str = "text", l
 
 def _score(fitted, text_name, keep):
     def run(batches):
+        places = _places(fitted["chosen"])
         for batch in batches:
             buf, offs = text_buffer(batch.column(batch.schema.get_field_index(text_name)))
             z = np.full(batch.num_rows, fitted["bias"])
             if len(fitted["chosen"]):
                 for a, b in blocks(offs):
                     text, to = restore(buf[offs[a]:offs[b]], offs[a:b + 1] - offs[a], fitted["lm"])
-                    z[a:b] += _present(text, to, fitted["chosen"]) @ fitted["weights"]
+                    z[a:b] += _present(text, to, places, len(fitted["chosen"])) @ fitted["weights"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(k)) for k in keep),
                  pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*keep, "score"])

@@ -49,6 +49,32 @@ def test_disguises_are_read(fitted):
         assert offs[-1] == len(out)
 
 
+def read(text, model):
+    text = np.frombuffer(text, np.uint8)
+    out, offs = restore(text, np.array([0, len(text)]), model)
+    assert offs[-1] == len(out)
+    return out.tobytes()
+
+
+def test_every_kind_of_disguise_is_read(fitted):
+    """Signs at either end, digits and signs in spaced runs, and spans of any length; numbers stay."""
+    for word, meant in ((b"1d10t", b"idiot"), (b"1 d 1 0 t", b"idiot"), (b"$tupid", b"stupid"), (b"!diot", b"idiot"),
+                        (b"idi0+", b"idiot"), (b"i d i 0 +", b"idiot"), (b"$ t u p ! d", b"stupid")):
+        assert read(b"the " + word + b" of that", fitted["lm"]) == b"the " + meant + b" of that", word
+    assert read(b"the @sshole of that", fitted["lm"]).startswith(b"the a")
+    spaced = read(b"the " + b" ".join([b"s t u p 1 d"] * 17)[:199] + b" of", fitted["lm"])  # 100 letters and digits
+    assert spaced.count(b"stupid") == 16
+    assert read(b"xx" + b"-stup1d" * 100, fitted["lm"]).count(b"stupid") == 100
+    assert read(b"st" + b"u" * 500 + b"p1d", fitted["lm"]) == b"stupid"
+    for text in (b"in 2024 or 3.14 and 10-20", b"call 555-7713 (017) or 1 2 3 4"):
+        assert read(text, fitted["lm"]) == text
+
+
+def test_disguised_documents_are_toxic(spark, fitted):
+    texts = [(1, "you $tupid one"), (2, "you 1 d 1 0 t"), (3, "you !diot"), (4, "you " + "-stup1d" * 40)]
+    assert all(r.score > CUTOFF for r in score_toxicity(frame(spark, texts), fitted).collect())
+
+
 def test_clean_text_is_left_alone(fitted, documents):
     texts = [t.lower().encode() for t in documents.values() if t.replace(" ", "").replace("\n", "").isalpha()]
     offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])

@@ -2,11 +2,13 @@
 
 1. A character language model (trigrams over a-z, "other letter" and "break")
    is counted over all texts.
-2. Words that look disguised - a digit or sign between letters, a letter three
-   times in a row, three or more single letters in a row - become lattices:
-   each byte may stand for itself, for a letter it imitates, for a repetition
-   or for a filler. Viterbi decoding, batched over spans of equal length, picks
-   the likeliest reading. All other bytes have only one reading.
+2. Words that look disguised - a digit or sign that imitates a letter anywhere, a
+   filler inside, a letter three times in a row - and three or more single
+   letters, digits or signs in a row become lattices: each byte may stand for
+   itself, for a letter it imitates, for a repetition or for a filler. Viterbi
+   decoding, batched over spans of equal length, picks the likeliest reading;
+   spans beyond ``WHOLE_SPAN`` bytes are read in overlapping pieces. All other
+   bytes have only one reading, and so have numbers (no letter, mostly digits).
 3. A logistic model over hashed byte 4-, 5- and 6-grams and words of the
    restored text gives the score. Its features are chosen by chi-square and its
    weights fitted on a bounded, hash-ordered sample of labelled rows
@@ -44,9 +46,14 @@ IMITATED = {
 LITERAL_LETTER = math.log(0.97)
 IMITATE = math.log(0.05)
 LITERAL_SIGN = math.log(0.002)
+LITERAL_IMITATOR = math.log(0.0002)  # a digit or sign that could be a letter, inside a span with letters
 REPEAT = math.log(0.3)
 FILLER = math.log(0.05)
 SPACING = math.log(0.3)
+# Longer spans are read in pieces of SPAN_CORE bytes with SPAN_LAP bytes more on both sides, which are read but not kept.
+WHOLE_SPAN = 200
+SPAN_CORE = 128
+SPAN_LAP = 32
 
 
 def _symbol_of_byte() -> np.ndarray:
@@ -93,16 +100,19 @@ def _readings() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         cost[c, 0] = LITERAL_LETTER
     drop = np.full(256, -np.inf, np.float32)
     for sign, letters in IMITATED.items():
+        if letters:
+            cost[ord(sign), 0] = LITERAL_IMITATOR
         for k, letter in enumerate(letters):
             emit[ord(sign), 1 + k] = ord(letter) - 96
             cost[ord(sign), 1 + k] = IMITATE - math.log(len(letters))
-        drop[ord(sign)] = FILLER
+        if not letters:  # what imitates a letter is no filler: 1d10t is not "dot"
+            drop[ord(sign)] = FILLER
     drop[32] = SPACING
     return emit, cost, own, drop
 
 
-def viterbi(spans: np.ndarray, model: np.ndarray) -> list[bytes]:
-    """The likeliest reading of each row of ``spans`` (bytes of equal length, lower case).
+def decoded(spans: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes written, is one written?) at each byte of the likeliest reading of each row (equal length, lower case).
 
     The state is the last two symbols written; all rows advance together, one
     byte at a time.
@@ -136,20 +146,42 @@ def viterbi(spans: np.ndarray, model: np.ndarray) -> list[bytes]:
             new[live[r], p, c[r]] = best[r, p]
             back[live[r], p, c[r]] = frm[r, p]
         score, came[i] = new, back
-    ends = (score + model[:, :, 0]).reshape(n, -1).argmax(axis=1)
-    out = []
-    for r in range(n):
-        p, c = divmod(int(ends[r]), SYMBOLS)
-        text = bytearray()
-        for i in range(length - 1, -1, -1):
-            before = int(came[i, r, p, c])
-            if before < 0:
-                continue
-            byte = int(spans[r, i])
-            text.append(byte if emit[byte, 0] == c else 96 + c)
-            p, c = before, p
-        out.append(bytes(text[::-1]))
-    return out
+    p, c = np.divmod((score + model[:, :, 0]).reshape(n, -1).argmax(axis=1), SYMBOLS)
+    text, kept = np.zeros((n, length), np.uint8), np.zeros((n, length), bool)
+    for i in range(length - 1, -1, -1):
+        before, byte = came[i, rows, p, c].astype(np.int64), spans[:, i]
+        kept[:, i] = wrote = before >= 0
+        text[:, i] = np.where(emit[byte, 0] == c, byte, 96 + c)
+        p, c = np.where(wrote, before, p), np.where(wrote, p, c)
+    return text, kept
+
+
+def viterbi(spans: np.ndarray, model: np.ndarray) -> list[bytes]:
+    """The likeliest reading of each row of ``spans`` (bytes of equal length, lower case)."""
+    return [t[k].tobytes() for t, k in zip(*decoded(spans, model), strict=True)]
+
+
+def read_spans(spans: list[bytes], model: np.ndarray) -> list[bytes]:
+    """The likeliest reading of each span, whatever its length."""
+    todo: dict[int, dict[bytes, list]] = {}
+    out: list[list[bytes]] = []
+    for k, span in enumerate(spans):
+        core = len(span) if len(span) <= WHOLE_SPAN else SPAN_CORE
+        out.append([b""] * -(-len(span) // core))
+        for part in range(len(out[k])):
+            begin, end = max(0, part * core - SPAN_LAP), min(len(span), (part + 1) * core + SPAN_LAP)
+            piece = span[begin:end]
+            todo.setdefault(len(piece), {}).setdefault(piece, []).append(
+                (k, part, part * core - begin, min(len(span), (part + 1) * core) - begin))
+    for length, group in todo.items():
+        pieces = sorted(group)
+        for at in range(0, len(pieces), 256):
+            some = pieces[at:at + 256]
+            read = decoded(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), length), model)
+            for piece, text, kept in zip(some, *read, strict=True):
+                for k, part, a, b in group[piece]:
+                    out[k][part] = text[a:b][kept[a:b]].tobytes()
+    return [b"".join(parts) for parts in out]
 
 
 def disguised(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -158,40 +190,40 @@ def disguised(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     if not len(start):
         return np.zeros((0, 2), np.int64)
     letter = _symbol_of_byte()[buf] > 0
-    sign = np.zeros(256, bool)
-    sign[[ord(c) for c in IMITATED]] = True
-    sign = sign[buf]
-    at = np.flatnonzero(letter)
+    digit = (buf >= 48) & (buf <= 57)
+    kinds = np.zeros((2, 256), bool)
+    for sign, imitated in IMITATED.items():
+        kinds[0 if imitated else 1, ord(sign)] = True
+    alike, filler = kinds[0][buf], kinds[1][buf]
+    letters, digits, alikes, fillers = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, digit, alike, filler))
+
+    def may_be_words(a, b):
+        """Without a letter only mostly signs ('@$$') may be a word; the others are numbers and amounts."""
+        n = alikes[b] - alikes[a]
+        return (letters[b] > letters[a]) | ((n >= 3) & (2 * (digits[b] - digits[a]) <= n))
+
     size = end - start
-    # first and last letter of each word
+    # fillers count between the first and last byte of a word that is or imitates a letter
+    at = np.append(np.flatnonzero(letter | alike), len(buf))
     i, j = np.searchsorted(at, start), np.searchsorted(at, end) - 1
-    has = i <= j
-    first, last = np.where(has, at[np.minimum(i, max(len(at) - 1, 0))] if len(at) else 0, 0), np.where(
-        has, at[np.maximum(j, 0)] if len(at) else 0, -1)
-    signs = np.concatenate([[0], np.cumsum(sign)])
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    inside = np.where(has, signs[last + 1] - signs[first], 0)
-    every = signs[end] - signs[start]
-    n_letters = letters[end] - letters[start]
-    # a leading imitation (1diot) counts when a letter follows; more signs than letters is a number or a key
-    lead = has & sign[start] & (buf[start] >= 48) & (buf[start] <= 57)
-    flag = (has & ((inside > 0) | lead) & (every <= n_letters + 2) & (size <= 40) & (n_letters >= 2))
+    first = np.minimum(at[i], end)
+    inside = np.where(i <= j, fillers[np.maximum(at[j], first)] - fillers[first], 0)
+    flag = may_be_words(start, end) & ((alikes[end] > alikes[start]) | (inside > 0))
     triple = np.zeros(len(buf) + 1, np.int64)
     if len(buf) > 2:
         triple[1:len(buf) - 1] = letter[:-2] & (buf[:-2] == buf[1:-1]) & (buf[1:-1] == buf[2:]) & (buf[:-2] < 128)
         triple = np.cumsum(triple)
-    flag |= (size >= 4) & (size <= 200) & (triple[np.maximum(end - 2, start)] > triple[start])
-    spans = [np.stack([start[flag], end[flag]], axis=1)]
-    # runs of three or more single letters with one blank between
-    single = (size == 1) & letter[start]
+    flag |= (size >= 4) & (triple[np.maximum(end - 2, start)] > triple[start])
+    # runs of three or more single letters, digits or signs with one blank between
+    single = (size == 1) & (letter | alike | filler)[start]
     follows = np.zeros(len(start), bool)
     follows[1:] = single[1:] & single[:-1] & (start[1:] == end[:-1] + 1)
     follows[wo[:-1][wo[:-1] < len(start)]] = False
     edge = np.flatnonzero(np.diff(np.concatenate([[False], follows, [False]]).astype(np.int8)))
     a, b = edge[::2] - 1, edge[1::2] - 1
-    long = (b - a >= 2) & (b - a < 60)
-    spans.append(np.stack([start[a[long]], end[b[long]]], axis=1))
-    spans = np.concatenate(spans)
+    long = (b - a >= 2) & may_be_words(start[a], end[b])
+    spans = np.concatenate([np.stack([start[flag], end[flag]], axis=1),
+                            np.stack([start[a[long]], end[b[long]]], axis=1)])
     return spans[np.argsort(spans[:, 0], kind="stable")]
 
 
@@ -206,16 +238,8 @@ def restore(buf: np.ndarray, offs: np.ndarray, model: np.ndarray) -> tuple[np.nd
         memo.clear()
     raw = buf.tobytes()
     pieces = [raw[a:b] for a, b in spans]
-    todo: dict[int, set[bytes]] = {}
-    for piece in pieces:
-        if piece not in memo:
-            todo.setdefault(len(piece), set()).add(piece)
-    for group in todo.values():
-        group = sorted(group)
-        for k in range(0, len(group), 256):
-            some = group[k:k + 256]
-            read = viterbi(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1), model)
-            memo.update(zip(some, read, strict=True))
+    todo = sorted({piece for piece in pieces if piece not in memo})
+    memo.update(zip(todo, read_spans(todo, model), strict=True))
     out, shift, last = [], np.zeros(len(spans), np.int64), 0
     for k, ((a, b), piece) in enumerate(zip(spans, pieces, strict=True)):
         read = memo[piece]

@@ -70,6 +70,15 @@ def test_every_kind_of_disguise_is_read(fitted):
         assert read(text, fitted["lm"]) == text
 
 
+def test_readings_are_those_of_the_model(fitted):
+    """A worker that has read under one table's model reads anew under another's."""
+    flat = np.full_like(fitted["lm"], -math.log(SYMBOLS))
+    spans = np.frombuffer(b"1d10tm0r0n", np.uint8).reshape(2, 5)
+    for model in (fitted["lm"], flat, fitted["lm"]):
+        assert read(b"1d10t m0r0n", model) == b" ".join(viterbi(spans, model))
+    assert viterbi(spans, flat) != viterbi(spans, fitted["lm"])
+
+
 def test_disguised_documents_are_toxic(spark, fitted):
     texts = [(1, "you $tupid one"), (2, "you 1 d 1 0 t"), (3, "you !diot"), (4, "you " + "-stup1d" * 40)]
     assert all(r.score > CUTOFF for r in score_toxicity(frame(spark, texts), fitted).collect())

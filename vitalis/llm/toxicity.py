@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -228,12 +229,16 @@ def disguised(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def restore(buf: np.ndarray, offs: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased, deobfuscated texts. Readings are remembered from block to block."""
+    """Lower-cased, deobfuscated texts. Readings under this model are remembered from block to block."""
     buf = lower_ascii(buf)
     spans = disguised(buf, offs)
     if not len(spans):
         return buf, offs
-    memo = worker_cache().setdefault("readings", {})
+    key = hashlib.blake2b(model.tobytes(), digest_size=16).digest()
+    known, memo = worker_cache().get("readings", (None, {}))
+    if known != key:
+        memo = {}
+        worker_cache()["readings"] = key, memo
     if len(memo) > 200_000:
         memo.clear()
     raw = buf.tobytes()

@@ -95,6 +95,16 @@ def test_near_lines_of_every_shape(spark):
     assert got == expect(docs)
 
 
+def test_near_lines_as_short_as_equal_ones(spark):
+    rng = random.Random(5)
+    bases = ["Thwhesnd, esator whshing and hewh."] + ["".join(rng.choice("abcdé ") for _ in range(n)) for n in range(20, 60)]
+    docs = {0: "\n".join(bases), 1: "Thwhesnd esator whshing and hewh.", 2: bases[1][:18] + "zz"}
+    docs |= {3 + k: edited(rng, x, 1 + k % 3) for k, x in enumerate(bases)}
+    got = {r.doc_id: (r.n_lines, r.n_equal, r.n_near, r.text) for r in dedup_lines(frame(spark, docs.items())).collect()}
+    assert got[1] == got[2] == (1, 0, 1, "")
+    assert got == expect(docs)
+
+
 def test_edges(spark):
     line = "a line that is long enough to be compared with others by edit distance"
     rows = [(1, None), (2, ""), (3, line), (4, line), (4, line), (None, line + "!"), (5, f"short\n\nshort\n{line}.\n"),

@@ -26,7 +26,7 @@ from vitalis.llm.layout import fresh_names, measured, shuffle_partitions, writte
 
 MAX_EDITS = 2
 MIN_CHARS = 20
-NEAR_CHARS = 60
+NEAR_CHARS = MIN_CHARS  # three segments still have six characters
 # Letters of the count filter; a count is kept modulo 16.
 LETTERS = "enitas"
 # More letters, looked at before a pair is verified.

@@ -129,6 +129,16 @@ def test_packages_are_versioned_and_promotion_is_found(spark, tmp_path):
     assert scored.count() == 240 and scored.where("prob is null").isEmpty()
 
 
+def test_package_roundtrip_scores_unlabelled_documents_too(spark):
+    from __spark_entry__ import SMOKE_DIR, queries
+
+    ids = [r.doc_id for r in spark.read.parquet(f"{SMOKE_DIR}/documents.parquet").select("doc_id").collect()]
+    labelled = spark.read.parquet(f"{SMOKE_DIR}/labels.parquet").select("doc_id").distinct().count()
+    got = queries()["package_roundtrip"](spark, SMOKE_DIR).collect()
+    assert labelled < len(ids) and sorted(r.doc_id for r in got) == sorted(ids)
+    assert all(0 <= r.prob <= 1 for r in got)
+
+
 def test_clinical_names_reach_the_models(spark):
     names = {"a": "D.O.A", "b": "TYPE OF ADMISSION-EMERGENCY/OPD"}
     df = labelled(spark)

@@ -9,7 +9,7 @@ fixed modulus rules on the row id (TESTDATA has no NULLs).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalis.sources.tables import read_testdata
@@ -89,17 +89,24 @@ def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     the whole text (chars, words, lines, digit share)."""
     d = read_testdata(spark, sf_dir, "documents")
     lab = read_testdata(spark, sf_dir, "labels")
-    j = d.join(lab, "doc_id", "inner")
+    return d.join(lab, "doc_id", "inner").select(*_doc_columns(), F.col("toxic").cast("int").alias("toxic"))
+
+
+def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of ``doc_labels`` of every document, labelled or not."""
+    return read_testdata(spark, sf_dir, "documents").select(*_doc_columns())
+
+
+def _doc_columns() -> list[Column]:
     t = F.col("text")
     n = F.length(t)
-    return j.select(
+    return [
         F.col("doc_id"),
         F.col("n_chars").cast("double").alias("n_chars"),
         (n - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("double").alias("n_words"),
         (n - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("double").alias("n_lines"),
         F.try_divide((n - F.length(F.regexp_replace(t, "[0-9]", ""))).cast("double"), n.cast("double")).alias("digit_share"),
-        F.col("toxic").cast("int").alias("toxic"),
-    )
+    ]
 
 
 DOC_LABELS_SQL = """

@@ -22,7 +22,7 @@ from vitalis.operators import registry as G
 from vitalis.operators import score as S
 from vitalis.plans.catalog import register, rounded, with_ctes
 from vitalis.plans.fixtures import (
-    DIRTY_EVENTS_SQL, DOC_FEATURES, SCORED_SQL, dirty_events, doc_labels, scored_events,
+    DIRTY_EVENTS_SQL, DOC_FEATURES, SCORED_SQL, dirty_events, doc_features, doc_labels, scored_events,
 )
 from vitalis.plans.queries_clean import COERCED_SQL, FILLED_SQL
 from vitalis.plans.queries_evaluate import AUC_BY_MODEL, COUNTS_BY_MODEL, rates_sql
@@ -325,8 +325,8 @@ def q_shapley_sampled(spark, sf):
 # ============================ packages (I4 / G7) ===================================
 @register("package_roundtrip")
 def q_package(spark, sf):
-    """Fit a logistic model on the document table, save the package to the
-    shared checkpoint folder, load it back and score the whole table."""
+    """Fit a logistic model on the labelled documents, save the package to the
+    shared checkpoint folder, load it back and score every document, labelled or not."""
     dl = doc_labels(spark, sf)
     train, test = P.stratified_split(dl, "doc_id", "toxic", 0.2, 42)
     train = train.cache()
@@ -336,4 +336,4 @@ def q_package(spark, sf):
                   medians=M.medians_dict(dl, DOC_FEATURES))
     path = os.path.join(checkpoint_dir(spark), f"package-{uuid.uuid4().hex}")
     back = load_package(spark, save_package(pkg, path))
-    return rounded(S.verdict(S.score(dl, back, "doc_id")).select("doc_id", "prob", "risk_pct", "verdict"))
+    return rounded(S.verdict(S.score(doc_features(spark, sf), back, "doc_id")).select("doc_id", "prob", "risk_pct", "verdict"))

@@ -124,3 +124,34 @@ def test_op6_cells_lose_no_link(spark):
                near_duplicate_vectors(df, cell_rows=size).collect()}
         assert got == expected
     assert near_duplicate_vectors(df.limit(0)).collect() == []
+
+
+def test_centroid_sample_leaves_small_labels_out(spark):
+    """Ids that repeat do not widen the sample of a large label; other labels and dimensions send nothing."""
+    from pyspark.sql import functions as F
+
+    from vitalis.llm.embeddings import centroid_sample
+
+    classes = spark.range(24_000).select(
+        F.when(F.col("id") < 4000, "large").otherwise(F.concat(F.lit("small"), F.col("id") % 100)).alias("label"),
+        (F.lit(8) + F.when(F.col("id") < 1000, 1).otherwise(0)).cast("int").alias("dim"), F.lit(1).cast("long").alias("id"),
+        F.unhex(F.md5(F.col("id").cast("string"))).alias("vkey"), F.lit(b"x").alias("vec"))
+    got = centroid_sample(classes, [("large", 8, 0.1)]).groupBy("label", "dim").count().collect()
+    assert [(r.label, r.dim) for r in got] == [("large", 8)] and 200 < got[0]["count"] < 400
+
+
+def test_kmeans_products_are_bounded():
+    import tracemalloc
+
+    from vitalis.llm.embeddings import spherical_kmeans
+
+    x = np.random.default_rng(1).normal(size=(30_000, 8))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    tracemalloc.start()
+    c = spherical_kmeans(x, 1000, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c.shape == (1000, 8) and peak < 100e6  # the whole product is 240 MB
+    own = (x @ x[np.linspace(0, len(x) - 1, 1000).astype(int)].T).argmax(axis=1)
+    total = np.stack([x[own == k].sum(axis=0) for k in range(1000)])
+    assert np.allclose(c, total / np.sqrt((total * total).sum(axis=1, keepdims=True)))

@@ -38,6 +38,7 @@ BLOCK_ROWS = 2048
 SAMPLE_PER_CELL = 64
 MOST_CELLS = 4096
 ROUNDS = 8
+PRODUCT_CELLS = 1 << 22  # 32 MB
 CLEAN = "id long, label string, dim int, vkey binary, vec binary"
 
 
@@ -75,10 +76,14 @@ def _units(column, dim: int) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Unit centroids; the first ones are spread evenly over the (hash-ordered) sample."""
+    """Unit centroids; the first ones are spread evenly over the (hash-ordered) sample.
+
+    The products are taken in blocks of rows, of ``PRODUCT_CELLS`` numbers each.
+    """
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    step = max(1, PRODUCT_CELLS // k)
     for _ in range(rounds):
-        own = (x @ c.T).argmax(axis=1)
+        own = np.concatenate([(x[a:a + step] @ c.T).argmax(axis=1) for a in range(0, len(x), step)])
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         norm = np.sqrt((total * total).sum(axis=1))
@@ -164,6 +169,18 @@ def _compare(threshold):
     return run
 
 
+def centroid_sample(classes: DataFrame, wanted: list[tuple[str, int, float]]) -> DataFrame:
+    """(label, dim, id, vec) of about a share of the classes of each (label, dim, share), and of no other label.
+
+    The share is by a hash of the vector's key: classes of one label differ in it, ids need not.
+    """
+    shares = classes.sparkSession.createDataFrame(
+        [(label, dim, int(share * (1 << 30))) for label, dim, share in wanted], "label string, dim int, below long")
+    return (classes.join(F.broadcast(shares), ["label", "dim"])
+            .where(F.pmod(F.xxhash64("vkey"), F.lit(1 << 30)) < F.col("below"))
+            .select("label", "dim", "id", "vec"))
+
+
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                            label_col: str = "label", threshold: float = THRESHOLD,
                            cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -192,15 +209,16 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
     shrink = min(1.0, MOST_CELLS / max(1, asked))
     cells = {}
     if large:
-        total = sum(r["n"] for r in large)
-        share = min(1.0, SAMPLE_PER_CELL * asked * shrink / total)
-        sample = (classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-                  .select("label", "dim", "id", "vec").collect())
+        many = {(r["label"], r["dim"]): max(1, int(shrink * -(-r["n"] // cell_rows))) for r in large}
+        sample = centroid_sample(classes, [
+            (r["label"], r["dim"], min(1.0, SAMPLE_PER_CELL * many[r["label"], r["dim"]] / r["n"]))
+            for r in large if many[r["label"], r["dim"]] > 1]).collect()
         by = {}
         for r in sorted(sample, key=lambda r: hashlib.md5(str(r["id"]).encode()).digest()):
             by.setdefault((r["label"], r["dim"]), []).append(bytes(r["vec"]))
         for r in large:
-            key, k = (r["label"], r["dim"]), max(1, int(shrink * -(-r["n"] // cell_rows)))
+            key = r["label"], r["dim"]
+            k = many[key]
             if key in by and k > 1:
                 vecs = _units(pa.array(by[key], pa.binary()), r["dim"])
                 cells[key] = spherical_kmeans(vecs, min(k, len(vecs)))

@@ -152,6 +152,11 @@ def test_op9_edges(spark):
     assert pack_by_retrieval(frame(spark, [])).collect() == []
 
 
+def test_op9_table_without_any_term(spark):
+    got = pack_by_retrieval(frame(spark, [(1, None), (2, ""), (3, "")])).collect()
+    assert check_pieces(got, {i: [END_ID] for i in (1, 2, 3)}) == 0
+
+
 def test_best_fit_equals_the_naive_search():
     rng = random.Random(0)
     for _ in range(100):

@@ -77,7 +77,8 @@ def inverse_frequencies(encoded: DataFrame) -> np.ndarray:
     rows = (encoded.select("n", "ids").mapInArrow(_document_frequencies, "term long, df long")
             .groupBy("term").agg(F.sum("df").alias("df")).collect())
     total = encoded.count()
-    idf = np.full(max((r["term"] for r in rows), default=0) + 1, np.log1p(2.0 * total + 1))
+    highest = max((r["term"] for r in rows), default=0)
+    idf = np.full(max(END_ID, highest) + 1, np.log1p(2.0 * total + 1))
     for r in rows:
         idf[r["term"]] = np.log1p((total - r["df"] + 0.5) / (r["df"] + 0.5))
     return idf

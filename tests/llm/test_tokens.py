@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from vitalis.llm.matrices import (
     PAD_ID, ROW, best_fit_decreasing, op10_token_matrices, pack_matrices, position_ids, write_packed,
 )
-from vitalis.llm.packing import END_ID, WINDOW, op9_retrieval_packing, pack_by_retrieval, pack_shard
+from vitalis.llm.packing import END_ID, WINDOW, Shard, op9_retrieval_packing, pack_by_retrieval, pack_shard
 from vitalis.llm.pieces import MODEL, PieceEncoder, decode_pieces, encode_pieces, op7_sentencepiece
 from vitalis.llm.tokenids import IdEncoder
 from vitalis.llm.tokens import TokenCounter, count_tokens, op8_token_counts, run_transducer, vocabulary_path
@@ -152,6 +152,16 @@ def test_op9_edges(spark):
     assert pack_by_retrieval(frame(spark, [])).collect() == []
 
 
+def test_op9_asks_for_all_terms_of_a_seed():
+    """Against BM25 over every common term; the seed's heaviest terms are its own."""
+    idf = np.ones(300)
+    idf[:100] = 10.0
+    docs = [np.append(np.arange(30), np.arange(100, 140)), np.arange(130, 200), np.arange(110, 150), np.arange(200, 260)]
+    shard = Shard([d.astype(np.uint16) for d in docs], idf)
+    shard.used[0] = True
+    assert shard.neighbours(0).tolist() == [2, 1]
+
+
 def test_op9_table_without_any_term(spark):
     got = pack_by_retrieval(frame(spark, [(1, None), (2, ""), (3, "")])).collect()
     assert check_pieces(got, {i: [END_ID] for i in (1, 2, 3)}) == 0

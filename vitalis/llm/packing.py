@@ -34,7 +34,6 @@ from vitalis.llm.tokens import vocabulary_path
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 1_000_000
-QUERY_TERMS = 24
 PARTITION_BYTES = 64 << 20
 K1, B = 1.2, 0.75
 IDS = "doc_id long, key long, n long, ids binary"
@@ -95,24 +94,16 @@ class Shard:
         doc, term = cell >> 32, cell & 0xFFFFFFFF
         norm = K1 * (1 - B + B * lens / max(1.0, lens.mean()))
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        # a seed's query: its QUERY_TERMS heaviest terms
-        order = np.lexsort((term, -weight, doc))
-        first = np.searchsorted(doc, np.arange(n + 1))
-        rank = np.arange(len(order)) - first[doc[order]]
-        pick = order[rank < QUERY_TERMS]
-        self.query_terms, self.query_offs = term[pick], np.searchsorted(doc[pick], np.arange(n + 1))
-        # postings of the terms that some query asks for
-        asked = np.zeros(int(term.max()) + 2 if len(term) else 1, bool)
-        asked[self.query_terms] = True
-        keep = np.flatnonzero(asked[term])
-        keep = keep[np.argsort(term[keep], kind="stable")]
-        self.docs, self.weights = doc[keep], weight[keep]
-        self.post = np.searchsorted(term[keep], np.arange(len(asked) + 1))
+        # a seed's query: all of its terms
+        self.query_terms, self.query_offs = term, np.searchsorted(doc, np.arange(n + 1))
+        order = np.argsort(term, kind="stable")
+        self.docs, self.weights = doc[order], weight[order]
+        self.post = np.searchsorted(term[order], np.arange(int(term.max()) + 2 if len(term) else 1))
         self.n = n
         self.used = np.zeros(n, bool)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents by falling score (those without a common query term are left out)."""
+        """Unused documents by falling score (those without a common term are left out)."""
         terms = self.query_terms[self.query_offs[seed]:self.query_offs[seed + 1]]
         parts = [slice(self.post[t], self.post[t + 1]) for t in terms]
         if not parts:

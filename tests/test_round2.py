@@ -139,6 +139,24 @@ def test_package_roundtrip_scores_unlabelled_documents_too(spark):
     assert all(0 <= r.prob <= 1 for r in got)
 
 
+@pytest.mark.parametrize("query", ["permutation_importance", "intrinsic_importance", "model_svm_rbf"])
+def test_queries_fit_the_operators_defaults(query, monkeypatch):
+    from vitalis.plans import queries_models as Q
+    from vitalis.plans.catalog import QUERIES
+
+    seen = []
+
+    def fit(kind, train, features, label, params=None, **kw):
+        seen.append(params or {})
+        raise StopIteration
+
+    monkeypatch.setattr(Q, "_order_split", lambda spark, sf: (None, None))
+    monkeypatch.setattr(ML, "fit", fit)
+    with pytest.raises(StopIteration):
+        QUERIES[query](None, None)
+    assert len(seen) == 1 and not {"trees", "depth", "n_components"} & set(seen[0])
+
+
 def test_clinical_names_reach_the_models(spark):
     names = {"a": "D.O.A", "b": "TYPE OF ADMISSION-EMERGENCY/OPD"}
     df = labelled(spark)

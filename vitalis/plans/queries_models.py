@@ -52,7 +52,7 @@ def q_svm_linear(spark, sf):
 
 @register("model_svm_rbf")
 def q_svm_rbf(spark, sf):
-    return _fit_eval(spark, sf, "svm", {"kernel": "rbf", "C": 1.0, "gamma": "scale", "n_components": 100})
+    return _fit_eval(spark, sf, "svm", {"kernel": "rbf", "C": 1.0, "gamma": "scale"})
 
 
 # --- F5: exact k-NN probabilities on the document table --------------------------
@@ -109,12 +109,12 @@ def q_curve(spark, sf):
 @register("permutation_importance")
 def q_perm(spark, sf):
     train, test = _order_split(spark, sf)
-    m = ML.fit("forest", train, ORDER_FEATURES, "returned", {"trees": 20, "depth": 6}, key="rid")
+    m = ML.fit("forest", train, ORDER_FEATURES, "returned", key="rid")
     return rounded(ML.permutation_importance(m, test, ORDER_FEATURES, "returned", "rid", repeats=5, seed=42))
 
 
 @register("intrinsic_importance")
 def q_intrinsic(spark, sf):
     train, _ = _order_split(spark, sf)
-    m = ML.fit("forest", train, ORDER_FEATURES, "returned", {"trees": 20, "depth": 6}, key="rid")
+    m = ML.fit("forest", train, ORDER_FEATURES, "returned", key="rid")
     return rounded(ML.intrinsic_importance(m, ORDER_FEATURES, spark))

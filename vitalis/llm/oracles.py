@@ -74,3 +74,98 @@ WITH RECURSIVE v AS (
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN component ON component.id = vec_id LEFT JOIN degree ON degree.a = vec_id
 """
+
+TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12 = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERMS}') AS terms
+  FROM documents
+), counted AS (
+  SELECT r, lang, source, t, count(*) AS n FROM (SELECT r, lang, source, unnest(terms) AS t FROM doc) GROUP BY ALL
+), kept AS (
+  SELECT lang, t, sum(n) AS n FROM counted GROUP BY lang, t HAVING count(*) >= 10
+), grp AS (
+  SELECT DISTINCT lang, source FROM doc
+), v AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), cell AS (
+  SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n
+  FROM grp g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, t, sum(n) AS n FROM counted GROUP BY ALL) c
+    ON c.lang = g.lang AND c.source = g.source AND c.t = k.t
+), p AS (
+  SELECT cell.lang, source, t, cell.n,
+         1 + (1000000000::HUGEINT * (cell.n + 2)) // (sum(cell.n) OVER (PARTITION BY cell.lang, source) + 2 * v.v) AS p
+  FROM cell JOIN v ON v.lang = cell.lang
+), q AS (
+  SELECT kept.lang, t, 1 + (1000000000::HUGEINT * (n + 2)) // (v.total + 2 * v.v) AS q FROM kept JOIN v USING (lang)
+), summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL
+), pair AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0) AS value
+  FROM grp g JOIN grp h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN summed s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+), term AS (
+  SELECT p.lang, source, 'term' AS part, p.t AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM p JOIN q ON q.lang = p.lang AND q.t = p.t WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+# CRC-32 of a list of bytes by half bytes: fixed values, the sixteen remainders of the reflected polynomial EDB88320.
+CRC_TABLE = ("[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, "
+             "4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]")
+
+
+def crc32(codes: str) -> str:
+    """SQL for the CRC-32 of a list of byte values."""
+    half = f"xor(c >> 4, ({CRC_TABLE})[CAST(1 + (xor(c, %s) & 15) AS BIGINT)])"
+    return (f"xor(4294967295, list_reduce({codes}, lambda c, b: list_reduce([b & 15, b >> 4], "
+            f"lambda c, b: {half % 'b'}, c), CAST(4294967295 AS BIGINT)))")
+
+
+LETTERS = "A-Za-z\u00C0-\u00FF"
+BYTES = ("flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda x: "
+         "CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) - 64 AS BIGINT)] END))")
+
+OP13 = rf"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, translate(run, '{UPPER}', '{LOWER}') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[{LETTERS}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL
+), slipped AS (
+  SELECT run, times, {crc32(BYTES)} AS h FROM run
+), word AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, times
+        FROM slipped)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), pattern AS (
+  SELECT word, n, word[:i] || '*' || word[i + 2:] AS key
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM word)
+  UNION ALL
+  SELECT word, n, word[:i] || '*' || word[i + 1:] AS key
+  FROM (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM word)
+), near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM pattern a JOIN pattern b USING (key) WHERE a.word <> b.word
+), best AS (
+  SELECT word, n, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS form, max(m) AS m FROM near GROUP BY ALL
+), formed AS (
+  SELECT word.word, CASE WHEN m >= 10 * word.n THEN form END AS form, word.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN m >= 10 * word.n THEN m END AS form_n
+  FROM word LEFT JOIN best ON best.word = word.word
+), chain(word, here, step) AS (
+  SELECT word, word, 0 FROM formed
+  UNION ALL
+  SELECT chain.word, form, step + 1 FROM chain JOIN formed ON formed.word = chain.here WHERE form IS NOT NULL
+)
+SELECT formed.word, form, last.root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM formed JOIN (SELECT word, arg_max(here, step) AS root FROM chain GROUP BY word) last ON last.word = formed.word
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vitalis.llm import oracles
+from vitalis.llm.divergence import op12_source_divergence
 from vitalis.llm.embeddings import op6_embedding_near_dedup
 from vitalis.llm.fingerprints import op2_improbable_features
 from vitalis.llm.lines import op3_line_dedup
@@ -10,6 +11,7 @@ from vitalis.llm.matrices import op10_token_matrices
 from vitalis.llm.minhash import op4_minhash_near_dedup
 from vitalis.llm.packing import op9_retrieval_packing
 from vitalis.llm.pieces import op7_sentencepiece
+from vitalis.llm.spelling import op13_spelling_variants
 from vitalis.llm.substrings import op1_substring_dedup
 from vitalis.llm.tokens import op8_token_counts
 from vitalis.llm.toxicity import op5_toxicity
@@ -25,9 +27,13 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_retrieval_packing": op9_retrieval_packing,
     "op10_token_matrices": op10_token_matrices,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {
     "op1_substring_dedup": oracles.OP1,
     "op4_minhash_near_dedup": oracles.OP4,
     "op6_embedding_near_dedup": oracles.OP6,
+    "op12_source_divergence": oracles.OP12,
+    "op13_spelling_variants": oracles.OP13,
 }

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from vitalis.functions.columns import col
 from vitalis.llm.layout import written
-from vitalis.llm.textkit import blocks, lower_ascii, prefix_hash, span_hash, text_buffer, worker_cache
+from vitalis.llm.textkit import blocks, lower_ascii, mix, prefix_hash, span_hash, text_buffer, worker_cache
 
 SCALE = 1_000_000_000
 MIN_DOCS = 10
@@ -33,6 +33,7 @@ BLOCK = 4 << 20
 SLICE_ROWS = 200_000  # rows of a language's (source, term) table in a slice
 SOURCES = 128  # sources in a block
 TERMS = 4096  # terms in a dense matrix
+GATHERED = 1 << 20  # (group, digest) rows that a task gathers before it passes them on
 
 
 def term_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,58 +68,98 @@ def _codes(column) -> tuple[np.ndarray, list[str]]:
     return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where a run of equal rows begins in sorted columns, and the end."""
-    n = len(keys[0])
-    new = np.ones(n + 1, bool)
-    if n:
-        new[1:-1] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return np.flatnonzero(new)
+def _edges(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in a sorted array, and the end."""
+    if not len(ordered):
+        return np.zeros(1, np.int64)
+    return np.append(np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])), len(ordered))
+
+
+class _Counts:
+    """Occurrences and documents of (group, digest), gathered over blocks of texts."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts, self.rows = [], 0
+
+    def add(self, group: np.ndarray, digest: np.ndarray, n: np.ndarray, docs: np.ndarray):
+        self.parts.append((group, digest, n, docs))
+        self.rows += len(group)
+
+    def block(self, group_of_row: np.ndarray, digest: np.ndarray, row: np.ndarray):
+        """One block: ``digest`` and ``row`` of every term; no array is sorted but by one integer key."""
+        kinds, of = np.unique(digest, return_inverse=True)
+        cell = np.sort(row * len(kinds) + of)
+        edge = _edges(cell)
+        row, of, n = *np.divmod(cell[edge[:-1]], len(kinds)), np.diff(edge)
+        cell = group_of_row[row] * len(kinds) + of
+        order = np.argsort(cell)
+        edge = _edges(cell[order])
+        group, of = np.divmod(cell[order][edge[:-1]], len(kinds))
+        self.add(group, kinds[of], np.add.reduceat(n[order], edge[:-1]), np.diff(edge))
+
+    def flush(self):
+        if not self.parts:
+            return
+        group, digest, n, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.rows = [], 0
+        kinds, of = np.unique(digest, return_inverse=True)
+        cell = group * len(kinds) + of
+        order = np.argsort(cell)
+        edge = _edges(cell[order])
+        group, of = np.divmod(cell[order][edge[:-1]], len(kinds))
+        group, names = pa.array(group), list(self.groups)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([name[k] for name in names]).take(group) for k in (0, 1)), pa.array(kinds[of].view(np.int64)),
+             *(pa.array(np.add.reduceat(x[order], edge[:-1])) for x in (n, docs))],
+            ["lang", "source", "digest", "n", "docs"])
 
 
 def _count(bits: int):
-    """(lang, source, digest, occurrences, documents), added up within blocks of texts."""
+    """(lang, source, digest, occurrences, documents), added up within runs of texts."""
     def run(batches):
+        counts = _Counts()
         for batch in batches:
             (lang, langs), (source, sources) = _codes(batch.column(0)), _codes(batch.column(1))
-            for a, _, _, _, digest, row in _terms(batch, 2, bits):
-                order = np.lexsort((digest, row))
-                row, digest = row[order], digest[order]
-                edge = _runs(row, digest)
-                n, row, digest = np.diff(edge), row[edge[:-1]] + a, digest[edge[:-1]]
-                of, what = lang[row], source[row]
-                order = np.lexsort((digest, what, of))
-                of, what, digest = of[order], what[order], digest[order]
-                edge = _runs(of, what, digest)
-                if len(edge) > 1:
-                    total = np.add.reduceat(n[order], edge[:-1])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(langs).take(pa.array(of[edge[:-1]])), pa.array(sources).take(pa.array(what[edge[:-1]])),
-                         pa.array(digest[edge[:-1]].view(np.int64)), pa.array(total), pa.array(np.diff(edge))],
-                        ["lang", "source", "digest", "n", "docs"])
+            pair, of = np.unique(lang * len(sources) + source, return_inverse=True)
+            group = np.array([counts.groups.setdefault((langs[x // len(sources)], sources[x % len(sources)]),
+                                                       len(counts.groups)) for x in pair.tolist()], np.int64)[of]
+            for a, _, start, _, digest, row in _terms(batch, 2, bits):
+                if len(start):
+                    counts.block(group, digest, row + a)
+                if counts.rows >= GATHERED:
+                    yield from counts.flush()
+        yield from counts.flush()
     return run
 
 
 def _strings(bits: int, per_row: bool):
-    """The distinct (digest, term) of blocks of texts; per row with (lang, source) and occurrences if asked."""
+    """The (digest, term) of runs of texts, each about once; per row with (lang, source) and occurrences if asked."""
     names = ["lang", "source", "digest", "term", "n"] if per_row else ["digest", "term"]
 
     def run(batches):
+        told = np.zeros(0, np.uint64)
         for batch in batches:
             for a, x, start, end, digest, row in _terms(batch, 2, bits):
-                # terms with equal digests may differ: their lengths and a second digest tell them apart
+                # terms may share the digest: a second one, of the bytes backwards, tells them apart here
                 other = span_hash(prefix_hash(x[::-1]), len(x) - end, len(x) - start)
-                keys = (other, end - start, digest, row) if per_row else (other, end - start, digest)
-                order = np.lexsort(keys)
-                edge = _runs(*(k[order] for k in keys))
-                one = order[edge[:-1]]
+                both = mix(digest * np.uint64(0x9E3779B97F4A7C15) + other)
+                if per_row:
+                    both = mix(both + row.astype(np.uint64))
+                both, one, n = np.unique(both, return_index=True, return_counts=True)
+                if not per_row:
+                    new = ~np.isin(both, told, assume_unique=True, kind="sort")
+                    both, one = both[new], one[new]
+                    told = np.union1d(told, both) if len(told) < GATHERED else both
+                if not len(one):
+                    continue
                 data = x.tobytes()
-                term = pa.array([data[s:e].decode("utf-8", "replace") for s, e in zip(start[one], end[one], strict=True)],
-                                pa.string())
+                term = pa.array([data[s:e].decode("utf-8", "replace")
+                                 for s, e in zip(start[one].tolist(), end[one].tolist(), strict=True)], pa.string())
                 out = [pa.array(digest[one].view(np.int64)), term]
                 if per_row:
                     at = pa.array(row[one] + a)
-                    out = [batch.column(0).take(at), batch.column(1).take(at), *out, pa.array(np.diff(edge))]
+                    out = [batch.column(0).take(at), batch.column(1).take(at), *out, pa.array(n)]
                 yield pa.RecordBatch.from_arrays(out, names)
     return run
 
@@ -131,27 +172,28 @@ def counted_terms(docs: DataFrame, min_docs: int, bits: int) -> tuple[DataFrame,
     counted = written(docs.mapInArrow(_count(bits), "lang string, source string, digest long, n long, docs long")
                       .groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")),
                       "terms")
-    kept = counted.groupBy("lang", "digest").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs)
     # a digest's documents are at least those of each of its terms, so no kept term is missing here
-    digests = written(kept.select("digest").distinct(), "kept-digests")
+    frequent = written(counted.groupBy("lang", "digest").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs)
+                       .select("lang", "digest"), "frequent-digests")
     strings = written(docs.mapInArrow(_strings(bits, False), "digest long, term string")
-                      .join(digests, "digest", "left_semi")
+                      .join(frequent.select("digest").distinct(), "digest", "left_semi")
                       .groupBy("digest").agg(F.min("term").alias("lo"), F.max("term").alias("hi")), "strings")
-    single = counted.join(strings.where("lo = hi").select("digest"), "digest").select(
-        "lang", "source", "digest", F.lit(0).alias("part"), "n", "docs")
-    names = strings.where("lo = hi").select("digest", F.lit(0).alias("part"), F.col("lo").alias("term"))
+    kept = counted.join(frequent, ["lang", "digest"]).select("lang", "source", "digest", F.lit(0).alias("part"), "n")
     mixed = strings.where("lo <> hi").select("digest")
-    if not mixed.isEmpty():
-        split = written(docs.mapInArrow(_strings(bits, True), "lang string, source string, digest long, term string, n long")
-                        .join(mixed, "digest", "left_semi").groupBy("lang", "source", "digest", "term")
-                        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")), "split")
-        parts = written(split.select("digest", "term").distinct().select(
-            "digest", F.row_number().over(Window.partitionBy("digest").orderBy("term")).alias("part"), "term"), "parts")
-        single = single.unionByName(split.join(parts, ["digest", "term"]).drop("term"))
-        names = names.unionByName(parts)
-    frequent = (single.groupBy("lang", "digest", "part").agg(F.sum("docs").alias("d"))
-                .where(F.col("d") >= min_docs).drop("d"))
-    return written(single.drop("docs").join(frequent, ["lang", "digest", "part"]), "kept-terms"), names
+    if mixed.isEmpty():
+        return written(kept, "kept-terms"), strings.select("digest", F.lit(0).alias("part"), F.col("lo").alias("term"))
+    split = written(docs.mapInArrow(_strings(bits, True), "lang string, source string, digest long, term string, n long")
+                    .join(mixed, "digest", "left_semi").groupBy("lang", "source", "digest", "term")
+                    .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")), "split")
+    parts = written(split.select("digest", "term").distinct().select(
+        "digest", F.row_number().over(Window.partitionBy("digest").orderBy("term")).alias("part"), "term"), "parts")
+    split = split.join(parts, ["digest", "term"])
+    enough = (split.groupBy("lang", "digest", "part").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs)
+              .select("lang", "digest", "part"))
+    kept = kept.join(mixed, "digest", "left_anti").select("lang", "source", "digest", "part", "n").unionByName(
+        split.join(enough, ["lang", "digest", "part"]).select("lang", "source", "digest", "part", "n"))
+    names = strings.where("lo = hi").select("digest", F.lit(0).alias("part"), F.col("lo").alias("term")).unionByName(parts)
+    return written(kept, "kept-terms"), names
 
 
 def _probability(n: Column, total: Column, kept: Column) -> Column:

@@ -6,6 +6,7 @@ from vitalis.llm import oracles
 from vitalis.llm.divergence import op12_source_divergence
 from vitalis.llm.embeddings import op6_embedding_near_dedup
 from vitalis.llm.fingerprints import op2_improbable_features
+from vitalis.llm.language_model import op11_language_model
 from vitalis.llm.lines import op3_line_dedup
 from vitalis.llm.matrices import op10_token_matrices
 from vitalis.llm.minhash import op4_minhash_near_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_retrieval_packing": op9_retrieval_packing,
     "op10_token_matrices": op10_token_matrices,
+    "op11_language_model": op11_language_model,
     "op12_source_divergence": op12_source_divergence,
     "op13_spelling_variants": op13_spelling_variants,
 }

@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import re
 
 from conftest_llm import SF, clashing, frame
 from pyspark.sql import functions as F
 
+from vitalis.llm import lines
+from vitalis.llm.layout import written
 from vitalis.llm.lines import MIN_CHARS, NEAR_CHARS, banded_distance, dedup_lines, op3_line_dedup
 
 
@@ -105,6 +108,39 @@ def test_near_lines_as_short_as_equal_ones(spark):
     assert got == expect(docs)
 
 
+def test_crowded_keys(spark):
+    """Keys under which many lines are indexed are searched in rounds: same result for any bound, linear on copies."""
+    rng = random.Random(11)
+    bases = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(30, 60))) for _ in range(3)]
+    docs = {i: "\n".join(edited(rng, rng.choice(bases), rng.choice([0, 1, 1, 2, 2, 3])) for _ in range(4)) for i in range(60)}
+    for crowd in (0, 1, 5):
+        got = {r.doc_id: (r.n_lines, r.n_equal, r.n_near, r.text)
+               for r in dedup_lines(frame(spark, docs.items()), crowd=crowd).collect()}
+        assert got == expect(docs), crowd
+
+
+def test_a_large_group_of_near_copies(spark):
+    base = "a passage that thousands of pages carry, each with a number of its own at the end: "
+    docs = [(i, f"{base}{i % 10}{chr(97 + i % 7)}{chr(97 + i // 200)}xx") for i in range(5000)]
+    got = {r.doc_id: (r.n_equal, r.n_near, r.text) for r in dedup_lines(frame(spark, docs)).collect()}
+    seen, want = {}, {}
+    for i, t in docs:  # lines differ in three single characters
+        near = any(sum(x != y for x, y in zip(t, u, strict=True)) <= 2 for u in seen)
+        want[i] = (1, 0, "") if t in seen else (0, 1, "") if near else (0, 0, t)
+        seen.setdefault(t, i)
+    assert got == want
+
+
+def test_entries_are_exchanged_once(spark, monkeypatch):
+    """The probes of all lines are made and shuffled in one place; the index is a tenth of them."""
+    plans = []
+    monkeypatch.setattr(lines, "written", lambda df, label: (plans.append((label, df)), written(df, label))[1])
+    dedup_lines(frame(spark, [(1, "a line that is long enough to be compared with others")]))
+    plan = dict(plans)["line-pairs"]._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 100_000  # no bitmap is written out in it
+    assert len(re.findall(r"Exchange hashpartitioning\(key#\d+L?, \d+\)", plan)) == 2
+
+
 def test_edges(spark):
     line = "a line that is long enough to be compared with others by edit distance"
     rows = [(1, None), (2, ""), (3, line), (4, line), (4, line), (None, line + "!"), (5, f"short\n\nshort\n{line}.\n"),

@@ -73,10 +73,16 @@ def test_every_kind_of_disguise_is_read(fitted):
 def test_readings_are_those_of_the_model(fitted):
     """A worker that has read under one table's model reads anew under another's."""
     flat = np.full_like(fitted["lm"], -math.log(SYMBOLS))
-    spans = np.frombuffer(b"1d10tm0r0n", np.uint8).reshape(2, 5)
-    for model in (fitted["lm"], flat, fitted["lm"]):
-        assert read(b"1d10t m0r0n", model) == b" ".join(viterbi(spans, model))
-    assert viterbi(spans, flat) != viterbi(spans, fitted["lm"])
+    # a model that has seen one pair of letters only: a sign with two readings is read as the letter of that pair
+    slanted = [np.full_like(fitted["lm"], -9.0) for _ in range(2)]
+    for model, letter in zip(slanted, b"il", strict=True):
+        model[:, :, letter - 96] = -0.1
+    spans = np.frombuffer(b"1d10tm0r1n", np.uint8).reshape(2, 5)
+    readings = []
+    for model in (*slanted, flat, fitted["lm"], slanted[0]):
+        readings.append(viterbi(spans, model))
+        assert read(b"1d10t m0r1n", model) == b" ".join(readings[-1])
+    assert readings[0] != readings[1] and readings[0] == readings[-1]
 
 
 def test_disguised_documents_are_toxic(spark, fitted):

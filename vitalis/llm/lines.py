@@ -7,11 +7,16 @@ pigeonhole one segment survives any max_edits edits unchanged. Each distinct
 line is indexed under (its length, segment number, segment), and probes the
 indexes of all lengths up to max_edits below its own with the substrings that
 can still be that segment (their start may be off by as many places as there
-are edits left and right of it). Pairs that meet must agree in counts of letters
-(an edit changes the counts by two at most; checked inside the join) and are
+are edits left and right of it). Pairs that meet must agree in counts of sixteen
+letters (an edit changes the counts by two at most; checked inside the join) and are
 verified by a banded bit-parallel edit distance: the 2 * max_edits + 1 diagonals
 around the main one are the bits of one integer, moved along both lines by an
 ``aggregate`` over positions.
+
+A key under which more than ``CROWD`` lines are indexed is not joined: its members are
+gathered, and in rounds each of them meets the earliest members only (16, then the next
+32, ...). A line that has met its earlier near line needs no other and leaves as
+receiver, not as donor, so a group of near copies costs about its size.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vitalis.functions.columns import col
 from vitalis.llm.layout import fresh_names, measured, shuffle_partitions, written
@@ -28,43 +34,43 @@ MAX_EDITS = 2
 MIN_CHARS = 20
 NEAR_CHARS = MIN_CHARS  # three segments still have six characters
 # Letters of the count filter; a count is kept modulo 16.
-LETTERS = "enitas"
-# More letters, looked at before a pair is verified.
-MORE_LETTERS = "rohdlucm", "gwbpfvzk"
+LETTERS = "enitasrohdlucmgw"
+CROWD = 32
+FIRST_ROUND = 16
 LAST = 2**63 - 1
 
 
-def line_entries(lines: DataFrame, max_edits: int) -> DataFrame:
-    """(key, indexed, h, c) of ``lines`` (h, line): a key for each segment and each place where it may be found.
+def line_entries(lines: DataFrame, max_edits: int, probes: bool) -> DataFrame:
+    """(key, h, c) of ``lines`` (h, line): a key for each segment of the line, or for each place where one may be found.
 
-    The segments of the line itself, unshifted, are index entries and probes at once
-    (``indexed``); the others are probes of shorter lines or of shifted segments.
-    Built one segment a row, so that the generated code stays small enough to be compiled.
+    The segments of the line itself, unshifted, are the index; with ``probes`` come those of
+    shorter lines and of shifted segments. Built one segment a row, so that the generated
+    code stays small enough to be compiled.
     """
     segments = max_edits + 1
     per_segment = (lines.select("h", "line", letter_counts(F.col("line")).alias("c"),
                                 F.char_length("line").alias("size"))
                    .select("h", "line", "c", "size", F.explode(F.array(*map(F.lit, range(segments)))).alias("k")))
     size, k, keys = F.col("size"), F.col("k"), []
-    for shorter in range(segments):
+    for shorter in range(segments if probes else 1):
         length = size - shorter
         start = F.floor(length * k / segments).cast("int")
         width = F.floor(length * (k + 1) / segments).cast("int") - start
-        for shift in sorted(range(-max_edits, max_edits + 1), key=abs):
+        for shift in sorted(range(-max_edits, max_edits + 1), key=abs) if probes else [0]:
             # k edits may lie before segment k, max_edits - k behind it
             fits = [j for j in range(segments) if max(-j, shorter - (max_edits - j)) <= shift
                     <= min(j, shorter + (max_edits - j))]
             if fits:
                 key = F.xxhash64(length, k, F.col("line").substr(start + (1 + shift), width))
                 keys.append(key if len(fits) == segments else F.when(k.isin(fits), key))
-    return (per_segment.select("h", "c", F.posexplode(F.array(*keys)).alias("at", "key"))
-            .where(F.col("key").isNotNull()).select("key", (F.col("at") == 0).alias("indexed"), "h", "c"))
+    return (per_segment.select("h", "c", F.explode(F.array(*keys)).alias("key"))
+            .where(F.col("key").isNotNull()).select("key", "h", "c"))
 
 
 def letter_counts(line: Column, letters: str = LETTERS) -> Column:
     """Counts of the letters, 4 bits each."""
-    parts = [F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 16, 4 * k)
-             for k, letter in enumerate(letters)]
+    parts = [F.shiftleft(((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 16)
+                         .cast("long"), 4 * k) for k, letter in enumerate(letters)]
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
@@ -72,8 +78,7 @@ def counts_apart(a: Column, b: Column, letters: str = LETTERS) -> Column:
     """Sum of the differences of two letter counts, each taken the short way round modulo 16."""
     out = F.lit(0)
     for k in range(len(letters)):
-        d = F.pmod(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)),
-                   F.lit(16))
+        d = (F.shiftright(a, 4 * k) - F.shiftright(b, 4 * k)).bitwiseAND(F.lit(15))
         out = out + F.least(d, F.lit(16) - d)
     return out
 
@@ -129,27 +134,66 @@ SIEVE_BITS = 23  # 1 MB; beyond, more hashes pass that nobody asked for, and the
 
 
 def sieve(hashes: DataFrame, h: str) -> Column:
-    """A bitmap of 2**SIEVE_BITS bits, as a literal, that holds the high bits of every hash."""
-    words = (hashes.select(F.shiftrightunsigned(F.col(h), 64 - SIEVE_BITS).alias("bit"))
-             .select(F.shiftright("bit", 6).cast("int").alias("word"),
-                     F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
-                     .alias("mark"))
-             .groupBy("word").agg(F.bit_or("mark").alias("mark")).collect())
-    held = [0] * (1 << (SIEVE_BITS - 6))
-    for r in words:
-        held[r["word"]] = r["mark"]
-    return F.from_json(F.lit(str(held)), "array<bigint>")
+    """A bitmap of 2**SIEVE_BITS bits that holds the high bits of every hash: an array of 64-bit words, made once as a
+    subquery, so that it is no part of the plan's text."""
+    word = F.shiftrightunsigned(F.col(h), 64 - SIEVE_BITS)
+    marks = (hashes.select(F.shiftright(word, 6).cast("int").alias("word"),
+                           F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
+                           .alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("mark")))
+    every = hashes.sparkSession.range(1 << (SIEVE_BITS - 6)).select(F.col("id").cast("int").alias("word"),
+                                                                    F.lit(0).cast("long").alias("mark"))
+    filled = marks.union(every).groupBy("word").agg(F.bit_or("mark").alias("mark"))
+    return (filled.agg(F.sort_array(F.collect_list(F.struct("word", "mark"))).alias("all"))
+            .select(F.col("all.mark")).scalar())
 
 
 def _passes(table: Column, h: str) -> Column:
-    bits = F.shiftrightunsigned(F.col(h), 64 - SIEVE_BITS)
-    word = F.element_at(table, (F.shiftright(bits, 6) + 1).cast("int"))
     """May the hash be one of those in the bitmap?"""
+    bits = F.shiftrightunsigned(F.col(h), 64 - SIEVE_BITS)
+    word = F.get(table, F.shiftright(bits, 6).cast("int"))
     return F.call_function("shiftright", word, bits.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
+def _verified(pairs: DataFrame, max_edits: int) -> DataFrame:
+    """The rows whose lines la and lb are within ``max_edits``."""
+    return (pairs.where(F.abs(F.char_length("la") - F.char_length("lb")) <= max_edits)
+            .where(banded_distance(F.col("la"), F.col("lb"), max_edits) <= max_edits))
+
+
+def crowd_drops(members: DataFrame, known: DataFrame, max_edits: int, first_round: int = FIRST_ROUND) -> DataFrame:
+    """(at) of the members (key, h) that lie near an earlier member of one of their keys.
+
+    ``known``: (h, line, at, c). Each round offers every key's next earliest members as
+    donors, twice as many as the round before, to the members that are still receivers.
+    """
+    places = written(members.join(known.select("h", "at", "c"), "h"), "members")
+    receivers, last, done, size = places, None, [], first_round
+    while True:
+        left = places if last is None else places.join(last, "key").where(F.col("at") > F.col("last"))
+        order = Window.partitionBy("key").orderBy("at")
+        donors = written(left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= size)
+                         .select("key", F.col("at").alias("before"), F.col("c").alias("cb")), "donors")
+        if donors.isEmpty():
+            break
+        met = (receivers.join(donors, "key").where((F.col("before") < F.col("at"))
+                                                   & (counts_apart(F.col("c"), F.col("cb")) <= 2 * max_edits))
+               .select("at", "before").distinct())
+        one = known.select("at", F.col("line").alias("la"))
+        two = known.select(F.col("at").alias("before"), F.col("line").alias("lb"))
+        found = written(_verified(met.join(one, "at").join(two, "before"), max_edits).select("at").distinct(), "found")
+        done.append(found)
+        last = written(donors.groupBy("key").agg(F.max("before").alias("last")), "last")
+        # no longer receivers: those that have met their near line, and those without donors left under a key
+        receivers = written(receivers.join(found, "at", "left_anti").join(last, "key")
+                            .where(F.col("at") > F.col("last")).drop("last"), "receivers")
+        if receivers.isEmpty():
+            break
+        size *= 2
+    return reduce(DataFrame.union, done).distinct()
+
+
 def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
-                   near_chars: int = NEAR_CHARS) -> DataFrame:
+                   near_chars: int = NEAR_CHARS, crowd: int = CROWD) -> DataFrame:
     """(rid, id, pos, near) of the lines to drop of ``docs`` (rid, id, text); see ``dedup_lines``."""
     place = F.struct(F.coalesce("id", F.lit(LAST)).alias("o"), F.col("pos").alias("p"), F.col("rid").alias("r"))
     lines = written(_split_lines(docs).where(F.char_length("line") >= min_chars)
@@ -164,40 +208,42 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     # The texts of distinct lines are taken where they lie. A line that occurs once needs no look at others; those
     # that may occur twice (by the sieve) are merged by hash first, map-side too.
     texts = (docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line") >= near_chars)
-             .select(F.xxhash64("line").alias("h"), "line"))
+             .select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line"))
     twice = sieve(long.where("copies > 1"), "h")
     distinct = texts.where(~_passes(twice, "h")).union(
-        texts.where(_passes(twice, "h")).groupBy("h").agg(F.min("line").alias("line")))
-
-    # one shuffle of the entries serves both sides of the join; the indexed ones are picked behind it
-    entries = line_entries(distinct, max_edits).repartition(shuffle_partitions(docs.sparkSession), "key")
-    here = F.spark_partition_id() >= 0  # keeps the filter above the shuffle
-    left = entries.where(F.when(here, F.col("indexed"))).select("key", F.col("h").alias("ha"), F.col("c").alias("ca"))
-    right = entries.where(F.when(here, F.col("key").isNotNull())).select(
-        F.col("key").alias("key_b"), F.col("h").alias("hb"), F.col("c").alias("cb"))
-    pairs = written(
-        left.join(right, (F.col("key") == F.col("key_b")) & (F.col("ha") != F.col("hb"))
-                  & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * max_edits))
-        .select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct(), "line-pairs")
-    ends = written(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "ends")
-    known = written(texts.where(_passes(sieve(ends, "h"), "h")).join(ends, "h").groupBy("h")
-                    .agg(F.min("line").alias("line")).join(long.select("h", "at"), "h"), "pair-lines")
+        texts.where(_passes(twice, "h")).groupBy("h", "g").agg(F.min("line").alias("line")).select("h", "g", "line"))
+
+    # the index: few rows; a crowded key has one row without a line in it, which only marks its probes
+    by_key = Window.partitionBy("key")
+    index = (line_entries(distinct, max_edits, False)
+             .select("key", F.col("h").alias("ha"), F.col("c").alias("ca"), F.count(F.lit(1)).over(by_key).alias("n"),
+                     F.row_number().over(by_key.orderBy("h")).alias("nth"))
+             .where((F.col("n") <= crowd) | (F.col("nth") == 1))
+             .select("key", F.when(F.col("n") <= crowd, F.col("ha")).alias("ha"), "ca"))
+    near_counts = counts_apart(F.col("ca"), F.col("c")) <= 2 * max_edits
+    met = written(index.join(line_entries(distinct, max_edits, True), "key")
+                  .where(F.col("ha").isNull() | (F.col("ha") != F.col("h")) & near_counts)
+                  .select(F.when(F.col("ha").isNull(), F.col("key")).alias("key"),
+                          F.least("ha", "h").alias("a"), F.when(F.col("ha").isNotNull(), F.greatest("ha", "h")).alias("b"))
+                  .distinct(), "line-pairs")
+    pairs = met.where("key is null").select("a", "b")
+    members = met.where("key is not null").select("key", F.col("a").alias("h"))
+    ends = written(met.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct(), "ends")
+    known = written(texts.where(_passes(sieve(ends, "h"), "h")).join(ends, "h").groupBy("h", "g")
+                    .agg(F.min("line").alias("line")).join(long.select("h", "g", "at"), ["h", "g"])
+                    .select("h", "line", "at", letter_counts(F.col("line")).alias("c")), "pair-lines")
     one = known.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("at").alias("ata"))
     two = known.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("at").alias("atb"))
-    near = (pairs.join(one, "a").join(two, "b")
-            .where(F.abs(F.char_length("la") - F.char_length("lb")) <= max_edits)
-            .where(sum(counts_apart(letter_counts(F.col("la"), some), letter_counts(F.col("lb"), some), some)
-                       for some in (LETTERS, *MORE_LETTERS)) <= 2 * max_edits)
-            .where(banded_distance(F.col("la"), F.col("lb"), max_edits) <= max_edits)
-            .select(F.greatest("ata", "atb").alias("at")).distinct()
-            .select(F.col("at.r").alias("rid"), F.nullif(F.col("at.o"), F.lit(LAST)).alias("id"),
-                    F.col("at.p").alias("pos"), F.lit(True).alias("near")))
-    return equal.union(near)
+    near = _verified(pairs.join(one, "a").join(two, "b"), max_edits).select(F.greatest("ata", "atb").alias("at"))
+    if not members.isEmpty():
+        near = near.union(crowd_drops(members, known, max_edits))
+    return equal.union(near.distinct().select(F.col("at.r").alias("rid"), F.nullif(F.col("at.o"), F.lit(LAST)).alias("id"),
+                                              F.col("at.p").alias("pos"), F.lit(True).alias("near")))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS,
                 min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, n_lines: str = "n_lines",
-                n_equal: str = "n_equal", n_near: str = "n_near") -> DataFrame:
+                n_equal: str = "n_equal", n_near: str = "n_near", crowd: int = CROWD) -> DataFrame:
     """``df`` with the repeated lines cut from ``text_col``, and how many lines it had, lost as equal, lost as near.
 
     A line of ``min_chars`` characters or more goes if an earlier line is equal, one
@@ -222,12 +268,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     _, total = measured(df, text_col)
     parts = max(shuffle_partitions(df.sparkSession), -(-total // (32 << 20)))
     key, gone, near = fresh_names(df, "gone_rid", "gone", "gone_near")
-    drops = (repeated_lines(docs, max_edits, min_chars, near_chars)
+    drops = (repeated_lines(docs, max_edits, min_chars, near_chars, crowd)
              .groupBy("rid").agg(F.collect_set("pos").alias(gone), F.count_if("near").alias(near))
              .withColumnRenamed("rid", key))
     merged = keyed.repartition(parts, col(rid)).join(drops, col(rid) == F.col(key), "left")
     lines = F.split(col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
     return merged.select(
         *(F.when(F.col(gone).isNull(), col(c)).otherwise(kept).alias(c) if c == text_col else col(c)
           for c in df.columns),

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalis.functions.columns import as_double, col, long_form, numeric_columns
-from vitalis.functions.ranking import exact_quantiles
+from vitalis.functions.brackets import bracket_quantiles
+from vitalis.functions.columns import as_double, col, numeric_columns
 from vitalis.functions.rng import unit_hash
 from vitalis.functions.stats import t_pvalue
 
@@ -29,19 +29,15 @@ def _stack(row_df: DataFrame, items: list[tuple[str, list[tuple[str, Column]]]])
 def describe_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear), max per numeric column."""
     cols = cols if cols is not None else numeric_columns(df)
-    moments = df.agg(*[
-        a for i, c in enumerate(cols) for a in (
-            F.count(as_double(c)).alias(f"n{i}"), F.avg(as_double(c)).alias(f"m{i}"),
-            F.stddev_samp(as_double(c)).alias(f"s{i}"), F.min(as_double(c)).alias(f"lo{i}"),
-            F.max(as_double(c)).alias(f"hi{i}"))
-    ])
-    stats = _stack(moments, [(c, [("count", F.col(f"n{i}")), ("mean", F.col(f"m{i}")), ("std", F.col(f"s{i}")),
-                                  ("min", F.col(f"lo{i}")), ("max", F.col(f"hi{i}"))])
-                             for i, c in enumerate(cols)])
-    qs = exact_quantiles(long_form(df, cols), ["column"], "value", [0.25, 0.5, 0.75])
-    qs = qs.select("column", F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"))
-    out = stats.join(F.broadcast(qs), on="column", how="left")  # one row per column
-    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    moments = {f"{n}{i}": f(f"_x{i}") for i in range(len(cols)) for n, f in (("m", F.avg), ("s", F.stddev_samp))}
+    qs = bracket_quantiles(df, [], cols, [0.25, 0.5, 0.75], extra=moments)
+
+    def own(name):
+        """The column's own moment of those that every row carries."""
+        return F.element_at(F.array(*[F.col(f"{name}{i}") for i in range(len(cols))]),
+                            F.array_position(F.array(*map(F.lit, cols)), F.col("column")).cast("int"))
+    return qs.select("column", F.col("n").alias("count"), own("m").alias("mean"), own("s").alias("std"), F.col("lo").alias("min"),
+                     F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"), F.col("hi").alias("max"))
 
 
 # --- E2 ----------------------------------------------------------------------
@@ -138,12 +134,12 @@ def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per group."""
     v = as_double(column)
     base = df.select(col(by).alias("grp"), v.alias("value")).where(F.col("value").isNotNull())
-    qs = exact_quantiles(base, ["grp"], "value", [0.25, 0.5, 0.75])
-    qs = (qs.withColumn("_iqr", F.col("q_2") - F.col("q_0"))
-          .withColumn("_lf", F.col("q_0") - 1.5 * F.col("_iqr"))
-          .withColumn("_uf", F.col("q_2") + 1.5 * F.col("_iqr")))
-    # one row per group: broadcast is bounded by the number of groups
-    j = base.join(F.broadcast(qs), on=[base["grp"].eqNullSafe(qs["grp"])], how="inner").drop(qs["grp"])
+    qs = bracket_quantiles(base, ["grp"], ["value"], [0.25, 0.5, 0.75]).select(
+        F.col("grp").alias("_of"), "q_0", "q_1", "q_2",
+        (F.col("q_0") - 1.5 * (F.col("q_2") - F.col("q_0"))).alias("_lf"),
+        (F.col("q_2") + 1.5 * (F.col("q_2") - F.col("q_0"))).alias("_uf"))
+    # the few groups' quartiles are a local table, broadcast by its size; many groups join by shuffle
+    j = base.join(qs, base["grp"].eqNullSafe(qs["_of"])).drop("_of")
     inside = (F.col("value") >= F.col("_lf")) & (F.col("value") <= F.col("_uf"))
     return j.groupBy("grp", "q_0", "q_1", "q_2").agg(
         F.count(F.lit(1)).alias("n"),
@@ -160,22 +156,21 @@ def density(df: DataFrame, column: str, by: str, grid: int = 50, bins: int = 200
     range. Rows are first binned (``bins`` fine bins, counts), so the cost is
     groups x bins x grid regardless of row count. Bandwidth per group:
     Silverman, ``0.9 * min(std, IQR/1.34) * n^-0.2``."""
-    lo, hi = _range(df, column)
+    v = as_double(column)
+    base = df.select(col(by).alias("grp"), v.alias("value")).where(F.col("value").isNotNull())
+    qs = bracket_quantiles(base, ["grp"], ["value"], [0.25, 0.75], extra={"sd": F.stddev_samp("_x0")})
+    lo, hi = qs.agg(F.min("lo"), F.max("hi")).first()
     if lo is None:
         return df.sparkSession.createDataFrame([], "grp string, point int, x double, density double")
     span = hi - lo if hi > lo else 1.0
-    v = as_double(column)
-    base = df.select(col(by).alias("grp"), v.alias("value")).where(F.col("value").isNotNull())
-    qs = exact_quantiles(base, ["grp"], "value", [0.25, 0.75])
-    mom = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd"))
-    bw = mom.join(qs, on=[mom["grp"].eqNullSafe(qs["grp"])]).drop(qs["grp"]).select(
-        "grp", "n",
+    bw = qs.select(
+        F.col("grp").alias("_of"), "n",
         (F.lit(0.9) * F.coalesce(
             F.nullif(F.least(F.col("sd"), (F.col("q_1") - F.col("q_0")) / F.lit(1.34)), F.lit(0.0)),
             F.nullif(F.col("sd"), F.lit(0.0)), F.lit(1.0)) * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"))
     b = F.least(F.floor((F.col("value") - F.lit(lo)) / F.lit(span / bins)), F.lit(bins - 1)).cast("int")
     fine = base.groupBy("grp", b.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
-    fine = fine.join(F.broadcast(bw), on=[fine["grp"].eqNullSafe(bw["grp"])]).drop(bw["grp"])
+    fine = fine.join(bw, fine["grp"].eqNullSafe(bw["_of"])).drop("_of")
     center = F.lit(lo) + (F.col("bin") + F.lit(0.5)) * F.lit(span / bins)
     step = span / (grid - 1) if grid > 1 else 0.0
     pts = fine.select("grp", "cnt", "n", "h", center.alias("c"),

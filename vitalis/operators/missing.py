@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalis.functions.columns import as_double, col, long_form, numeric_columns
-from vitalis.functions.ranking import exact_quantiles
+from vitalis.functions.brackets import bracket_quantiles
+from vitalis.functions.columns import as_double, col, numeric_columns
 
 
 def missing_profile(df: DataFrame) -> DataFrame:
@@ -50,8 +50,7 @@ def feature_medians(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """M4: exact median (linear interpolation) of each column over the whole
     table: ``(column, median)``."""
     cols = cols if cols is not None else numeric_columns(df)
-    q = exact_quantiles(long_form(df, cols), ["column"], "value", [0.5])
-    return q.select("column", F.col("q_0").alias("median"))
+    return bracket_quantiles(df, [], cols, [0.5]).where("n > 0").select("column", F.col("q_0").alias("median"))
 
 
 def medians_dict(df: DataFrame, cols: list[str]) -> dict[str, float]:
@@ -60,53 +59,25 @@ def medians_dict(df: DataFrame, cols: list[str]) -> dict[str, float]:
 
 
 # --- M2 ----------------------------------------------------------------------
-def knn_impute(df: DataFrame, key: str, cols: list[str] | None = None, k: int = 5,
-               grid_cols: list[str] | None = None) -> DataFrame:
+def knn_impute(df: DataFrame, key: str, cols: list[str] | None = None, k: int = 5, leaf: int | None = None) -> DataFrame:
     """M2: k-nearest-neighbour imputation (uniform weights) over ``cols`` with
     the NaN-aware Euclidean distance; donors for a column are the rows that
-    have it; a receiver without any comparable donor gets the column mean.
+    have it, ties go to the smaller key; a receiver without any comparable donor
+    gets the column mean, a column without any value stays null.
 
-    One exact grid k-NN join serves all columns: receivers are exploded to one
-    row per missing column, donors to one row per present column that has
-    receivers, and the
-    column name is the join group. Grid columns default to the two columns with
-    the fewest missing cells (complete columns make the grid bound tight)."""
-    from vitalis.operators.neighbours import knn_join
+    Exact: k-d trees per pattern of present columns (``operators.kdtree``). The key must be unique and not null."""
+    from vitalis.operators.kdtree import LEAF, nearest_donors
 
     cols = cols if cols is not None else [c for c in numeric_columns(df) if c != key]
-    base = df.select(col(key).alias("_key"), *[as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)])
-    feats = [f"_x{i}" for i in range(len(cols))]
-    st = None
-    if grid_cols is None:
-        # complete columns keep the grid bound valid for every donor; among the
-        # most complete ones prefer the widest spread (the bound is in raw units)
-        st = base.agg(*[F.count_if(F.col(f).isNull()).alias(f"n{f}") for f in feats],
-                      *[F.stddev_pop(f).alias(f"s{f}") for f in feats]).first()
-        grid = sorted(feats, key=lambda f: (st[f"n{f}"], -(st[f"s{f}"] or 0.0), feats.index(f)))[:2]
-    else:
-        grid = [feats[cols.index(g)] for g in grid_cols]
-    q = base.select("_key", *feats, F.explode(F.array(*[
-        F.when(F.col(f).isNull(), F.lit(i)) for i, f in enumerate(feats)])).alias("_col")).where(F.col("_col").isNotNull())
-    q = q.withColumn("_qid", F.concat_ws("|", F.col("_col").cast("string"), F.col("_key").cast("string")))
-    # donors only for columns that have receivers: a complete column's donor
-    # rows would never meet a query
-    gapped = [i for i, f in enumerate(feats) if st is None or st[f"n{f}"] > 0]
-    p = base.select("_key", *feats, F.explode(F.array(*[
-        F.when(F.col(f).isNotNull(), F.struct(F.lit(i).alias("c"), F.col(f).alias("v")))
-        for i, f in enumerate(feats) if i in gapped
-    ] or [F.lit(None).cast("struct<c:int,v:double>")])).alias("_cv")).where(F.col("_cv").isNotNull()).select(
-        "_key", *feats, F.col("_cv.c").alias("_col"), F.col("_cv.v").alias("_val"))
-    nn = knn_join(q, p, qkey="_qid", pkey="_key", features=feats, k=k, group="_col", nan_euclidean=True,
-                  grid_cols=grid, carry=["_val"])
-    means = base.agg(*[F.avg(f).alias(f) for f in feats]).first()  # one number per column
-    filled = (q.select("_qid", "_key", "_col")
-              .join(nn.groupBy("query_key").agg(F.avg("_val").alias("_imp")),
-                    F.col("_qid") == F.col("query_key"), "left"))
-    fallback = F.element_at(F.array(*[F.lit(means[f]).cast("double") for f in feats]), F.col("_col") + 1)
-    filled = filled.select("_key", "_col", F.coalesce(F.col("_imp"), fallback).alias("_imp"))
-    wide = filled.groupBy("_key").agg(*[F.max(F.when(F.col("_col") == i, F.col("_imp"))).alias(f"_i{i}")
-                                        for i in range(len(cols))])
+    if len(cols) > 62:
+        raise ValueError("at most 62 columns can be imputed together")
+    base = df.select(col(key).alias("key"), *[as_double(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    near = nearest_donors(base, len(cols), k, leaf or LEAF)
+    means = base.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(cols))]).first()  # one number per column
+    wide = near.groupBy("key").agg(*[F.avg(F.when(F.col("c") == i, F.col("value"))).alias(f"_i{i}")
+                                     for i in range(len(cols))]).withColumnRenamed("key", "_key")
     out = df.join(wide, df[key] == wide["_key"], "left")
     return out.select(*[
-        F.coalesce(as_double(c), F.col(f"_i{cols.index(c)}")).alias(c) if c in cols else df[c] for c in df.columns
+        F.coalesce(as_double(c), F.col(f"_i{cols.index(c)}"), F.lit(means[cols.index(c)]).cast("double")).alias(c)
+        if c in cols else df[c] for c in df.columns
     ])

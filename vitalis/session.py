@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import SparkConf
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
@@ -23,8 +24,7 @@ LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
-    # A broadcast side must be proven small; every explicit broadcast in the
-    # library is behind a size check, this only caps Catalyst's own choice.
+    # The most that Catalyst broadcasts by its own choice.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
@@ -60,3 +60,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """The table written to the shared folder and read again: computed once, lineage cut, any executor can read it."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vitalis-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

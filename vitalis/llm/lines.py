@@ -7,7 +7,7 @@ pigeonhole one segment survives any max_edits edits unchanged. Each distinct
 line is indexed under (its length, segment number, segment), and probes the
 indexes of all lengths up to max_edits below its own with the substrings that
 can still be that segment (their start may be off by as many places as there
-are edits left and right of it). Pairs that meet must agree in counts of sixteen
+are edits left and right of it). Pairs that meet must agree in counts of twelve
 letters (an edit changes the counts by two at most; checked inside the join) and are
 verified by a banded bit-parallel edit distance: the 2 * max_edits + 1 diagonals
 around the main one are the bits of one integer, moved along both lines by an
@@ -34,37 +34,37 @@ MAX_EDITS = 2
 MIN_CHARS = 20
 NEAR_CHARS = MIN_CHARS  # three segments still have six characters
 # Letters of the count filter; a count is kept modulo 16.
-LETTERS = "enitasrohdlucmgw"
+LETTERS = "enitasrohdlu"
 CROWD = 32
 FIRST_ROUND = 16
 LAST = 2**63 - 1
 
 
-def line_entries(lines: DataFrame, max_edits: int, probes: bool) -> DataFrame:
-    """(key, h, c) of ``lines`` (h, line): a key for each segment of the line, or for each place where one may be found.
+def line_entries(lines: DataFrame, max_edits: int) -> DataFrame:
+    """(key, indexed, h, c) of ``lines`` (h, line): a key for each segment and each place where it may be found.
 
-    The segments of the line itself, unshifted, are the index; with ``probes`` come those of
-    shorter lines and of shifted segments. Built one segment a row, so that the generated
-    code stays small enough to be compiled.
+    The segments of the line itself, unshifted, are index entries and probes at once
+    (``indexed``); the others are probes of shorter lines or of shifted segments.
+    Built one segment a row, so that the generated code stays small enough to be compiled.
     """
     segments = max_edits + 1
     per_segment = (lines.select("h", "line", letter_counts(F.col("line")).alias("c"),
                                 F.char_length("line").alias("size"))
                    .select("h", "line", "c", "size", F.explode(F.array(*map(F.lit, range(segments)))).alias("k")))
     size, k, keys = F.col("size"), F.col("k"), []
-    for shorter in range(segments if probes else 1):
+    for shorter in range(segments):
         length = size - shorter
         start = F.floor(length * k / segments).cast("int")
         width = F.floor(length * (k + 1) / segments).cast("int") - start
-        for shift in sorted(range(-max_edits, max_edits + 1), key=abs) if probes else [0]:
+        for shift in sorted(range(-max_edits, max_edits + 1), key=abs):
             # k edits may lie before segment k, max_edits - k behind it
             fits = [j for j in range(segments) if max(-j, shorter - (max_edits - j)) <= shift
                     <= min(j, shorter + (max_edits - j))]
             if fits:
                 key = F.xxhash64(length, k, F.col("line").substr(start + (1 + shift), width))
                 keys.append(key if len(fits) == segments else F.when(k.isin(fits), key))
-    return (per_segment.select("h", "c", F.explode(F.array(*keys)).alias("key"))
-            .where(F.col("key").isNotNull()).select("key", "h", "c"))
+    return (per_segment.select("h", "c", F.posexplode(F.array(*keys)).alias("at", "key"))
+            .where(F.col("key").isNotNull()).select("key", (F.col("at") == 0).alias("indexed"), "h", "c"))
 
 
 def letter_counts(line: Column, letters: str = LETTERS) -> Column:
@@ -78,7 +78,7 @@ def counts_apart(a: Column, b: Column, letters: str = LETTERS) -> Column:
     """Sum of the differences of two letter counts, each taken the short way round modulo 16."""
     out = F.lit(0)
     for k in range(len(letters)):
-        d = (F.shiftright(a, 4 * k) - F.shiftright(b, 4 * k)).bitwiseAND(F.lit(15))
+        d = (F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15))).bitwiseAND(F.lit(15))
         out = out + F.least(d, F.lit(16) - d)
     return out
 
@@ -213,16 +213,20 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     distinct = texts.where(~_passes(twice, "h")).union(
         texts.where(_passes(twice, "h")).groupBy("h", "g").agg(F.min("line").alias("line")).select("h", "g", "line"))
 
-    # the index: few rows; a crowded key has one row without a line in it, which only marks its probes
+    # One shuffle of the entries serves both sides: the index is picked behind it, and both sides read all its columns.
+    # A crowded key has one row without a line in the index, which only marks its probes.
+    entries = line_entries(distinct, max_edits).repartition(shuffle_partitions(docs.sparkSession), "key")
+    here = F.spark_partition_id() >= 0  # keeps the filter above the shuffle
     by_key = Window.partitionBy("key")
-    index = (line_entries(distinct, max_edits, False)
+    index = (entries.where(F.when(here, F.col("indexed")))
              .select("key", F.col("h").alias("ha"), F.col("c").alias("ca"), F.count(F.lit(1)).over(by_key).alias("n"),
                      F.row_number().over(by_key.orderBy("h")).alias("nth"))
              .where((F.col("n") <= crowd) | (F.col("nth") == 1))
              .select("key", F.when(F.col("n") <= crowd, F.col("ha")).alias("ha"), "ca"))
-    near_counts = counts_apart(F.col("ca"), F.col("c")) <= 2 * max_edits
-    met = written(index.join(line_entries(distinct, max_edits, True), "key")
-                  .where(F.col("ha").isNull() | (F.col("ha") != F.col("h")) & near_counts)
+    probes = entries.select(F.col("key").alias("probe"), "indexed", "h", "c")
+    meets = ((F.col("ha") != F.col("h")) & (~F.col("indexed") | (F.col("ha") < F.col("h")))
+             & (counts_apart(F.col("ca"), F.col("c")) <= 2 * max_edits))
+    met = written(index.join(probes, (F.col("key") == F.col("probe")) & (F.col("ha").isNull() | meets))
                   .select(F.when(F.col("ha").isNull(), F.col("key")).alias("key"),
                           F.least("ha", "h").alias("a"), F.when(F.col("ha").isNotNull(), F.greatest("ha", "h")).alias("b"))
                   .distinct(), "line-pairs")

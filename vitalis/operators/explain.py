@@ -2,37 +2,56 @@
 
 For each row and each coalition S of features, the row's values are kept for
 the features in S and replaced by the background (the stored medians) for the
-rest; one model ``transform`` scores every hybrid row. With F features:
-
-* ``method="exact"``: all 2^F coalitions; ``phi_i = sum_S v(S) * c_i(S)``
-  with ``c_i(S) = w(|S|-1)`` if i in S else ``-w(|S|)``, ``w(s) = s!(F-s-1)!/F!``;
-* ``method="sampled"``: ``n_perm`` permutations per row drawn from md5 of (row, seed); each
-  permutation contributes ``v(prefix_j) - v(prefix_{j-1})`` to its j-th feature.
-
-Work is linear in rows (rows x coalitions hybrid rows, explode + one grouped
-sum); ``base`` is the probability of the background. The reference's noisy
-five-row background is replaced by the single median row (its noise is
-unseeded), so ``sum(phi) = p - base`` holds exactly.
+rest; one model ``transform`` scores every hybrid row, and one grouped sum per
+row and feature weighs the probabilities. The weights are a small table,
+coalition -> one number per feature, the same for all rows:
+
+* ``method="exact"``: all 2^F coalitions; feature i has ``w(|S|-1)`` if i in S
+  else ``-w(|S|)``, ``w(s) = s!(F-s-1)!/F!``;
+* ``method="sampled"``: ``n_perm`` permutations of the features, drawn by md5 of
+  (seed, permutation, feature); each contributes ``v(prefix_j) - v(prefix_{j-1})`` to
+  its j-th feature. Coalitions that several permutations pass are scored once.
+
+``base`` is the probability of the background (the empty coalition). The studied
+system's noisy five-row background is replaced by the single median row (its noise is
+unseeded), so ``sum(phi) = p - base`` holds exactly. Forests are explained by
+their trees: ``operators.tree_shapley``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalis.functions.columns import as_double, col
-from vitalis.functions.rng import unit_hash
 
 
 def _weight(s: int, f: int) -> float:
     return math.factorial(s) * math.factorial(f - s - 1) / math.factorial(f)
 
 
+def coalition_weights(features: list[str], method: str = "exact", n_perm: int = 32, seed: int = 42) -> dict[int, list[float]]:
+    """Bit mask of a coalition -> its weight for each feature."""
+    nf = len(features)
+    if method == "exact":
+        return {m: [_weight(m.bit_count() - 1, nf) if m >> i & 1 else -_weight(m.bit_count(), nf) for i in range(nf)]
+                for m in range(1 << nf)}
+    out = {0: [0.0] * nf}
+    for perm in range(n_perm):
+        mask = 0
+        for i in sorted(range(nf), key=lambda i: hashlib.md5(f"{seed}|{perm}|{features[i]}".encode()).hexdigest()):
+            out[mask][i] -= 1.0 / n_perm
+            mask |= 1 << i
+            out.setdefault(mask, [0.0] * nf)[i] += 1.0 / n_perm
+    return out
+
+
 def shapley(df: DataFrame, key: str, features: list[str], medians: dict[str, float], prob_fn,
             method: str = "exact", n_perm: int = 32, seed: int = 42) -> DataFrame:
-    """``(key, feature, contribution, base)`` for every row and feature.
+    """``(key, feature, contribution, base)`` for every row and feature; the key must be unique.
 
     ``prob_fn(hybrid_df) -> hybrid_df + prob`` scores a DataFrame holding the
     feature columns (and any other columns, which it must keep)."""
@@ -40,49 +59,19 @@ def shapley(df: DataFrame, key: str, features: list[str], medians: dict[str, flo
         raise ValueError("method must be 'exact' or 'sampled'")
     nf = len(features)
     bg = {f: float(medians.get(f) or 0.0) for f in features}
-    base_df = df.select(col(key), *[as_double(f).alias(f) for f in features])
-    if method == "exact":
-        masks = list(range(1 << nf))
-        coal = base_df.select(col(key), *[col(f) for f in features],
-                              F.explode(F.array(*[F.lit(m) for m in masks])).alias("_mask"))
-        kept = [((F.col("_mask").bitwiseAND(F.lit(1 << i))) != 0) for i in range(nf)]
-        hybrid = coal.select(col(key), "_mask", *[
-            F.when(kept[i], col(f)).otherwise(F.lit(bg[f])).alias(f) for i, f in enumerate(features)])
-        scored = prob_fn(hybrid).select(col(key), "_mask", "prob")
-        size = F.lit(0)
-        for i in range(nf):
-            size = size + F.when(kept[i], 1).otherwise(0)
-        # coefficient per (coalition, feature): bounded table of 2^F x F literals
-        coef_in = F.array(*[F.lit(_weight(s - 1, nf) if s >= 1 else 0.0) for s in range(nf + 1)])
-        coef_out = F.array(*[F.lit(-_weight(s, nf) if s < nf else 0.0) for s in range(nf + 1)])
-        terms = scored.withColumn("_size", size).select(col(key), "_mask", "prob", "_size", F.explode(F.array(*[
-            F.struct(F.lit(f).alias("feature"), F.lit(i).alias("i")) for i, f in enumerate(features)])).alias("_t"))
-        inside = F.col("_mask").bitwiseAND(F.expr("shiftleft(1, _t.i)")) != 0
-        c = F.when(inside, F.element_at(coef_in, F.col("_size") + 1)).otherwise(F.element_at(coef_out, F.col("_size") + 1))
-        contrib = terms.groupBy(col(key), F.col("_t.feature").alias("feature")).agg(
-            F.sum(c * F.col("prob")).alias("contribution"))
-        base_val = scored.where(F.col("_mask") == 0).select(col(key), F.col("prob").alias("base"))
-        return contrib.join(base_val, on=key, how="inner")
-    # sampled permutations: order of features = sort by md5 fraction of (row, perm, feature)
-    perms = base_df.select(col(key), *[col(f) for f in features],
-                           F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_perm"))
-    pos = [unit_hash(col(key), seed, F.concat_ws("|", F.col("_perm").cast("string"), F.lit(f))) for f in features]
-    ordered = perms.withColumn("_order", F.array_sort(F.array(*[
-        F.struct(p.alias("u"), F.lit(i).alias("i")) for i, p in enumerate(pos)])))
-    steps = ordered.select(col(key), "_perm", *[col(f) for f in features], "_order",
-                           F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("_j"))
-    rank_of = [F.array_position(F.transform(F.col("_order"), lambda s: s["i"]), F.lit(i)) for i in range(nf)]
-    hybrid = steps.select(col(key), "_perm", "_j", "_order", *[
-        F.when(rank_of[i] <= F.col("_j"), col(f)).otherwise(F.lit(bg[f])).alias(f) for i, f in enumerate(features)])
-    scored = prob_fn(hybrid).select(col(key), "_perm", "_j", "_order", "prob")
-    from pyspark.sql import Window
-    w = Window.partitionBy(col(key), "_perm").orderBy("_j")
-    deltas = scored.withColumn("_d", F.col("prob") - F.lag("prob").over(w)).where(F.col("_j") > 0)
-    feat_names = F.array(*[F.lit(f) for f in features])
-    deltas = deltas.withColumn("feature", F.element_at(feat_names, F.element_at(F.col("_order"), F.col("_j"))["i"] + 1))
-    contrib = deltas.groupBy(col(key), "feature").agg((F.sum("_d") / F.lit(float(n_perm))).alias("contribution"))
-    base_val = scored.where(F.col("_j") == 0).groupBy(col(key)).agg(F.first("prob").alias("base"))
-    return contrib.join(base_val, on=key, how="inner")
+    weights = coalition_weights(features, method, n_perm, seed)
+    coalitions = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.array(*map(F.lit, w)).alias("w"))
+                           for m, w in sorted(weights.items())])
+    rows = df.select(col(key), *[as_double(f).alias(f) for f in features], F.explode(coalitions).alias("_c"))
+    hybrid = rows.select(col(key), F.col("_c.mask").alias("_mask"), F.col("_c.w").alias("_w"), *[
+        F.when(F.col("_c.mask").bitwiseAND(F.lit(1 << i)) != 0, col(f)).otherwise(F.lit(bg[f])).alias(f)
+        for i, f in enumerate(features)])
+    summed = prob_fn(hybrid).groupBy(col(key)).agg(
+        F.max(F.when(F.col("_mask") == 0, F.col("prob"))).alias("base"),
+        *[F.sum(F.col("_w")[i] * F.col("prob")).alias(f"_phi{i}") for i in range(nf)])
+    return summed.select(col(key), "base", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"_phi{i}").alias("contribution")) for i, f in enumerate(features)
+    ])).alias("_r")).select(col(key), "_r.feature", "_r.contribution", "base")
 
 
 def linear_prob_fn(features: list[str], scaler: dict, linear: dict):

@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from vitalis.functions.columns import as_double, col, q
 from vitalis.functions.ranking import hash_rank
 from vitalis.functions.rng import unit_hash
+from vitalis.operators.many_models import MOST_MODELS, as_table, curve_rows, fit_many, judge_many, mask_of
+from vitalis.session import materialised
 
 MODEL_TYPES = ["logreg", "forest", "boost", "svm", "knn"]
 
@@ -264,6 +266,24 @@ def random_search(model_type: str, train: DataFrame, features: list[str], label:
             data.unpersist()
         return model, cands[best], list(zip(cands, scores))
 
+    if model_type == "logreg":  # every fold and candidate advances in the same passes
+        pairs = [(float(c["C"]), f) for c in cands for f in range(folds)]
+        table = materialised(as_table(data, features, "label", mask_of([F.col("fold") != f for f in range(folds)]),
+                                      mask_of([F.col("fold") == f for f in range(folds)])), "search")
+        xs = [f"x{i}" for i in range(len(features))]
+
+        def spread(bits):
+            """The bit of each fold for every candidate."""
+            return mask_of([F.col(bits).bitwiseAND(F.lit(1 << f)) != 0 for _, f in part])
+
+        vals = []
+        for a in range(0, len(pairs), MOST_MODELS):
+            part = pairs[a:a + MOST_MODELS]
+            fitted = fit_many(table.select(spread("mask").alias("mask"), "y", *xs), len(xs), [c for c, _ in part])
+            vals += [tp / p if p else 0.0 for _, _, p, tp in
+                     judge_many(table.select(spread("test").alias("mask"), "y", *xs), len(xs), fitted)]
+        return refit([float(np.mean(vals[k * folds:(k + 1) * folds])) for k in range(len(cands))])
+
     if model_type != "knn" and not (model_type == "svm"):
         base = build_pipeline(model_type, features, cands[0], n, data, seed)
         clf = base.getStages()[-1]
@@ -271,9 +291,7 @@ def random_search(model_type: str, train: DataFrame, features: list[str], label:
         for c in cands:
             m = {}
             for name, val in c.items():
-                if model_type == "logreg" and name == "C":
-                    m[clf.regParam] = 1.0 / (float(val) * n)
-                elif model_type == "forest":
+                if model_type == "forest":
                     if name == "trees":
                         m[clf.numTrees] = int(val)
                     elif name == "depth":
@@ -309,12 +327,17 @@ def learning_curve(model_type: str, df: DataFrame, features: list[str], label: s
                    params: dict | None = None, cv: int = 5, sizes: int = 5, seed: int = 42,
                    parallelism: int = 4) -> DataFrame:
     """accuracy on growing training subsets (10 %..100 % of each training
-    fold, nested md5-ordered prefixes), mean and population std over folds."""
+    fold, nested md5-ordered prefixes), mean and population std over folds.
+    All fits of a logistic curve advance in the same passes (``operators.many_models``)."""
     from vitalis.operators.prep import stratified_folds
 
     data = stratified_folds(_prepare(df, features, label).withColumn(key, col(key)), key, "label", cv, seed)
-    data = data.withColumn("_lu", unit_hash(col(key), seed, "curve")).cache()
+    data = data.withColumn("_lu", unit_hash(col(key), seed, "curve"))
     fracs = [0.1 + i * (0.9 / (sizes - 1)) for i in range(sizes)] if sizes > 1 else [1.0]
+    if model_type == "logreg":
+        c = float((params or {}).get("C", 1.0))
+        return _curve(df.sparkSession, curve_rows(data, features, "label", key, "fold", "_lu", cv, fracs, c))
+    data = data.cache()
 
     def acc(scored: DataFrame) -> float:
         r = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
@@ -336,7 +359,11 @@ def learning_curve(model_type: str, df: DataFrame, features: list[str], label: s
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         rows = [r for part in pool.map(run, range(cv)) for r in part]
     data.unpersist()
-    spark = df.sparkSession
+    return _curve(df.sparkSession, rows)
+
+
+def _curve(spark, rows) -> DataFrame:
+    """Means and deviations over the folds."""
     res = spark.createDataFrame(rows, "fold int, frac double, n_train long, train_acc double, val_acc double")
     return res.groupBy("frac").agg(F.avg("n_train").alias("n_train"), F.avg("train_acc").alias("train_mean"),
                                    F.stddev_pop("train_acc").alias("train_std"), F.avg("val_acc").alias("val_mean"),

@@ -20,6 +20,7 @@ from vitalis.operators import models as ML
 from vitalis.operators import prep as P
 from vitalis.operators import registry as G
 from vitalis.operators import score as S
+from vitalis.operators.tree_shapley import forest_shapley
 from vitalis.plans.catalog import register, rounded, with_ctes
 from vitalis.plans.fixtures import (
     DIRTY_EVENTS_SQL, DOC_FEATURES, SCORED_SQL, dirty_events, doc_features, doc_labels, scored_events,
@@ -306,7 +307,25 @@ def q_compare(spark, sf):
     return rounded(S.compare_to_typical(scored, "event_id", pkg.importance, pkg.medians))
 
 
-@register("shapley_exact")
+def _shapley_sql(method: str) -> str:
+    """Every coalition as a hybrid row, weighted and added up."""
+    weights = X.coalition_weights(SCORE_FEATURES, method)
+    table = ", ".join(f"({m}, [{', '.join(repr(x) for x in w)}])" for m, w in sorted(weights.items()))
+    hybrid = ", ".join(f"CASE WHEN mask & {1 << i} <> 0 THEN f.{f} ELSE coalesce((SELECT m_{f} FROM med), 0.0) END AS {f}"
+                       for i, f in enumerate(SCORE_FEATURES))
+    parts = "\n  UNION ALL ".join(
+        f"SELECT event_id, '{f}' AS feature, sum(w[{i + 1}] * prob) AS contribution, max(CASE WHEN mask = 0 THEN prob END) AS base "
+        f"FROM h GROUP BY event_id" for i, f in enumerate(SCORE_FEATURES))
+    return _SCORE_SQL + f"""
+, coalition(mask, w) AS (VALUES {table}),
+hyb AS (SELECT event_id, mask, w, {hybrid} FROM out f CROSS JOIN coalition),
+h AS (SELECT f.event_id, mask, w, 1.0 / (1.0 + exp(-({_Z}))) AS prob FROM hyb f CROSS JOIN scl s)
+SELECT event_id, feature, round(contribution, 6) + 0.0 AS contribution, round(base, 6) AS base FROM (
+  {parts}
+)"""
+
+
+@register("shapley_exact", _shapley_sql("exact"))
 def q_shapley(spark, sf):
     pkg = scoring_package(spark, sf)
     scored = S.score(dirty_events(spark, sf), pkg, "event_id")
@@ -314,7 +333,7 @@ def q_shapley(spark, sf):
     return rounded(X.shapley(scored, "event_id", SCORE_FEATURES, pkg.medians, fn))
 
 
-@register("shapley_sampled")
+@register("shapley_sampled", _shapley_sql("sampled"))
 def q_shapley_sampled(spark, sf):
     pkg = scoring_package(spark, sf)
     scored = S.score(dirty_events(spark, sf), pkg, "event_id")
@@ -322,6 +341,13 @@ def q_shapley_sampled(spark, sf):
     return rounded(X.shapley(scored, "event_id", SCORE_FEATURES, pkg.medians, fn, method="sampled"))
 
 
+@register("shapley_forest")
+def q_shapley_forest(spark, sf):
+    """A forest fitted on the labelled documents; every document explained by its trees."""
+    forest = ML.fit("forest", doc_labels(spark, sf), DOC_FEATURES, "toxic")
+    return rounded(forest_shapley(doc_features(spark, sf), "doc_id", DOC_FEATURES, forest))
+
+
 # ============================ packages (I4 / G7) ===================================
 @register("package_roundtrip")
 def q_package(spark, sf):

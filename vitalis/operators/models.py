@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from vitalis.functions.columns import as_double, col, q
 from vitalis.functions.ranking import hash_rank
-from vitalis.functions.rng import unit_hash
+from vitalis.functions.rng import permuted_rank, unit_hash
 from vitalis.operators.many_models import MOST_MODELS, as_table, curve_rows, fit_many, judge_many, mask_of
 from vitalis.session import materialised
 
@@ -376,33 +376,44 @@ def permutation_importance(model, test: DataFrame, features: list[str], label: s
     """F8: mean accuracy drop when one feature's values are shuffled among the
     test rows, ``repeats`` shuffles per feature, sorted descending.
 
-    One plan for all (feature, repeat) pairs: the test rows are exploded to
-    (feature, repeat) groups; row i takes the feature value of the row whose
-    base rank equals i's rank under the (feature, repeat) hash — an exact
-    permutation built from two bucketed rank passes and an equi-join. A single
-    ``transform`` scores every permuted copy; accuracy per group is one
-    aggregate. No per-feature loop of jobs."""
-    data = _prepare(test, features, label).withColumn(key, col(key))
-    base_scored = predict(model, data, features, key)
-    base_acc = base_scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] or 0.0
-    ranked = hash_rank(data.withColumn("_bu", unit_hash(col(key), seed, "perm-base")), [], "_bu", "_pos", tie=key).drop("_bu")
-    groups = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                       for f in features for r in range(repeats)])
-    exploded = ranked.select("*", F.explode(groups).alias("_g")).select("*", "_g.feature", "_g.rep").drop("_g")
-    exploded = exploded.withColumn("_pu", unit_hash(col(key), seed, F.concat_ws("|", F.col("feature"), F.col("rep").cast("string"))))
-    target = hash_rank(exploded, ["feature", "rep"], "_pu", "_tpos", tie=key).drop("_pu")
-    donor_val = F.lit(None).cast("double")
-    for f in features:
-        donor_val = F.when(F.col("feature") == f, col(f)).otherwise(donor_val)
-    donors = exploded.select("feature", "rep", F.col("_pos").alias("_tpos"), donor_val.alias("_dv"))
-    perm = target.join(donors, on=["feature", "rep", "_tpos"], how="inner")
-    permuted = perm.select(key, "label", "feature", "rep",
-                           *[F.when(F.col("feature") == f, F.col("_dv")).otherwise(col(f)).alias(f) for f in features])
-    scored = predict(model, permuted, features, key) if not isinstance(model, KnnModel) else \
-        _knn_group_predict(model, permuted, features, key)
-    acc = scored.groupBy("feature", "rep").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("acc"))
-    return (acc.groupBy("feature").agg((F.lit(base_acc) - F.avg("acc")).alias("importance"),
-                                       F.stddev_pop("acc").alias("std"))
+    ``model``: a fitted model, or a function that adds ``prediction`` to a table with the
+    features (and keeps its other columns). The rows are ranked once, by a hash of the key.
+    A repeat's shuffle is a keyed bijection of the ranks, so a row's donor is arithmetic, and
+    one lookup by rank brings the donor's values of all features. A row then expands to one copy
+    for each feature with that one value replaced (and one unchanged copy in all); one
+    ``transform`` scores the copies, one aggregate counts what is right."""
+    data = _prepare(test, features, label).select(col(key).alias("_id"), *map(col, features), "label")
+    ranked = materialised(hash_rank(data.withColumn("_bu", unit_hash(F.col("_id"), seed, "perm-base")), [], "_bu", "_pos",
+                                    tie="_id").drop("_bu").withColumn("_pos", F.col("_pos") - 1), "ranked")
+    n = ranked.count()
+    out = "feature string, importance double, std double"
+    if not n:
+        return test.sparkSession.createDataFrame([], out)
+    width = len(features)
+    shuffles = F.array(*[F.struct(F.lit(r).alias("rep"), permuted_rank(F.col("_pos"), n, seed, f"perm-{r}").alias("donor"))
+                         for r in range(repeats)])
+    rows = ranked.select("_id", "label", *[col(f).alias(f"_x{i}") for i, f in enumerate(features)], F.explode(shuffles).alias("_s"))
+    donors = ranked.select(F.col("_pos").alias("_at"), *[col(f).alias(f"_d{i}") for i, f in enumerate(features)])
+    both = rows.join(donors, F.col("_s.donor") == F.col("_at"))
+
+    def copy(changed: int):
+        return F.struct(F.lit(changed).alias("_f"), *[F.col(f"_d{i}" if i == changed else f"_x{i}").alias(f"_v{i}") for i in range(width)])
+
+    copies = F.array(*[copy(j) for j in range(width)])
+    copies = F.when(F.col("_s.rep") == 0, F.concat(copies, F.array(copy(-1)))).otherwise(copies)
+    permuted = both.select("_id", "label", F.col("_s.rep").alias("_rep"), F.explode(copies).alias("_c")).select(
+        "_id", "label", "_rep", "_c._f", *[F.col(f"_c._v{i}").alias(f) for i, f in enumerate(features)])
+    if isinstance(model, KnnModel):
+        scored = _knn_group_predict(model, permuted.withColumnsRenamed({"_f": "feature", "_rep": "rep"}), features, "_id") \
+            .withColumnsRenamed({"feature": "_f", "rep": "_rep"})
+    else:
+        scored = model(permuted) if callable(model) else predict(model, permuted, features, "_id")
+    right = materialised(scored.groupBy("_f", "_rep").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("acc")),
+                         "accuracies")  # a number for each feature and repeat
+    base = right.where("_f = -1").select(F.col("acc").alias("base"))
+    names = F.element_at(F.array(*map(F.lit, features)), F.col("_f") + 1)
+    return (right.where("_f >= 0").crossJoin(base).groupBy(names.alias("feature"))
+            .agg(F.avg(F.col("base") - F.col("acc")).alias("importance"), F.stddev_pop("acc").alias("std"))
             .orderBy(F.desc("importance"), "feature"))
 
 

@@ -6,11 +6,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitalis.functions.rng import PRIME, round_keys
 from vitalis.operators import evaluate as V
 from vitalis.operators import models as ML
 from vitalis.operators import prep as P
 from vitalis.plans.catalog import register, rounded, with_ctes
-from vitalis.plans.fixtures import DOC_FEATURES, DOC_LABELS_SQL, ORDER_FEATURES, doc_labels, order_lines
+from vitalis.plans.fixtures import (
+    DOC_FEATURES, DOC_LABELS_SQL, ORDER_FEATURES, ORDER_LINES_SQL, doc_labels, order_lines,
+)
 from vitalis.plans.queries_prep import u_sql
 
 
@@ -113,6 +116,69 @@ def q_perm(spark, sf):
     return rounded(ML.permutation_importance(m, test, ORDER_FEATURES, "returned", "rid", repeats=5, seed=42))
 
 
+# a fixed linear rule as the model: everything but the fit has its SQL
+RULE = {"quantity": 0.02, "price": -0.00001, "discount": 9.0, "tax": -4.0, "total": 0.000002}
+RULE_AT = 0.65
+
+
+def _rule(df):
+    z = F.lit(0.0)
+    for f, w in RULE.items():
+        z = z + F.col(f) * F.lit(w)
+    return df.withColumn("prediction", F.when(z > RULE_AT, 1.0).otherwise(0.0))
+
+
+def _walk_sql(n: str, reps: int) -> str:
+    """Recursive SQL for the keyed bijections of the ranks 0 ... n-1, repeat by repeat."""
+    keys = ", ".join(f"({r}, {', '.join(f'{m}::BIGINT, {c}::BIGINT' for m, c in round_keys(42, f'perm-{r}'))})" for r in range(reps))
+    names = ", ".join(f"m{k}, c{k}" for k in range(4))
+
+    def hashed(v, k):
+        return f"((({v} * m{k} + c{k}) % {PRIME}) * (({v} * m{k} + c{k}) % {PRIME}) % {PRIME})"
+
+    state, steps = "x // b AS l0, x % b AS r0", ""
+    source = "todo"
+    for k in range(4):
+        left = f"(l{k} + {hashed(f'r{k}', k)}) % a" if k % 2 == 0 else f"l{k}"
+        right = f"r{k}" if k % 2 == 0 else f"(r{k} + {hashed(f'l{k}', k)}) % b"
+        steps += f", s{k + 1} AS (SELECT *, {left} AS l{k + 1}, {right} AS r{k + 1} FROM {'s0' if k == 0 else f's{k}'})"
+    return f"""keys(rep, {names}) AS (VALUES {keys}),
+sizes AS (SELECT {n} AS n, CAST(floor(sqrt({n} - 1)) AS BIGINT) + 1 AS a),
+dims AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM sizes),
+walk(rep, pos, x, step) AS (
+  SELECT rep, pos, pos, 0 FROM keys CROSS JOIN ranked
+  UNION ALL
+  SELECT rep, pos, x4, step + 1 FROM (
+    WITH s0 AS (SELECT w.rep, w.pos, w.step, {state}, a, b, n, {names} FROM walk w JOIN keys k ON k.rep = w.rep CROSS JOIN dims
+                WHERE w.step = 0 OR w.x >= n){steps}
+    SELECT rep, pos, step, l4 * b + r4 AS x4 FROM s4
+  )
+),
+donor AS (SELECT rep, pos, x AS donor FROM walk CROSS JOIN dims WHERE step > 0 AND x < n)"""
+
+
+def _rule_sql(values: dict[str, str]) -> str:
+    return f"CASE WHEN 0.0 + {' + '.join(f'{values[f]} * CAST({w} AS DOUBLE)' for f, w in RULE.items())} > {RULE_AT} THEN 1 ELSE 0 END"
+
+
+_OWN = {f: f"o.{f}" for f in RULE}
+_PERMUTED = "\n  UNION ALL ".join(
+    f"SELECT '{g}' AS feature, rep, avg(CASE WHEN o.returned = {_rule_sql(_OWN | {g: f'd.{g}'})} THEN 1.0 ELSE 0.0 END) AS acc "
+    f"FROM donor JOIN ranked o ON o.pos = donor.pos JOIN ranked d ON d.pos = donor.donor GROUP BY rep" for g in RULE)
+
+
+@register("permutation_importance_rule", with_ctes(ORDER_LINES_SQL).replace("WITH", "WITH RECURSIVE", 1) + f"""
+, ranked AS (SELECT *, row_number() OVER (ORDER BY {u_sql('rid', "'perm-base'")}, rid) - 1 AS pos FROM ol),
+{_walk_sql('(SELECT count(*) FROM ranked)', 5)},
+acc AS (
+  {_PERMUTED}
+),
+base AS (SELECT avg(CASE WHEN o.returned = {_rule_sql(_OWN)} THEN 1.0 ELSE 0.0 END) AS base FROM ranked o)
+SELECT feature, round(avg(base - acc), 6) + 0.0 AS importance, round(stddev_pop(acc), 6) AS std FROM acc CROSS JOIN base GROUP BY feature""")
+def q_perm_rule(spark, sf):
+    return rounded(ML.permutation_importance(_rule, order_lines(spark, sf), ORDER_FEATURES, "returned", "rid", repeats=5, seed=42))
+
+
 @register("intrinsic_importance")
 def q_intrinsic(spark, sf):
     train, _ = _order_split(spark, sf)

@@ -11,6 +11,7 @@ from vitalis.operators import clean as C
 from vitalis.operators import missing as M
 from vitalis.plans.catalog import register, rounded, with_ctes
 from vitalis.plans.fixtures import DIRTY_EVENTS_SQL, dirty_events
+from vitalis.plans.queries_clean import COERCED_SQL, FILLED_SQL
 from vitalis.plans.queries_score import _SCORE_SQL, SCORE_FEATURES, scoring_package
 from vitalis.session import checkpoint_dir
 from vitalis.sources.tables import read_table, read_testdata, require_columns, write_clean_csv
@@ -36,7 +37,13 @@ def q_csv_source(spark, sf):
 
 
 # --- I2: clean CSV sink (gate: no missing cell) ------------------------------------------
-@register("clean_csv_sink")
+@register("clean_csv_sink", with_ctes(DIRTY_EVENTS_SQL, COERCED_SQL, FILLED_SQL) + """
+, med AS (SELECT quantile_cont(raw_value, 0.5) AS m_raw, quantile_cont(num_a, 0.5) AS m_a, quantile_cont(num_b, 0.5) AS m_b FROM cleaned)
+SELECT CAST(event_id AS DOUBLE) AS event_id, round(coalesce(raw_value, m_raw), 6) AS raw_value,
+       CAST(sparse_code AS DOUBLE) AS sparse_code, CAST(category AS DOUBLE) AS category, round(coalesce(num_a, m_a), 6) AS num_a, round(coalesce(num_b, m_b), 6) AS num_b,
+       round("Systolic BP", 6) AS "Systolic BP", round("DBP", 6) AS "DBP",
+       CAST("AGE" AS DOUBLE) AS "AGE", CAST(outcome AS DOUBLE) AS outcome, round("Pulse_Pressure", 6) AS "Pulse_Pressure"
+FROM cleaned CROSS JOIN med""")
 def q_csv_sink(spark, sf):
     cleaned, _ = C.clean(dirty_events(spark, sf))
     cleaned = cleaned.cache()
@@ -44,7 +51,7 @@ def q_csv_sink(spark, sf):
     complete = M.fill_medians(cleaned, ["raw_value", "num_a", "num_b"], med)
     path = _scratch(spark, "clean-csv")
     write_clean_csv(complete, path)
-    return read_table(spark, path, fmt="csv")
+    return rounded(C.coerce_numeric(read_table(spark, path, fmt="csv")))  # all text
 
 
 # --- I5 ------------------------------------------------------------------------------------

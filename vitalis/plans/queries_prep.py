@@ -73,15 +73,32 @@ def _d2_sql(a: str, b: str, feats: list[str]) -> str:
 
 
 _F = ", ".join(DOC_FEATURES)
-SMOTE_SQL = with_ctes(DOC_LABELS_SQL) + f"""
-, mi AS (SELECT CAST(doc_id AS VARCHAR) AS k, {_F} FROM dl WHERE toxic = 1),
-cnt AS (SELECT count_if(toxic = 1) AS n_mi, count_if(toxic = 0) AS n_ma FROM dl),
-qr AS (SELECT mi.*, row_number() OVER (ORDER BY {u_sql('k', "'quota'")}) AS r FROM mi),
+_COUNTS = "cnt AS (SELECT count_if(toxic = 1) AS n_mi, count_if(toxic = 0) AS n_ma FROM dl)"
+_MINORITY = f"mi AS (SELECT CAST(doc_id AS VARCHAR) AS k, {_F} FROM dl WHERE toxic = 1)"
+_BASE = f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {', '.join(f'round({f}, 6) AS {f}' for f in DOC_FEATURES)}, toxic FROM dl"
+
+
+def _by_rank(table: str) -> str:
+    """The new rows spread over the seeds of a table: as many each, one more for the smallest fractions."""
+    return f"""qr AS (SELECT s.*, row_number() OVER (ORDER BY {u_sql('k', "'quota'")}) AS r, count(*) OVER () AS n FROM {table} s),
 seeds AS (
-  SELECT qr.*, CAST((n_ma - n_mi) // n_mi + CASE WHEN r <= (n_ma - n_mi) % n_mi THEN 1 ELSE 0 END AS INTEGER) AS quota
+  SELECT qr.*, CAST((n_ma - n_mi) // n + CASE WHEN r <= (n_ma - n_mi) % n THEN 1 ELSE 0 END AS INTEGER) AS quota
   FROM qr CROSS JOIN cnt
-),
-nn AS (
+)"""
+
+
+def _nearest_sql(k: int) -> str:
+    """The k nearest rows of the whole table to each minority row, with their class."""
+    return f"""near AS (
+  SELECT a.k AS ak, b.toxic AS bt,
+         row_number() OVER (PARTITION BY a.k ORDER BY {_d2_sql('a', 'b', DOC_FEATURES)}, b.k) AS rank
+  FROM mi a JOIN (SELECT CAST(doc_id AS VARCHAR) AS k, {_F}, toxic FROM dl) b ON a.k <> b.k
+  QUALIFY rank <= {k}
+)"""
+
+
+# new rows from ``seeds`` (k, features, quota): copies, each between its seed and one of five minority neighbours
+_SAMPLES = f"""nn AS (
   SELECT a.k AS ak, b.k AS bk, {', '.join(f'b.{f} AS b_{f}' for f in DOC_FEATURES)},
          row_number() OVER (PARTITION BY a.k ORDER BY {_d2_sql('a', 'b', DOC_FEATURES)}, b.k) AS rank
   FROM mi a JOIN mi b ON a.k <> b.k
@@ -94,11 +111,29 @@ picked AS (
          CAST(floor({u_sql('c.k', "'nb|' || CAST(c.cp AS VARCHAR)")} * na.na) + 1 AS BIGINT) AS rank,
          {u_sql('c.k', "'gap|' || CAST(c.cp AS VARCHAR)")} AS gap
   FROM copies c JOIN na ON na.ak = c.k
-)
-SELECT p.k || '#' || CAST(p.cp AS VARCHAR) AS doc_id,
-       {', '.join(f'round(p.{f} + p.gap * (nn.b_{f} - p.{f}), 6) AS {f}' for f in DOC_FEATURES)},
-       1 AS toxic
-FROM picked p JOIN nn ON nn.ak = p.k AND nn.rank = p.rank"""
+),
+made AS (
+  SELECT p.k || '#' || CAST(p.cp AS VARCHAR) AS doc_id,
+         {', '.join(f'round(p.{f} + p.gap * (nn.b_{f} - p.{f}), 6) AS {f}' for f in DOC_FEATURES)},
+         1 AS toxic
+  FROM picked p JOIN nn ON nn.ak = p.k AND nn.rank = p.rank
+)"""
+_SMOTE = ",\n".join([_MINORITY, _COUNTS, _by_rank("mi"), _SAMPLES])
+SMOTE_SQL = with_ctes(DOC_LABELS_SQL, _SMOTE) + "\nSELECT * FROM made"
+SMOTE_FULL_SQL = with_ctes(DOC_LABELS_SQL, _SMOTE) + f"\n{_BASE} UNION ALL SELECT * FROM made"
+_DANGER = """danger AS (
+  SELECT mi.* FROM mi JOIN (SELECT ak FROM near GROUP BY ak HAVING count_if(bt <> 1) * 2 >= 10 AND count_if(bt <> 1) < 10) d
+    ON d.ak = mi.k
+)"""
+BORDERLINE_SQL = with_ctes(DOC_LABELS_SQL, _MINORITY, _COUNTS, _nearest_sql(10), _DANGER, _by_rank("danger"), _SAMPLES) + \
+    f"\n{_BASE} UNION ALL SELECT * FROM made"
+ADASYN_SQL = with_ctes(DOC_LABELS_SQL, _MINORITY, _COUNTS, _nearest_sql(5), """ratio AS (
+  SELECT ak, count_if(bt <> 1) / 5.0::DOUBLE AS r FROM near GROUP BY ak
+),
+seeds AS (
+  SELECT mi.*, CAST(round_even(r / (SELECT sum(r) FROM ratio) * CAST(n_ma - n_mi AS DOUBLE), 0) AS INTEGER) AS quota
+  FROM mi JOIN ratio ON ratio.ak = mi.k CROSS JOIN cnt
+)""", _SAMPLES) + f"\n{_BASE} UNION ALL SELECT * FROM made"
 
 
 @register("smote_samples", SMOTE_SQL)
@@ -106,17 +141,17 @@ def q_smote(spark, sf):
     return rounded(R.smote_samples(doc_labels(spark, sf), "doc_id", DOC_FEATURES, "toxic", k=5, seed=42))
 
 
-@register("smote")
+@register("smote", SMOTE_FULL_SQL)
 def q_smote_full(spark, sf):
     return rounded(R.smote(doc_labels(spark, sf), "doc_id", DOC_FEATURES, "toxic", k=5, seed=42))
 
 
-@register("adasyn")
+@register("adasyn", ADASYN_SQL)
 def q_adasyn(spark, sf):
     return rounded(R.adasyn(doc_labels(spark, sf), "doc_id", DOC_FEATURES, "toxic", k=5, seed=42))
 
 
-@register("borderline_smote")
+@register("borderline_smote", BORDERLINE_SQL)
 def q_borderline(spark, sf):
     return rounded(R.borderline_smote(doc_labels(spark, sf), "doc_id", DOC_FEATURES, "toxic", k=5, m=10, seed=42))
 
@@ -137,12 +172,31 @@ def q_danger(spark, sf):
     return R.danger_set(doc_labels(spark, sf), "doc_id", DOC_FEATURES, "toxic", m=10).select("doc_id")
 
 
-@register("rebalance_fallback")
+@register("rebalance_fallback", BORDERLINE_SQL)
 def q_rebalance(spark, sf):
     # Borderline-SMOTE with SMOTE fallback when the danger set is empty
     return rounded(R.rebalance(doc_labels(spark, sf), "borderline", "doc_id", DOC_FEATURES, "toxic", seed=42))
 
 
+# the classes far apart: no minority row has a majority neighbour, so both samplers give way to SMOTE
+_APART = "dl AS (SELECT * REPLACE (n_chars + 10000000.0 * toxic AS n_chars) FROM near_dl)"
+_APART_SQL = with_ctes(DOC_LABELS_SQL.replace("dl AS", "near_dl AS", 1), _APART, _SMOTE) + f"\n{_BASE} UNION ALL SELECT * FROM made"
+
+
+def _apart(spark, sf):
+    return doc_labels(spark, sf).withColumn("n_chars", F.col("n_chars") + 10000000.0 * F.col("toxic"))
+
+
+@register("rebalance_empty_danger", _APART_SQL)
+def q_rebalance_empty(spark, sf):
+    return rounded(R.rebalance(_apart(spark, sf), "borderline", "doc_id", DOC_FEATURES, "toxic", seed=42))
+
+
+@register("rebalance_adasyn_apart", _APART_SQL)
+def q_rebalance_adasyn(spark, sf):
+    return rounded(R.rebalance(_apart(spark, sf), "adasyn", "doc_id", DOC_FEATURES, "toxic", seed=42))
+
+
 # --- M2 ----------------------------------------------------------------------
 _IMP_COLS = ["raw_value", "num_a", "num_b", "Systolic BP", "DBP", "AGE", "outcome"]
 _X = [f"x{i}" for i in range(len(_IMP_COLS))]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vitalis.functions.columns import col
 from vitalis.llm.layout import measured, shuffle_partitions, written
-from vitalis.llm.textkit import mix, small_batches
+from vitalis.llm.textkit import mix, release, small_batches
 from vitalis.llm.tokenids import IdEncoder, ID_TYPE
 from vitalis.llm.tokens import vocabulary_path
 
@@ -41,6 +41,7 @@ IDS = "doc_id long, key long, n long, ids binary"
 
 def _encode(path):
     def run(batches):
+        release("bpe", "ids", "unicode", "powers", "bytes", "lower", "solid")
         encoder = IdEncoder(path)
         for batch in small_batches(batches, 1):
             doc_ids = batch.column(0).cast(pa.int64())
@@ -171,6 +172,7 @@ def _pack(idf, window):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
+        release()  # the shards need the room of the encoder's tables
         base, sequences = TaskContext.get().partitionId() << 40, 0
 
         def shard_out(doc_ids, docs):

@@ -11,6 +11,7 @@ the Python worker from task to task.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -28,6 +29,23 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_vitalis_llm_cache", types.ModuleType("_vitalis_llm_cache")).__dict__
 
 
+def release(*kept: str) -> None:
+    """Forget what other operators left in this worker and give freed memory back to the system.
+
+    Entries whose name (of a pair: its first part) is in ``kept`` stay. Everything
+    in the cache is made again when it is asked for.
+    """
+    cache = worker_cache()
+    for name in list(cache):
+        if (name[0] if isinstance(name, tuple) else name) not in kept and not str(name).startswith("__"):
+            del cache[name]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -245,13 +245,42 @@ def recall_of_class1(scored: DataFrame) -> float:
     return (r["tp"] / r["p"]) if r["p"] else 0.0
 
 
+def knn_search_scores(data: DataFrame, features: list[str], key: str, cands: list[dict], folds: int) -> list[float]:
+    """Mean class-1 recall of every k and weighting over the folds of ``data`` (with ``fold`` and ``label``).
+
+    One neighbour list per fold, as long as the largest k: a smaller k is a prefix of
+    it, so all candidates' votes are sums over the list's first ranks, in one aggregate."""
+    from vitalis.operators.neighbours import knn_join
+
+    longest = max(int(c.get("k", 5)) for c in cands)
+    rows = []
+    for f in range(folds):
+        test = data.where(F.col("fold") == f).select(col(key).alias("_q"), *map(col, features), F.col("label").alias("_truth"))
+        near = knn_join(test.select("_q", *map(col, features)), data.where(F.col("fold") != f), qkey="_q", pkey=key,
+                        features=features, k=longest, carry=["label"])
+        exact = F.col("d2") == 0
+        # a query with an exact match in reach counts its exact matches alone: rank 1 is one then
+        close = F.max(F.when(F.col("rank") == 1, exact.cast("int"))).over(_w_query()) == 1
+        near = near.withColumn("_w", F.when(close, exact.cast("double")).otherwise(1.0 / F.sqrt("d2")))
+        sums = []
+        for i, c in enumerate(cands):
+            w = F.when(F.col("rank") <= int(c.get("k", 5)), F.col("_w") if c.get("weights") == "distance" else F.lit(1.0))
+            sums += [F.sum(w * F.col("label")).alias(f"_a{i}"), F.sum(w).alias(f"_b{i}")]
+        votes = near.groupBy("query_key").agg(*sums)
+        judged = test.select("_q", "_truth").join(votes, F.col("_q") == F.col("query_key"), "left").where("_truth = 1")
+        rows.append(judged.agg(F.count(F.lit(1)).alias("p"), *[
+            F.count_if(F.col(f"_a{i}") / F.col(f"_b{i}") > 0.5).alias(f"tp{i}") for i in range(len(cands))]).first())
+    return [float(np.mean([r[f"tp{i}"] / r["p"] if r["p"] else 0.0 for r in rows])) for i in range(len(cands))]
+
+
 def random_search(model_type: str, train: DataFrame, features: list[str], label: str, key: str,
                   n_iter: int = 10, folds: int = 3, seed: int = 42, space: dict | None = None,
                   parallelism: int = 4):
     """random search scored by class-1 recall over stratified folds, then
     a refit of the best parameters on all rows. Returns (model, best_params,
     results list). Spark ML models go through ``CrossValidator`` with a fold
-    column; k-NN through the same fold loop on the grid join."""
+    column; logistic candidates share every pass (``operators.many_models``), k-NN
+    candidates one neighbour list per fold."""
     from vitalis.operators.prep import stratified_folds
 
     cands = sample_grid(space or SEARCH_SPACES[model_type], n_iter, seed)
@@ -309,6 +338,9 @@ def random_search(model_type: str, train: DataFrame, features: list[str], label:
         scores = list(cv.fit(data).avgMetrics)
         return refit(scores)
 
+    if model_type == "knn":
+        return refit(knn_search_scores(data, features, key, cands, folds))
+
     def score(c: dict) -> float:
         vals = []
         for f in range(folds):

@@ -95,12 +95,42 @@ def q_search(spark, sf):
     return spark.createDataFrame(rows, "params string, recall double, best boolean")
 
 
-@register("random_search_knn")
+_KNN_CANDS = ML.sample_grid(ML.SEARCH_SPACES["knn"], 10, 42)
+_KNN_ROWS = ", ".join(f"({i}, $${sorted(c.items())}$$, {c['k']}, '{c['weights']}')" for i, c in enumerate(_KNN_CANDS))
+SEARCH_KNN_SQL = with_ctes(DOC_LABELS_SQL) + f"""
+, folded AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY toxic ORDER BY {u_sql('CAST(doc_id AS VARCHAR)', "'fold'")}) - 1) % 3 AS INTEGER) AS fold
+  FROM dl
+),
+cand(i, params, k, weights) AS (VALUES {_KNN_ROWS}),
+near AS (
+  SELECT t.doc_id, t.fold, t.toxic AS truth, r.toxic AS vote, {_D2} AS d2,
+         row_number() OVER (PARTITION BY t.doc_id ORDER BY {_D2}, r.doc_id) AS rank
+  FROM folded t JOIN folded r ON t.fold <> r.fold
+  QUALIFY rank <= 19
+),
+weighted AS (
+  SELECT *, CASE WHEN min(d2) OVER (PARTITION BY doc_id) = 0 THEN CASE WHEN d2 = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 / sqrt(d2) END AS w
+  FROM near
+),
+voted AS (
+  SELECT i, fold, doc_id, truth, sum(CASE WHEN weights = 'distance' THEN w ELSE 1.0 END * vote) /
+         sum(CASE WHEN weights = 'distance' THEN w ELSE 1.0 END) AS prob
+  FROM weighted JOIN cand ON rank <= k GROUP BY ALL
+),
+recalls AS (
+  SELECT i, fold, count_if(truth = 1 AND prob > 0.5) / CAST(count_if(truth = 1) AS DOUBLE) AS r FROM voted GROUP BY ALL
+),
+scored AS (SELECT i, round(avg(r), 6) AS recall FROM recalls GROUP BY i)
+SELECT params, recall, row_number() OVER (ORDER BY recall DESC, cand.i) = 1 AS best FROM scored JOIN cand USING (i)"""
+
+
+@register("random_search_knn", SEARCH_KNN_SQL)
 def q_search_knn(spark, sf):
     dl = doc_labels(spark, sf)
     _, best, results = ML.random_search("knn", dl, DOC_FEATURES, "toxic", "doc_id", n_iter=10, folds=3)
     rows = [(str(sorted(c.items())), float(s), c == best) for c, s in results]
-    return spark.createDataFrame(rows, "params string, recall double, best boolean")
+    return rounded(spark.createDataFrame(rows, "params string, recall double, best boolean"))
 
 
 @register("learning_curve")

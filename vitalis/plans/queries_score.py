@@ -8,6 +8,7 @@ oracle); codebook, medians and scaler are fitted by Spark on the cleaned table.
 
 from __future__ import annotations
 
+import dataclasses
 import os
 import uuid
 
@@ -20,6 +21,7 @@ from vitalis.operators import models as ML
 from vitalis.operators import prep as P
 from vitalis.operators import registry as G
 from vitalis.operators import score as S
+from vitalis.operators import training as T
 from vitalis.operators.tree_shapley import forest_shapley
 from vitalis.plans.catalog import register, rounded, with_ctes
 from vitalis.plans.fixtures import (
@@ -28,7 +30,7 @@ from vitalis.plans.fixtures import (
 from vitalis.plans.queries_clean import COERCED_SQL, FILLED_SQL
 from vitalis.plans.queries_evaluate import AUC_BY_MODEL, COUNTS_BY_MODEL, rates_sql
 from vitalis.session import checkpoint_dir
-from vitalis.sources.packages import Package, load_package, save_package
+from vitalis.sources.packages import Package, active_info, load_package, promote, register_package, save_package
 
 # ============================ registry ===========================================
 HISTORY_SQL = f"""
@@ -363,3 +365,41 @@ def q_package(spark, sf):
     path = os.path.join(checkpoint_dir(spark), f"package-{uuid.uuid4().hex}")
     back = load_package(spark, save_package(pkg, path))
     return rounded(S.verdict(S.score(doc_features(spark, sf), back, "doc_id")).select("doc_id", "prob", "risk_pct", "verdict"))
+
+
+# two candidates that differ in the intercept; the better one of the run history is promoted last
+_CANDIDATES = {"click": 0.0, "view": 0.5}
+
+
+@register("promotion_lifecycle", with_ctes(DIRTY_EVENTS_SQL, COERCED_SQL, FILLED_SQL, SCORED_BATCH_SQL, SCORED_SQL, HISTORY_SQL) + f"""
+, best AS (
+  SELECT model FROM hist WHERE model IN ('click', 'view') ORDER BY coalesce(f2, 0.0) DESC, ts LIMIT 1
+)
+SELECT event_id, best.model AS package, 2 AS version,
+       round(1.0 / (1.0 + exp(-({_Z} + CASE WHEN best.model = 'view' THEN 0.5 ELSE 0.0 END))), 6) AS prob
+FROM out f CROSS JOIN scl s CROSS JOIN best""")
+def q_promotion(spark, sf):
+    """Register two packages, rank them, promote the worse and then the better one, score with what is active."""
+    folder = os.path.join(checkpoint_dir(spark), f"registry-{uuid.uuid4().hex}")
+    registry, table = os.path.join(folder, "registry"), dirty_events(spark, sf)
+    cleaned = C.clean(table)[0].cache()
+    base = scoring_package(spark, sf)
+    ranked = [r["model"] for r in G.leaderboard(_history(spark, sf).where(F.col("model").isin(list(_CANDIDATES)))).orderBy("rank").collect()]
+    for name in reversed(ranked):
+        linear = LINEAR | {"intercept": LINEAR["intercept"] + _CANDIDATES[name]}
+        pkg = dataclasses.replace(base, linear=linear)
+        register_package(spark, registry, pkg, name, os.path.join(folder, name))
+        promote(spark, registry, pkg, name, os.path.join(folder, name), cleaned)
+    active = active_info(spark, registry).first()
+    scored = S.score(table, load_package(spark, active["path"]), "event_id")
+    return rounded(scored.select("event_id", F.lit(active["package"]).alias("package"),
+                                 F.lit(active["version"]).cast("int").alias("version"), "prob"))
+
+
+@register("training_run")
+def q_training_run(spark, sf):
+    """Split, SMOTE, scale, search, evaluate and keep a logistic model on the labelled documents."""
+    run = T.train_run(doc_labels(spark, sf), T.RunConfig("logreg", DOC_FEATURES, "toxic", "doc_id", name="logistic", sampler="smote",
+                                                          candidates=5))
+    counts = [F.lit(n).cast("long").alias(f"n_{k}") for k, n in run.counts.items()]
+    return rounded(run.history.select("model", *G.METRICS, "n_features", *counts))

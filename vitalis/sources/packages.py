@@ -5,8 +5,11 @@ training table as parquet), ``meta/`` (one-row parquet with a JSON document:
 features, target, model type, parameters, metrics, scaler, importance,
 medians), ``codebook/`` and ``scores/`` (test ``label, prob`` for G8). All
 writes go through Spark writers, so the folder can live on any shared file
-system or object store. The registry is an append-only parquet table, the
-newest ``active_from`` row names the active package.
+system or object store. The registry is an append-only folder of saved packages' rows, each
+written into a folder of its own.
+Promotions are a log of their own beside it: version numbers are claimed by exclusive creation of
+a marker file, so of two promoters that have seen the same state one wins; the newest version
+names the active package.
 """
 
 from __future__ import annotations
@@ -14,9 +17,11 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import threading
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +33,9 @@ REGISTRY_SCHEMA = ("package string, path string, model string, accuracy double,
                    "medians map<string,double>, saved_at timestamp, active_from timestamp")
 
 
+LOG_SCHEMA = REGISTRY_SCHEMA + ", version long"
+
+
 @dataclass
 class Package:
     model_type: str
@@ -109,21 +117,88 @@ def registry_row(spark: SparkSession, pkg: Package, name: str, path: str, active
 def register_package(spark: SparkSession, registry_path: str, pkg: Package, name: str, path: str,
                      active: bool = False) -> None:
     path = save_package(pkg, path)
-    registry_row(spark, pkg, name, path, active).write.mode("append").parquet(registry_path)
+    _append(registry_row(spark, pkg, name, path, active), registry_path)
+
+
+def _append(row: DataFrame, folder: str, name: str | None = None) -> None:
+    """One more row in a folder of its own: writers that append at the same time do not meet."""
+    row.coalesce(1).write.parquet(os.path.join(folder, name or f"row-{uuid.uuid4().hex}"))
+
+
+def _rows(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of such a folder, none if it does not exist."""
+    fs, path = _file(spark, folder)
+    if not fs.exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+
+
+def registered(spark: SparkSession, registry_path: str) -> DataFrame:
+    """Every saved package of a registry."""
+    return _rows(spark, registry_path, REGISTRY_SCHEMA)
+
+
+class PromotionConflict(RuntimeError):
+    """Another promotion took the version that this one was to follow."""
+
 
+_CLAIMING = threading.Lock()  # local file systems check and create in two steps; this driver's threads take turns
 
-def promote(spark: SparkSession, registry_path: str, pkg: Package, name: str, path: str,
-            table: DataFrame) -> Package:
+
+def _file(spark: SparkSession, path: str):
+    """(file system, path) by Hadoop's own interface: whatever store the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def promotion_version(spark: SparkSession, registry_path: str) -> int:
+    """The newest version that a promotion has claimed, 0 before the first."""
+    fs, folder = _file(spark, f"{registry_path.rstrip('/')}-promotions/claims")
+    if not fs.exists(folder):
+        return 0
+    return max((int(s.getPath().getName()) for s in fs.listStatus(folder)), default=0)
+
+
+def _claim(spark: SparkSession, registry_path: str, version: int) -> bool:
+    """Create the version's marker if nobody has; the store decides between two writers."""
+    fs, marker = _file(spark, f"{registry_path.rstrip('/')}-promotions/claims/{version:010d}")
+    with _CLAIMING:
+        try:
+            fs.create(marker, False).close()
+            return True
+        except Py4JJavaError as ex:
+            if "AlreadyExists" in str(ex.java_exception.getClass().getName()) or fs.exists(marker):
+                return False
+            raise
+
+
+def promotion_log(spark: SparkSession, registry_path: str) -> DataFrame:
+    """Every promotion with its version. A version that was claimed by a writer that died has no row."""
+    return _rows(spark, f"{registry_path.rstrip('/')}-promotions/rows", LOG_SCHEMA)
+
+
+def promote(spark: SparkSession, registry_path: str, pkg: Package, name: str, path: str, table: DataFrame,
+            expected: int | None = None) -> Package:
     """Attach medians of the package features over the whole cleaned table
-    (M4), write the package and append an active registry row."""
+    (M4), write the package and its registry row, and append it to the promotion log.
+
+    The log is append-only, its versions count up by one. ``expected`` is the version
+    that the caller has seen as the newest (by default the one at the call); if another
+    promotion has taken the next version meanwhile, this one raises ``PromotionConflict`` and
+    changes nothing that is active."""
     from vitalis.operators.missing import medians_dict
 
+    expected = promotion_version(spark, registry_path) if expected is None else expected
     pkg.medians = medians_dict(table, [f for f in pkg.features if f in table.columns])
-    register_package(spark, registry_path, pkg, name, path, active=True)
+    saved = save_package(pkg, path)
+    _append(registry_row(spark, pkg, name, saved, False), registry_path)
+    if not _claim(spark, registry_path, expected + 1):
+        raise PromotionConflict(f"version {expected + 1} was promoted by someone else; look at it and promote again")
+    _append(registry_row(spark, pkg, name, saved, True).withColumn("version", F.lit(expected + 1).cast("long")),
+            f"{registry_path.rstrip('/')}-promotions/rows", f"{expected + 1:010d}")
     return pkg
 
 
 def active_info(spark: SparkSession, registry_path: str) -> DataFrame:
-    """The active package row (newest ``active_from``), empty if none."""
-    reg = spark.read.parquet(registry_path)
-    return reg.where(F.col("active_from").isNotNull()).orderBy(F.desc("active_from")).limit(1)
+    """The active package row (the log's newest version), empty if none."""
+    return promotion_log(spark, registry_path).orderBy(F.desc("version")).limit(1)

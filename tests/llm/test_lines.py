@@ -141,7 +141,7 @@ def test_entries_are_exchanged_once(spark, monkeypatch):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert len(plan) < 200_000  # no bitmap is written out in it
-    assert re.search(r"ReusedExchange \[key#\d+L, indexed#\d+, h#\d+L, c#\d+L\], Exchange hashpartitioning\(key", plan)
+    assert re.search(r"ReusedExchange \[key#\d+L, indexed#\d+, h#\d+L, c#\d+\], Exchange hashpartitioning\(key", plan)
 
 
 def test_edges(spark):

@@ -7,15 +7,15 @@ pigeonhole one segment survives any max_edits edits unchanged. Each distinct
 line is indexed under (its length, segment number, segment), and probes the
 indexes of all lengths up to max_edits below its own with the substrings that
 can still be that segment (their start may be off by as many places as there
-are edits left and right of it). Pairs that meet must agree in counts of twelve
+are edits left and right of it). Pairs that meet must agree in counts of ten
 letters (an edit changes the counts by two at most; checked inside the join) and are
 verified by a banded bit-parallel edit distance: the 2 * max_edits + 1 diagonals
 around the main one are the bits of one integer, moved along both lines by an
 ``aggregate`` over positions.
 
 A key under which more than ``CROWD`` lines are indexed is not joined: its members are
-gathered, and in rounds each of them meets the earliest members only (16, then the next
-32, ...). A line that has met its earlier near line needs no other and leaves as
+gathered, and in rounds each of them meets the earliest members only (64, then the next
+128, ...). A line that has met its earlier near line needs no other and leaves as
 receiver, not as donor, so a group of near copies costs about its size.
 """
 
@@ -33,10 +33,12 @@ from vitalis.llm.layout import fresh_names, measured, shuffle_partitions, writte
 MAX_EDITS = 2
 MIN_CHARS = 20
 NEAR_CHARS = MIN_CHARS  # three segments still have six characters
-# Letters of the count filter; a count is kept modulo 16.
-LETTERS = "enitasrohdlu"
-CROWD = 32
-FIRST_ROUND = 16
+# Letters of the count filter, three bits each; a count is kept modulo 8.
+LETTERS = "enitasrohd"
+# More letters, looked at before a pair is verified.
+MORE_LETTERS = "lucmgwbpfv", "zkjqxyäüéó"
+CROWD = 512
+FIRST_ROUND = 64
 LAST = 2**63 - 1
 
 
@@ -68,18 +70,18 @@ def line_entries(lines: DataFrame, max_edits: int) -> DataFrame:
 
 
 def letter_counts(line: Column, letters: str = LETTERS) -> Column:
-    """Counts of the letters, 4 bits each."""
-    parts = [F.shiftleft(((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 16)
-                         .cast("long"), 4 * k) for k, letter in enumerate(letters)]
+    """Counts of the letters, 3 bits each."""
+    parts = [F.shiftleft(((F.char_length(line) - F.char_length(F.replace(line, F.lit(letter), F.lit("")))) % 8)
+                         .cast("int"), 3 * k) for k, letter in enumerate(letters)]
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
 def counts_apart(a: Column, b: Column, letters: str = LETTERS) -> Column:
-    """Sum of the differences of two letter counts, each taken the short way round modulo 16."""
+    """Sum of the differences of two letter counts, each taken the short way round modulo 8."""
     out = F.lit(0)
     for k in range(len(letters)):
-        d = (F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15))).bitwiseAND(F.lit(15))
-        out = out + F.least(d, F.lit(16) - d)
+        d = (F.shiftright(a, 3 * k).bitwiseAND(F.lit(7)) - F.shiftright(b, 3 * k).bitwiseAND(F.lit(7))).bitwiseAND(F.lit(7))
+        out = out + F.least(d, F.lit(8) - d)
     return out
 
 
@@ -157,6 +159,8 @@ def _passes(table: Column, h: str) -> Column:
 def _verified(pairs: DataFrame, max_edits: int) -> DataFrame:
     """The rows whose lines la and lb are within ``max_edits``."""
     return (pairs.where(F.abs(F.char_length("la") - F.char_length("lb")) <= max_edits)
+            .where(sum(counts_apart(letter_counts(F.col("la"), some), letter_counts(F.col("lb"), some), some)
+                       for some in (LETTERS, *MORE_LETTERS)) <= 2 * max_edits)
             .where(banded_distance(F.col("la"), F.col("lb"), max_edits) <= max_edits))
 
 
@@ -272,19 +276,24 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     _, total = measured(df, text_col)
     parts = max(shuffle_partitions(df.sparkSession), -(-total // (32 << 20)))
     key, gone, near = fresh_names(df, "gone_rid", "gone", "gone_near")
-    drops = (repeated_lines(docs, max_edits, min_chars, near_chars, crowd)
-             .groupBy("rid").agg(F.collect_set("pos").alias(gone), F.count_if("near").alias(near))
-             .withColumnRenamed("rid", key))
-    merged = keyed.repartition(parts, col(rid)).join(drops, col(rid) == F.col(key), "left")
+    drops = written(repeated_lines(docs, max_edits, min_chars, near_chars, crowd)
+                    .groupBy("rid").agg(F.collect_set("pos").alias(gone), F.count_if("near").alias(near))
+                    .withColumnRenamed("rid", key), "dropped-lines")
     lines = F.split(col(text_col), "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
-    return merged.select(
+    # an array of one, mapped, so that the text is taken apart once and not for every line
+    kept = F.get(F.transform(F.array(lines), lambda every: F.array_join(
+        F.transform(places, lambda i: F.get(every, i)), "\n")), 0)
+    counts = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines)]
+    # a text that loses nothing stays where it is; only those in the bitmap are shuffled to their dropped lines
+    table, none = sieve(drops, key), F.lit(0).cast("long")
+    rest = keyed.where(~_passes(table, rid)).select(*map(col, df.columns), *counts, none.alias(n_equal), none.alias(n_near))
+    merged = keyed.where(_passes(table, rid)).repartition(parts, col(rid)).join(drops, col(rid) == F.col(key), "left")
+    return rest.union(merged.select(
         *(F.when(F.col(gone).isNull(), col(c)).otherwise(kept).alias(c) if c == text_col else col(c)
-          for c in df.columns),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines),
+          for c in df.columns), *counts,
         F.coalesce(F.size(gone) - F.col(near), F.lit(0)).cast("long").alias(n_equal),
-        F.coalesce(near, F.lit(0)).cast("long").alias(n_near))
+        F.coalesce(near, F.lit(0)).cast("long").alias(n_near)))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,16 +6,16 @@ helpers here keep ranks, cumulative counts and quantiles exact while the work
 stays spread out:
 
 1. rows are first collapsed to distinct order values with their weights
-   (map-side partial aggregation, so a hot value — even a third of the table —
+   (map-side partial aggregation, so a hot value - even a third of the table -
    becomes one row per map task);
-2. approximate quantile bounds of the order value (one small aggregate, at most
-   ``buckets`` numbers per group) cut every group into balanced buckets; the
-   bucket id is a balanced tree of comparisons (binary search, stays inside
-   whole-stage codegen);
-3. per-bucket totals — a table of groups x buckets rows — give each bucket's
-   offset through a small window; within a bucket a window partitioned by
-   ``(group, bucket)`` adds the local prefix. Bucket size is about
-   ``distinct values / buckets``, independent of duplicates.
+2. they are range-partitioned by (group, order value): a run of a group's values
+   lies in one partition, a large group in as many as it needs. Nothing but
+   Spark's own range bounds is sampled, nothing is collected or written into the plan;
+   the partition's number is kept with the row (fractions known to be uniform
+   are cut evenly by arithmetic instead);
+3. per-partition totals - a row for each partition and each group in it - give
+   every partition's offset in its groups by a small window; inside a (group,
+   partition) a window adds the local prefix.
 """
 
 from __future__ import annotations
@@ -24,51 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalis.functions.columns import col
-
-
-def _bucket_tree(v: Column, bounds: list[float]) -> Column:
-    """Number of ``bounds`` strictly below ``v`` (bounds sorted, distinct)."""
-
-    def build(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(v > F.lit(bounds[mid]), build(mid + 1, hi)).otherwise(build(lo, mid))
-
-    return build(0, len(bounds))
-
-
-def _default_buckets(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(4, min(1024, 4 * parts))
-
-
-def bucket_ids(df: DataFrame, by: list[str], value: str, buckets: int | None = None,
-               accuracy: int = 10000, out: str = "_bucket") -> DataFrame:
-    """Add a balanced bucket id per group, monotone in ``value``."""
-    buckets = buckets or _default_buckets(df)
-    probs = [i / buckets for i in range(1, buckets)]
-    v = col(value).cast("double")
-    if not probs:
-        return df.withColumn(out, F.lit(0))
-    bounds_rows = (df.groupBy(*[col(b) for b in by])
-                   .agg(F.percentile_approx(v, probs, accuracy).alias("_b"))
-                   .collect())  # groups x buckets numbers
-    expr = None
-    for row in bounds_rows:
-        bnds = sorted({float(x) for x in (row["_b"] or []) if x is not None})
-        tree = _bucket_tree(v, bnds)
-        if not by:
-            expr = tree
-            break
-        cond = None
-        for b in by:
-            c = col(b).eqNullSafe(F.lit(row[b]))
-            cond = c if cond is None else cond & c
-        expr = F.when(cond, tree) if expr is None else expr.when(cond, tree)
-    if expr is None:
-        expr = F.lit(0)
-    return df.withColumn(out, expr)
+from vitalis.session import materialised
 
 
 def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> tuple[DataFrame, Column]:
@@ -87,7 +43,7 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, weights: list[str],
     over rows of the same group that come strictly earlier in ``order``.
 
     ``uniform_unit`` marks an order value known to be uniform on [0, 1) (an md5
-    fraction): buckets are then ``floor(v * buckets)`` and need no bounds pass.
+    fraction): buckets are then ``floor(v * buckets)`` and need no range partitioning.
     ``tie`` orders rows of equal ``order`` (a row key). A NULL group is kept.
     """
     key = "_ord"
@@ -97,17 +53,20 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, weights: list[str],
         raw = F.least(F.floor(col(order).cast("double") * F.lit(nb)), F.lit(nb - 1)).cast("int")
         work = work.withColumn("_bucket", (F.lit(nb - 1) - raw) if descending else raw)
     else:
-        work = bucket_ids(work, by, key, buckets)
+        parts = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+        # written, so that both passes below see the same ranges
+        work = materialised(work.repartitionByRange(parts, *[col(b) for b in by], F.col(key))
+                            .withColumn("_bucket", F.spark_partition_id()), "ranges")
     gcols = [col(b) for b in by]
     totals = work.groupBy(*gcols, "_bucket").agg(*[F.sum(col(w)).alias(f"_t_{i}") for i, w in enumerate(weights)])
     wb = Window.partitionBy(*gcols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*gcols, "_bucket", *[
         F.coalesce(F.sum(f"_t_{i}").over(wb), F.lit(0)).alias(f"_o_{i}") for i in range(len(weights))
     ])
-    # groups x buckets rows: bounded by the bucket count, safe to broadcast
+    # without groups as many rows as there are buckets; with groups Catalyst goes by the size
     keys = [*by, "_bucket"]
     offsets, same = _same(work, offsets, keys)
-    joined = work.join(F.broadcast(offsets), same).drop(*[f"_same{i}" for i in range(len(keys))])
+    joined = work.join(offsets if by else F.broadcast(offsets), same).drop(*[f"_same{i}" for i in range(len(keys))])
     wl = Window.partitionBy(*gcols, "_bucket").orderBy(key, *([col(tie)] if tie else [])).rowsBetween(Window.unboundedPreceding, -1)
     out = joined
     for i, w in enumerate(weights):
@@ -148,8 +107,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
                .withColumn("_lo", F.floor("_pos").cast("long"))
                .withColumn("_frac", F.col("_pos") - F.col("_lo"))
                .withColumn("_k", F.explode(F.array(F.col("_lo"), F.least(F.col("_lo") + 1, F.col("_n") - 1)))))
-    # targets: groups x probs x 2 rows — broadcast is bounded by the group count
-    hit = F.broadcast(targets).alias("t").join(
+    # targets: groups x probs x 2 rows, joined by group (Catalyst broadcasts them if they are few)
+    hit = (targets if by else F.broadcast(targets)).alias("t").join(
         pre.alias("p"),
         on=[*[F.col(f"t.{b}").eqNullSafe(F.col(f"p.{b}")) for b in by],
             F.col("p.cnt_before") <= F.col("t._k"), F.col("t._k") < F.col("p.cnt_before") + F.col("p.cnt")],
@@ -178,11 +137,11 @@ def hash_rank(df: DataFrame, by: list[str], u: str, out: str = "hash_rank", tie:
 
 def smallest_n(df: DataFrame, by: list[str], u: str, n_by_group: DataFrame, n_col: str = "n_take") -> DataFrame:
     """Rows whose hash rank inside the group is <= the group's quota
-    (``n_by_group``: one row per group, broadcast — bounded by group count)."""
+    (``n_by_group``: one row per group)."""
     ranked = hash_rank(df, by, u, "_hr")
     if by:
         quota, same = _same(ranked, n_by_group.select(*[col(b) for b in by], n_col), by)
-        ranked = ranked.join(F.broadcast(quota), same).drop(*[f"_same{i}" for i in range(len(by))])
+        ranked = ranked.join(quota, same).drop(*[f"_same{i}" for i in range(len(by))])
     else:
         ranked = ranked.withColumn("_k0", F.lit(0)).join(
             F.broadcast(n_by_group.select(n_col).withColumn("_k0", F.lit(0))), on="_k0").drop("_k0")

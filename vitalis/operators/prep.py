@@ -27,8 +27,8 @@ def split_flags(df: DataFrame, key: str, label: str, test: float = 0.2, seed: in
     with_u = _labelled(df, label).withColumn(u, unit_hash(col(key), seed, "split"))
     ranked = hash_rank(with_u, [label], u, "_r", tie=key)
     n = with_u.groupBy(col(label).alias(label)).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per label value: broadcast bounded by the label cardinality
-    j = ranked.join(F.broadcast(n), on=label, how="inner")
+    # one row per label value; Catalyst goes by the size
+    j = ranked.join(n, on=label, how="inner")
     return j.withColumn("is_test", F.col("_r") <= F.round(F.lit(test) * F.col("_n"))).drop("_r", "_n", u)
 
 

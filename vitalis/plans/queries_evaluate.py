@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from vitalis.operators import evaluate as V
 from vitalis.plans.catalog import register, rounded, with_ctes
-from vitalis.plans.fixtures import SCORED_SQL, scored_events
+from vitalis.plans.fixtures import ORDER_LINES_SQL, SCORED_SQL, order_lines, scored_events
 
 
 def rates_sql(tp="tp", fp="fp", fn="fn", tn="tn") -> str:
@@ -89,6 +91,33 @@ def q_roc(spark, sf):
     return rounded(V.roc_curve(scored_events(spark, sf)))
 
 
+# continuous scores: nearly as many distinct values as rows, in the groups of a tax rate
+LINE_SCORES_SQL = """
+sc AS (SELECT tax AS model, price / 120000.0 AS prob, CAST(returned AS DOUBLE) AS label FROM ol)"""
+
+
+def _line_scores(spark, sf):
+    return order_lines(spark, sf).select(F.col("tax").alias("model"), (F.col("price") / 120000.0).alias("prob"),
+                                         F.col("returned").cast("double").alias("label"))
+
+
+@register("auc_continuous", with_ctes(ORDER_LINES_SQL, LINE_SCORES_SQL, AUC_BY_MODEL) + """
+SELECT round(model, 6) AS model, round(auc, 6) AS auc FROM aucs""")
+def q_auc_continuous(spark, sf):
+    return rounded(V.auc(_line_scores(spark, sf), by=["model"]))
+
+
+@register("roc_continuous", with_ctes(ORDER_LINES_SQL, LINE_SCORES_SQL) + """
+, g AS (SELECT prob AS score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM sc GROUP BY prob),
+c AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM g),
+t AS (SELECT sum(pos) AS p, sum(neg) AS n FROM g)
+SELECT CAST(NULL AS DOUBLE) AS score, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL
+SELECT score, CAST(fp AS DOUBLE) / n, CAST(tp AS DOUBLE) / p FROM c CROSS JOIN t""")
+def q_roc_continuous(spark, sf):
+    return V.roc_curve(_line_scores(spark, sf))  # the same divisions in both engines
+
+
 _BIN = " + ".join(f"CAST(prob > CAST({j} AS DOUBLE) * CAST(0.1 AS DOUBLE) AS INTEGER)" for j in range(1, 10))
 
 

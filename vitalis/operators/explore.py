@@ -16,6 +16,7 @@ from vitalis.functions.columns import as_double, col, numeric_columns
 from vitalis.functions.rng import unit_hash
 from vitalis.functions.stats import t_pvalue
 
+MOST_LABELS = 1000  # columns of a cross-tab
 CATEGORICAL_BELOW = 10  # fixed: a column with fewer distinct values is categorical
 
 
@@ -84,8 +85,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Counts of each non-null value, count descending, with percent share."""
     counts = df.where(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(
         F.count(F.lit(1)).alias("count"))
-    total = Window.partitionBy()  # over the distinct values only (small)
-    return (counts.withColumn("share", F.col("count") * 100.0 / F.sum("count").over(total))
+    total = df.agg(F.count(col(column)).alias("_total"))  # one row
+    return (counts.crossJoin(F.broadcast(total)).select("value", "count", (F.col("count") * 100.0 / F.col("_total")).alias("share"))
             .orderBy(F.desc("count"), "value"))
 
 
@@ -204,7 +205,9 @@ def crosstab_pct(df: DataFrame, cat: str, target: str) -> DataFrame:
     base = df.where(col(cat).isNotNull() & col(target).isNotNull())
     base = base.select(col(cat).alias("_cat"), col(target).alias("_v"), col(target).cast("string").alias("_s"))
     # one row per label: they become the columns
-    names = [r["_s"] for r in base.select("_v", "_s").distinct().orderBy("_v").collect()]
+    names = [r["_s"] for r in base.select("_v", "_s").distinct().orderBy("_v").limit(MOST_LABELS + 1).collect()]
+    if len(names) > MOST_LABELS:
+        raise ValueError(f"{target!r} has more than {MOST_LABELS} values, too many for columns of a cross-tab")
     wide = base.groupBy("_cat").pivot("_s", names).agg(F.count(F.lit(1)))
     tot = sum((F.coalesce(col(n), F.lit(0)) for n in names), F.lit(0))
     return wide.select(F.col("_cat").alias(cat),

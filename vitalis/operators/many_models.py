@@ -62,24 +62,42 @@ def _rows(models, total):
                                        pa.array(total.reshape(-1))], ["model", "i", "v"])
 
 
-def _sums(weights: dict[int, np.ndarray], width: int):
-    """Per model: rows, loss, gradient, upper half of the Hessian."""
+def log_loss(z: np.ndarray, y: np.ndarray):
+    """Loss, slope and curvature in z of the logistic loss."""
+    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    return np.logaddexp(0, z) - y * z, p - y, p * (1 - p)
+
+
+BEND = 0.5  # where the hinge is rounded off: margins from 1 - BEND to 1
+
+
+def hinge_loss(z: np.ndarray, y: np.ndarray):
+    """The same of the hinge loss, rounded off by a parabola below margin 1."""
+    side = 2 * y - 1
+    short = 1 - side * z
+    flat, bent = short <= 0, short < BEND
+    loss = np.where(flat, 0.0, np.where(bent, short * short / (2 * BEND), short - BEND / 2))
+    return loss, -side * np.clip(short / BEND, 0.0, 1.0), np.where(bent & ~flat, 1 / BEND, 0.0)
+
+
+def _sums(weights: dict[int, np.ndarray], width: int, losses):
+    """Per model: rows, loss, positives, gradient, upper half of the Hessian."""
     models, upper = sorted(weights), np.triu_indices(width + 1)
     w = np.stack([weights[m] for m in models], axis=1)
 
     def run(batches):
-        total = np.zeros((len(models), 2 + width + 1 + len(upper[0])))
+        total = np.zeros((len(models), 3 + width + 1 + len(upper[0])))
         for batch in batches:
             for mask, y, x in _blocks(batch, width):
                 of = _bits(mask, models).astype(float)
-                z = x @ w
-                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                loss, slope, bend = losses(x @ w, y[:, None])
                 total[:, 0] += of.sum(axis=0)
-                total[:, 1] += (of * (np.logaddexp(0, z) - y[:, None] * z)).sum(axis=0)
-                total[:, 2:3 + width] += (x.T @ (of * (p - y[:, None]))).T
-                s = of * p * (1 - p)
+                total[:, 1] += (of * loss).sum(axis=0)
+                total[:, 2] += (of * (y == 1)[:, None]).sum(axis=0)
+                total[:, 3:4 + width] += (x.T @ (of * slope)).T
+                s = of * bend
                 for k in range(len(models)):
-                    total[k, 3 + width:] += (x.T @ (s[:, k:k + 1] * x))[upper]
+                    total[k, 4 + width:] += (x.T @ (s[:, k:k + 1] * x))[upper]
         yield _rows(models, total)
     return run
 
@@ -99,36 +117,35 @@ def as_table(df: DataFrame, features: list[str], label: str, train: Column, test
                      *[F.coalesce(as_double(f), missing.cast("double")).alias(f"x{c}") for c, f in enumerate(features)])
 
 
-def fit_many(table: DataFrame, width: int, c: list[float], most_passes: int = 60, tolerance: float = 1e-10) -> list[Linear]:
+def fit_many(table: DataFrame, width: int, c: list[float], most_passes: int = 60, tolerance: float = 1e-10,
+             losses=log_loss) -> list[Linear]:
     """Model m trains on the rows with bit m of ``mask`` set, under penalty 1 / (2 c[m]).
 
-    ``table``: (mask, y, x0, ...), read once a pass - hand in a written or cached one. A
+    ``table``: (mask, y, x0, ...), read once a pass - hand in a written or cached one. ``losses``: logistic or hinge. A
     model whose rows have one class (or none) gets zero coefficients and an infinite (zero) intercept.
     """
     if len(c) > MOST_MODELS:
         return [m for a in range(0, len(c), MOST_MODELS) for m in fit_many(
-            table.withColumn("mask", F.shiftright("mask", a)), width, c[a:a + MOST_MODELS], most_passes, tolerance)]
+            table.withColumn("mask", F.shiftright("mask", a)), width, c[a:a + MOST_MODELS], most_passes, tolerance, losses)]
     upper = np.triu_indices(width + 1)
-    size = 3 + width + len(upper[0])
+    size = 4 + width + len(upper[0])
     at = {m: np.zeros(width + 1) for m in range(len(c))}
     best = {m: (np.inf, None) for m in at}  # loss and weights of the last accepted step
     done: dict[int, Linear] = {}
     for turn in range(1, most_passes + 1):
-        for m, s in _added(table, _sums(at, width), size).items():
+        for m, s in _added(table, _sums(at, width, losses), size).items():
             w, n = at[m], int(s[0])
-            gradient = s[2:3 + width].copy()
-            if turn == 1:
-                positive = n / 2 - gradient[-1]  # at zero every row's probability is one half
-                if not n or not 0.5 < positive < n - 0.5:
-                    done[m] = Linear(np.zeros(width), 0.0 if not n else np.inf if positive > n / 2 else -np.inf, n, 1, True)
-                    continue
+            gradient = s[3:4 + width].copy()
+            if turn == 1 and s[2] in (0, n):
+                done[m] = Linear(np.zeros(width), 0.0 if not n else np.inf if s[2] else -np.inf, n, 1, True)
+                continue
             loss = s[1] + 0.5 / c[m] * (w[:-1] @ w[:-1])
             if loss > best[m][0] + 1e-9 * abs(best[m][0]):
                 at[m] = (w + best[m][1]) / 2
                 continue
             gradient[:-1] += w[:-1] / c[m]
             hessian = np.zeros((width + 1, width + 1))
-            hessian[upper] = s[3 + width:]
+            hessian[upper] = s[4 + width:]
             hessian = hessian + np.triu(hessian, 1).T
             hessian[np.arange(width), np.arange(width)] += 1 / c[m]
             step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
@@ -171,6 +188,46 @@ def judge_many(table: DataFrame, width: int, models: list[Linear]) -> list[tuple
     return [tuple(int(v) for v in sums.get(m, np.zeros(4))) for m in range(len(models))]
 
 
+def _calibration(models: list[Linear], a: float, b: float, high: float, low: float, width: int):
+    """Sums for one Newton step of Platt's sigmoid over margins of the model of each row's bit."""
+    w = np.stack([np.append(m.coefficients, m.intercept) for m in models], axis=1)
+
+    def run(batches):
+        total = np.zeros((1, 6))
+        for batch in batches:
+            for mask, y, x in _blocks(batch, width):
+                of = _bits(mask, list(range(len(models)))).astype(bool)
+                use = of.any(axis=1)
+                margin = (x[use] @ w)[np.arange(use.sum()), of[use].argmax(axis=1)]
+                goal = np.where(y[use] == 1, high, low)
+                z = a * margin + b
+                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                bend = p * (1 - p)
+                total[0] += [(np.logaddexp(0, z) - goal * z).sum(), ((p - goal) * margin).sum(), (p - goal).sum(),
+                             (bend * margin * margin).sum(), (bend * margin).sum(), bend.sum()]
+        yield _rows([0], total)
+    return run
+
+
+def platt(table: DataFrame, width: int, models: list[Linear], positives: int, negatives: int,
+          most_passes: int = 100) -> tuple[float, float]:
+    """(a, b) of P(class 1) = 1 / (1 + exp(-(a margin + b))), fitted on every row's margin by the model of its bit,
+    to Platt's smoothed targets; a Newton step that raises the loss is halved."""
+    high, low = (positives + 1) / (positives + 2), 1 / (negatives + 2)
+    at, best = np.array([0.0, np.log((positives + 1) / (negatives + 1))]), (np.inf, None)
+    for _ in range(most_passes):
+        s = _added(table, _calibration(models, at[0], at[1], high, low, width), 6).get(0, np.zeros(6))
+        if s[0] > best[0] + 1e-9 * abs(best[0]):
+            at = (at + best[1]) / 2
+            continue
+        best = s[0], at
+        step = np.linalg.lstsq(np.array([[s[3] + 1e-12, s[4]], [s[4], s[5] + 1e-12]]), s[1:3], rcond=None)[0]
+        if abs(s[1:3] @ step) <= 1e-10 * max(1.0, abs(s[0])):
+            break
+        at = at - step
+    return float(at[0]), float(at[1])
+
+
 def curve_rows(df: DataFrame, features: list[str], label: str, key: str, fold: str, u: str, cv: int, fractions: list[float],
                c: float) -> list[tuple[int, float, int, float, float]]:
     """(fold, fraction, rows, training accuracy, validation accuracy) of every fold and size of a learning curve.

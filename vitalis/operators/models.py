@@ -11,10 +11,9 @@ Mappings of the studied library parameters (documented approximations):
 * random forest depth None -> 30 (Spark's maximum);
 * XGBoost -> ``GBTClassifier`` (same trees/depth/rate/subsample; different
   regularisation and missing-value handling);
-* SVM linear -> ``LinearSVC(regParam=1/(C*n))``; rbf -> random Fourier
-  features (Rahimi & Recht 2007) as an ``SQLTransformer`` + LinearSVC; poly ->
-  ``PolynomialExpansion(3)`` + LinearSVC. Probabilities by a Platt step
-  (logistic regression on the SVM margin) fitted on the training rows.
+* SVM linear, rbf (random Fourier features, Rahimi & Recht 2007) or poly (sign-projection
+  sketch) -> rounded hinge loss by Newton steps, all folds in one scan; probabilities by Platt's sigmoid
+  on out-of-fold margins.
 """
 
 from __future__ import annotations
@@ -29,10 +28,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
+    GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -41,7 +40,9 @@ from pyspark.sql import functions as F
 from vitalis.functions.columns import as_double, col, q
 from vitalis.functions.ranking import hash_rank
 from vitalis.functions.rng import permuted_rank, unit_hash
-from vitalis.operators.many_models import MOST_MODELS, as_table, curve_rows, fit_many, judge_many, mask_of
+from vitalis.operators.many_models import (
+    MOST_MODELS, Linear, as_table, curve_rows, fit_many, hinge_loss, judge_many, mask_of, platt,
+)
 from vitalis.session import materialised
 
 MODEL_TYPES = ["logreg", "forest", "boost", "svm", "knn"]
@@ -98,6 +99,62 @@ def gamma_value(df: DataFrame, features: list[str], gamma: str | float) -> float
     return 1.0 / (len(features) * var) if var > 0 else 1.0
 
 
+def maclaurin_transformer(features: list[str], gamma: float, degree: int = 3, n_components: int = 200,
+                          seed: int = 42) -> SQLTransformer:
+    """A sketch of the polynomial kernel ``(gamma x.y)^degree``: each component is a product of ``degree``
+    random sign projections (Kar & Karnick 2012), as many components however many monomials there are."""
+    rng = np.random.default_rng(seed)
+    signs = rng.integers(0, 2, (n_components, degree, len(features)))
+    scale = math.sqrt(gamma ** degree / n_components)
+    parts = []
+    for j in range(n_components):
+        forms = ["(" + " ".join(f"{'+' if s else '-'} {q(f)}" for s, f in zip(row, features, strict=True)) + ")" for row in signs[j]]
+        parts.append(f"{scale!r} * {' * '.join(forms)} AS _map{j}")
+    return SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")
+
+
+def fit_svm(data: DataFrame, features: list[str], params: dict, seed: int = 42) -> PipelineModel:
+    """a support vector machine with calibrated probabilities.
+
+    The kernel is a feature map (none, random Fourier features or a polynomial sketch). The machine
+    on all rows and those on three folds' complements minimise the rounded hinge loss together
+    (``many_models``); each row's margin by the machine that has not seen it goes into Platt's
+    sigmoid with smoothed targets. A row's fold comes from a hash of its features. The result
+    is a pipeline of SQL stages that ends in ``svm_margin``, ``svm_prob`` and ``prediction``."""
+    c, kernel = float(params.get("C", 1.0)), params.get("kernel", "rbf")
+    if kernel not in ("linear", "rbf", "poly"):
+        raise ValueError(f"unknown kernel {kernel!r}")
+    stages, mapped = [], features
+    if kernel != "linear":
+        g, nc = gamma_value(data, features, params.get("gamma", "scale")), int(params.get("n_components", 200))
+        stages.append(rff_transformer(features, g, nc, seed) if kernel == "rbf"
+                      else maclaurin_transformer(features, g, int(params.get("degree", 3)), nc, seed))
+        mapped = [f"{'_rff' if kernel == 'rbf' else '_map'}{j}" for j in range(nc)]
+    folds = 3
+    fold = F.pmod(F.xxhash64(F.lit(seed), *map(col, features)), F.lit(folds))
+    rows = data.withColumn("_svm_fold", fold)
+    for s in stages:
+        rows = s.transform(rows)
+    train = mask_of([F.lit(True)] + [F.col("_svm_fold") != f for f in range(folds)])
+    test = mask_of([F.col("_svm_fold") == f for f in range(folds)])
+    table = materialised(as_table(rows, mapped, "label", train, test), "svm-rows")
+    xs = [f"x{i}" for i in range(len(mapped))]
+    whole, *parts = fit_many(table.select("mask", "y", *xs), len(xs), [c] * (folds + 1), tolerance=1e-9, losses=hinge_loss)
+    if not all(m.converged for m in (whole, *parts)):
+        raise RuntimeError("the support vector machine has not converged: scale the features or lower C")
+    seen = table.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n")).first()
+    if not seen["p"] or not seen["n"]:
+        raise ValueError("the training rows hold one class only")
+    # a fold whose complement has one class gives no margins
+    usable = [m if math.isfinite(m.intercept) else Linear(np.zeros(len(xs)), 0.0, 0, 0, True) for m in parts]
+    a, b = platt(table.select(F.col("test").alias("mask"), "y", *xs), len(xs), usable, seen["p"], seen["n"])
+    margin = " + ".join([f"({float(whole.intercept)!r})"] + [f"({float(w)!r}) * {q(m)}" for w, m in zip(whole.coefficients, mapped, strict=True)])
+    stages += [SQLTransformer(statement=f"SELECT *, {margin} AS svm_margin FROM __THIS__"),
+               SQLTransformer(statement=f"SELECT *, 1.0 / (1.0 + exp(-(({a!r}) * svm_margin + ({b!r})))) AS svm_prob, "
+                                        "CASE WHEN svm_margin > 0 THEN 1.0D ELSE 0.0D END AS prediction FROM __THIS__")]
+    return PipelineModel(stages)
+
+
 # --- estimators -----------------------------------------------------------------
 def build_pipeline(model_type: str, features: list[str], params: dict, n_train: int,
                    train: DataFrame | None = None, seed: int = 42) -> Pipeline:
@@ -119,24 +176,6 @@ def build_pipeline(model_type: str, features: list[str], params: dict, n_train:
                             stepSize=float(p.get("rate", 0.3)), subsamplingRate=float(p.get("subsample", 1.0)),
                             seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
         return Pipeline(stages=[*_assembler(features), clf])
-    if model_type == "svm":
-        c = float(p.get("C", 1.0))
-        kernel = p.get("kernel", "rbf")
-        stages = []
-        if kernel == "rbf":
-            g = gamma_value(train, features, p.get("gamma", "scale")) if train is not None else 1.0 / len(features)
-            nc = int(p.get("n_components", 200))
-            stages += [rff_transformer(features, g, nc, seed), *_assembler([f"_rff{j}" for j in range(nc)])]
-        elif kernel == "poly":
-            stages += [*_assembler(features, "_raw_features"),
-                       PolynomialExpansion(degree=int(p.get("degree", 3)), inputCol="_raw_features", outputCol="features")]
-        else:
-            stages += _assembler(features)
-        stages += [LinearSVC(regParam=1.0 / (c * n_train), maxIter=200, rawPredictionCol="svm_raw",
-                             predictionCol="prediction"),
-                   LogisticRegression(featuresCol="svm_raw", regParam=1e-6, rawPredictionCol="platt_raw",
-                                      predictionCol="platt_prediction", probabilityCol="probability")]
-        return Pipeline(stages=stages)
     raise ValueError(f"unknown model type {model_type}")
 
 
@@ -184,6 +223,8 @@ def fit(model_type: str, train: DataFrame, features: list[str], label: str, para
                         params.get("weights", "uniform"), key)
     data = data.cache()
     try:
+        if model_type == "svm":
+            return fit_svm(data, features, params, seed)
         return build_pipeline(model_type, features, params, data.count(), data, seed).fit(data)
     finally:
         data.unpersist()
@@ -195,7 +236,7 @@ def predict(model, df: DataFrame, features: list[str], key: str | None = None) -
         return model.predict(df, key)
     data = _prepare(df, features, None) if all(f in df.columns for f in features) else df
     out = model.transform(data)
-    prob = vector_to_array("probability").getItem(1)
+    prob = F.col("svm_prob") if "svm_prob" in out.columns else vector_to_array("probability").getItem(1)
     keep = [c for c in data.columns]
     return out.select(*[col(c) for c in keep], prob.alias("prob"), F.col("prediction").cast("double").alias("prediction"))
 
@@ -205,9 +246,12 @@ def intrinsic_importance(model, features: list[str], spark) -> DataFrame | None:
     """Tree importances, else |coefficients|; None for models without either."""
     if isinstance(model, KnnModel):
         return None
-    last = model.stages[-1]
-    clf = model.stages[-2] if last.__class__.__name__ == "LogisticRegressionModel" and len(model.stages) > 2 \
-        and model.stages[-2].__class__.__name__ == "LinearSVCModel" else last
+    clf = model.stages[-1]
+    if isinstance(clf, SQLTransformer):  # a support vector machine; only the linear kernel weighs the features themselves
+        if len(model.stages) > 2:
+            return None
+        weights = re.findall(r"\((-?[0-9.e+-]+)\) \* ", model.stages[0].getStatement())
+        return spark.createDataFrame(list(zip(features, [abs(float(w)) for w in weights], strict=True)), "feature string, importance double")
     vals = None
     if hasattr(clf, "featureImportances"):
         vals = clf.featureImportances.toArray().tolist()

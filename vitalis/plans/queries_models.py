@@ -58,6 +58,11 @@ def q_svm_rbf(spark, sf):
     return _fit_eval(spark, sf, "svm", {"kernel": "rbf", "C": 1.0, "gamma": "scale"})
 
 
+@register("model_svm_poly")
+def q_svm_poly(spark, sf):
+    return _fit_eval(spark, sf, "svm", {"kernel": "poly", "C": 1.0, "gamma": "scale"})
+
+
 # --- F5: exact k-NN probabilities on the document table --------------------------
 _F = ", ".join(DOC_FEATURES)
 _D2 = " + ".join(f"(t.{f} - r.{f}) * (t.{f} - r.{f})" for f in DOC_FEATURES)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalis.functions.columns import col, numeric_columns, text_columns
+from vitalis.functions.columns import col, text_columns
 
 # Fixed values that must equal the studied application's behaviour.
 IDENTIFIER_COLUMNS = ["SNO", "MRD No.", "D.O.A", "D.O.D", "month year", "Name", "ID", "Patient_ID"]
@@ -25,8 +25,6 @@ DEFAULT_FEATURES = ["EF", "BNP", "HTN", "DM", "CAD", "CKD", "AGE", "HB", "UREA",
 NUMERIC_ACCEPT_BELOW = 0.9
 NULL_LABEL = "nan"
 
-# A codebook above this many rows is joined with a shuffle instead of broadcast.
-
 
 # --- P1 / P7 -----------------------------------------------------------------
 def drop_identifiers(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -201,7 +199,3 @@ def resolve_features(columns: list[str], target: str, defaults: list[str] | None
     pool = [c for c in columns if c != target]
     feats = [f for f in (DEFAULT_FEATURES if defaults is None else defaults) if f in pool]
     return feats or pool[:10]
-
-
-def numeric_only(df: DataFrame) -> list[str]:
-    return numeric_columns(df)

@@ -80,16 +80,3 @@ def linear_prob_fn(features: list[str], scaler: dict, linear: dict):
     def fn(df: DataFrame) -> DataFrame:
         return df.withColumn("prob", linear_probability(features, scaler, linear))
     return fn
-
-
-def model_prob_fn(model, features: list[str], scaler: dict, key: str):
-    """Score hybrid rows with a fitted model after scaling (keeps all columns)."""
-    from vitalis.operators.models import predict
-
-    def fn(df: DataFrame) -> DataFrame:
-        keep = [c for c in df.columns if c not in features]
-        scaled = df.select(*[col(c) for c in keep], *[
-            ((col(f) - F.lit(float(scaler.get(f, (0.0, 1.0))[0]))) / F.lit(float(scaler.get(f, (0.0, 1.0))[1]))).alias(f)
-            for f in features])
-        return predict(model, scaled, features, key)
-    return fn

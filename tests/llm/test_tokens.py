@@ -11,7 +11,7 @@ from conftest_llm import SF, clashing, frame
 from tokenizers import Tokenizer
 
 from vitalis.llm.matrices import (
-    PAD_ID, ROW, best_fit_decreasing, op10_token_matrices, pack_matrices, position_ids, write_packed,
+    PAD_ID, ROW, best_fit_decreasing, op10_token_matrices, pack_matrices, position_ids, positions as places, write_packed,
 )
 from vitalis.llm.packing import END_ID, WINDOW, Shard, op9_retrieval_packing, pack_by_retrieval, pack_shard
 from vitalis.llm.pieces import MODEL, PieceEncoder, decode_pieces, encode_pieces, op7_sentencepiece
@@ -192,6 +192,7 @@ def check_matrices(rows, expected):
             assert ids[a:b].tolist() == expected[i][s:s + b - a]
             seen[i][s:s + b - a] += 1
         positions = position_ids(np.array(r.cu_seqlens))
+        assert (places(r.resets, ROW) == positions).all()
         assert all((positions[a:b] == np.arange(b - a)).all() for a, b in zip(r.cu_seqlens[:-1], r.cu_seqlens[1:],
                                                                                strict=True))
     assert all((s == 1).all() for s in seen.values())

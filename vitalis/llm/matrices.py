@@ -83,10 +83,24 @@ def best_fit_decreasing(sizes: list[int], row: int) -> list[list[int]]:
 
 
 PACKED = ("sequence_id long, n_tokens long, ids binary, cu_seqlens array<int>, doc_ids array<long>, "
-          "starts array<long>")
+          "starts array<long>, resets binary")
 PACKED_ARROW = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()),
                           ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())),
-                          ("starts", pa.list_(pa.int64()))])
+                          ("starts", pa.list_(pa.int64())), ("resets", pa.binary())])
+
+
+def reset_bits(cu_seqlens: list[int], row: int) -> bytes:
+    """One bit for each place, the lowest first: set where positions begin anew (every segment, and the filling)."""
+    flags = np.zeros(row, bool)
+    flags[[c for c in cu_seqlens if c < row]] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def positions(resets: bytes, row: int) -> np.ndarray:
+    """The position of every place of a row from its reset bits."""
+    flags = np.unpackbits(np.frombuffer(resets, np.uint8), count=row, bitorder="little")
+    places = np.arange(row)
+    return places - np.maximum.accumulate(np.where(flags == 1, places, 0))
 
 
 def _pack(path, row):
@@ -117,6 +131,7 @@ def _pack(path, row):
             out["cu_seqlens"].append(cuts)
             out["doc_ids"].append([doc_ids[pieces[i][0]] for i in members])
             out["starts"].append([pieces[i][1] for i in members])
+            out["resets"].append(reset_bits(cuts, row))
         return pa.Table.from_pydict(out, PACKED_ARROW)
     return run
 
@@ -124,7 +139,7 @@ def _pack(path, row):
 def pack_matrices(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
                   row: int = ROW) -> DataFrame:
     """One row per sequence: sequence_id, n_tokens, ids (``row`` little-endian unsigned 16-bit ids),
-    cu_seqlens, doc_ids, starts.
+    cu_seqlens, doc_ids, starts, resets (a bit for each place; see ``positions``).
 
     * null and empty texts: one id, END_ID
     * null id: packed, with a null in doc_ids
@@ -159,14 +174,15 @@ def _digest(batches):
                for ids, n in zip(rows["ids"], rows["n_tokens"], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("sequence_id"), batch.column("n_tokens"), pa.array(crc, pa.int64()),
-             batch.column("cu_seqlens"), batch.column("doc_ids"), batch.column("starts")],
-            ["sequence_id", "n_tokens", "ids_crc32", "cu_seqlens", "doc_ids", "starts"])
+             batch.column("cu_seqlens"), batch.column("doc_ids"), batch.column("starts"),
+             pa.array([zlib.crc32(r) for r in rows["resets"]], pa.int64())],
+            ["sequence_id", "n_tokens", "ids_crc32", "cu_seqlens", "doc_ids", "starts", "resets_crc32"])
 
 
 def op10_token_matrices(spark, sf_dir: str) -> DataFrame:
-    """sequence_id, n_tokens, ids_crc32, cu_seqlens, doc_ids, starts of every written sequence."""
+    """sequence_id, n_tokens, ids_crc32, cu_seqlens, doc_ids, starts, resets_crc32 of every written sequence."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/packed-{uuid.uuid4().hex}"
     return write_packed(docs, folder).mapInArrow(
         _digest, "sequence_id long, n_tokens long, ids_crc32 long, cu_seqlens array<int>, doc_ids array<long>, "
-                 "starts array<long>")
+                 "starts array<long>, resets_crc32 long")

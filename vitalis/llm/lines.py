@@ -236,7 +236,7 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
                   .distinct(), "line-pairs")
     pairs = met.where("key is null").select("a", "b")
     members = met.where("key is not null").select("key", F.col("a").alias("h"))
-    ends = written(met.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct(), "ends")
+    ends = written(met.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "ends")
     known = written(texts.where(_passes(sieve(ends, "h"), "h")).join(ends, "h").groupBy("h", "g")
                     .agg(F.min("line").alias("line")).join(long.select("h", "g", "at"), ["h", "g"])
                     .select("h", "line", "at", letter_counts(F.col("line")).alias("c")), "pair-lines")

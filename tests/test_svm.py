@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from vitalis.operators import models as ML
-from vitalis.operators.many_models import BEND, hinge_loss
+from vitalis.operators.many_models import BEND, fit_many, hinge_loss
 
 FEATURES = ["a", "b x"]
 
@@ -82,3 +82,25 @@ def test_what_cannot_be_fitted(spark):
         ML.fit("svm", df.withColumn("line", F.lit(1)), FEATURES, "line", {"kernel": "linear"})
     with pytest.raises(ValueError, match="kernel"):
         ML.fit("svm", df, FEATURES, "line", {"kernel": "sigmoid"})
+
+
+def test_features_without_information_converge_in_few_passes(spark):
+    """No row bends at the start, so the hinge has no curvature there; a weak penalty then sends Newton's step far off."""
+    rng = random.Random(8)
+    rows = [(1, float(rng.random() < 0.25), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(1500)]
+    table = spark.createDataFrame(rows, "mask long, y double, x0 double, x1 double").cache()
+    fitted, = fit_many(table, 2, [1e7], 20, 1e-9, hinge_loss, most_curvature=1 / BEND)
+    assert fitted.converged
+    x, y = np.array([[r[2], r[3], 1.0] for r in rows]), np.array([r[1] for r in rows])
+    _, slope, _ = hinge_loss(x @ np.append(fitted.coefficients, fitted.intercept), y)
+    assert np.abs(x.T @ slope).max() < 1e-3
+
+
+@pytest.mark.parametrize("kernel", ["rbf", "poly"])
+def test_map_inside_the_tasks_is_the_pipelines(spark, kernel):
+    x = np.random.default_rng(4).normal(size=(5, 2))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, `b x` double")
+    stage, made = ((ML.rff_transformer(FEATURES, 0.7, 30, 5), ML.rff_features(2, 0.7, 30, 5)) if kernel == "rbf" else
+                   (ML.maclaurin_transformer(FEATURES, 0.7, 3, 30, 5), ML.maclaurin_features(2, 0.7, 3, 30, 5)))
+    want = np.array([[r[f"_{'rff' if kernel == 'rbf' else 'map'}{j}"] for j in range(30)] for r in stage.transform(df).collect()])
+    assert made(x) == pytest.approx(want, abs=1e-12)

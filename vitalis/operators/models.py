@@ -191,7 +191,10 @@ def fit_svm(data: DataFrame, features: list[str], params: dict, seed: int = 42)
 # --- estimators -----------------------------------------------------------------
 def build_pipeline(model_type: str, features: list[str], params: dict, n_train: int,
                    train: DataFrame | None = None, seed: int = 42) -> Pipeline:
-    """The Spark ML pipeline for one model type and parameter set."""
+    """The Spark ML pipeline for one model type and parameter set.
+
+    Trees walk a row from the root in each pass: cached node ids would keep a number for each row and tree,
+    written again for every level and checkpoint."""
     p = dict(params)
     if model_type == "logreg":
         c = float(p.get("C", 1.0))
@@ -202,12 +205,12 @@ def build_pipeline(model_type: str, features: list[str], params: dict, n_train:
         depth = p.get("depth", 10)
         clf = RandomForestClassifier(numTrees=int(p.get("trees", 100)), maxDepth=30 if depth is None else int(min(depth, 30)),
                                      minInstancesPerNode=max(1, math.ceil(int(p.get("min_samples_split", 2)) / 2)),
-                                     seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
+                                     seed=seed, maxMemoryInMB=1024, cacheNodeIds=False)
         return Pipeline(stages=[*_assembler(features), clf])
     if model_type == "boost":
         clf = GBTClassifier(maxIter=int(p.get("trees", 100)), maxDepth=int(p.get("depth", 6)),
                             stepSize=float(p.get("rate", 0.3)), subsamplingRate=float(p.get("subsample", 1.0)),
-                            seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
+                            seed=seed, maxMemoryInMB=1024, cacheNodeIds=False)
         return Pipeline(stages=[*_assembler(features), clf])
     raise ValueError(f"unknown model type {model_type}")
 
@@ -254,7 +257,7 @@ def fit(model_type: str, train: DataFrame, features: list[str], label: str, para
             data = data.withColumn(key, F.monotonically_increasing_id())
         return KnnModel(data.select(*map(col, [key, *features, "label"])), features, int(params.get("k", 5)),
                         params.get("weights", "uniform"), key)
-    data = data.cache()
+    data = data.select(*map(col, features), "label").cache()  # a fit reads nothing else
     try:
         if model_type == "svm":
             return fit_svm(data, features, params, seed)

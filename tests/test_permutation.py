@@ -51,3 +51,16 @@ def test_importance_by_hand(spark):
         assert got[f] == pytest.approx((1.0 - np.mean(acc), np.std(acc)), abs=1e-12)
     assert got["c"] == (0.0, 0.0)
     assert ML.permutation_importance(model, df.limit(0), ["a", "b.x", "c"], "y", "id").collect() == []
+
+
+def test_forest_keeps_no_node_ids_and_rows_go_by_rank(spark, monkeypatch):
+    from vitalis.operators import models as ML
+
+    for kind in ("forest", "boost"):
+        assert not ML.build_pipeline(kind, ["a"], {}, 10).getStages()[-1].getCacheNodeIds()
+    written = {}
+    keep = ML.materialised
+    monkeypatch.setattr(ML, "materialised", lambda df, label: written.setdefault(label, keep(df, label)))
+    df = spark.createDataFrame([(f"key-{i}", float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(60)], "id string, a double, b double, y int")
+    ML.permutation_importance(lambda t: t.withColumn("prediction", (t["a"] > 3).cast("double")), df, ["a", "b"], "y", "id").collect()
+    assert set(written["ranked"].columns) == {"a", "b", "label", "_pos"}

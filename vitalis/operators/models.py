@@ -495,8 +495,9 @@ def permutation_importance(model, test: DataFrame, features: list[str], label: s
     for each feature with that one value replaced (and one unchanged copy in all); one
     ``transform`` scores the copies, one aggregate counts what is right."""
     data = _prepare(test, features, label).select(col(key).alias("_id"), *map(col, features), "label")
+    # from here on a row is known by its rank
     ranked = materialised(hash_rank(data.withColumn("_bu", unit_hash(F.col("_id"), seed, "perm-base")), [], "_bu", "_pos",
-                                    tie="_id").drop("_bu").withColumn("_pos", F.col("_pos") - 1), "ranked")
+                                    tie="_id").drop("_bu", "_id").withColumn("_pos", F.col("_pos") - 1), "ranked")
     n = ranked.count()
     out = "feature string, importance double, std double"
     if not n:
@@ -504,7 +505,7 @@ def permutation_importance(model, test: DataFrame, features: list[str], label: s
     width = len(features)
     shuffles = F.array(*[F.struct(F.lit(r).alias("rep"), permuted_rank(F.col("_pos"), n, seed, f"perm-{r}").alias("donor"))
                          for r in range(repeats)])
-    rows = ranked.select("_id", "label", *[col(f).alias(f"_x{i}") for i, f in enumerate(features)], F.explode(shuffles).alias("_s"))
+    rows = ranked.select("_pos", "label", *[col(f).alias(f"_x{i}") for i, f in enumerate(features)], F.explode(shuffles).alias("_s"))
     donors = ranked.select(F.col("_pos").alias("_at"), *[col(f).alias(f"_d{i}") for i, f in enumerate(features)])
     both = rows.join(donors, F.col("_s.donor") == F.col("_at"))
 
@@ -513,7 +514,7 @@ def permutation_importance(model, test: DataFrame, features: list[str], label: s
 
     copies = F.array(*[copy(j) for j in range(width)])
     copies = F.when(F.col("_s.rep") == 0, F.concat(copies, F.array(copy(-1)))).otherwise(copies)
-    permuted = both.select("_id", "label", F.col("_s.rep").alias("_rep"), F.explode(copies).alias("_c")).select(
+    permuted = both.select(F.col("_pos").alias("_id"), "label", F.col("_s.rep").alias("_rep"), F.explode(copies).alias("_c")).select(
         "_id", "label", "_rep", "_c._f", *[F.col(f"_c._v{i}").alias(f) for i, f in enumerate(features)])
     if isinstance(model, KnnModel):
         scored = _knn_group_predict(model, permuted.withColumnsRenamed({"_f": "feature", "_rep": "rep"}), features, "_id") \

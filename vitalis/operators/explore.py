@@ -15,6 +15,7 @@ from vitalis.functions.brackets import bracket_quantiles
 from vitalis.functions.columns import as_double, col, numeric_columns
 from vitalis.functions.rng import unit_hash
 from vitalis.functions.stats import t_pvalue
+from vitalis.session import materialised
 
 MOST_LABELS = 1000  # columns of a cross-tab
 CATEGORICAL_BELOW = 10  # fixed: a column with fewer distinct values is categorical
@@ -134,12 +135,14 @@ def histogram(df: DataFrame, column: str, by: str, bins: int = 20) -> DataFrame:
 def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per group."""
     v = as_double(column)
-    base = df.select(col(by).alias("grp"), v.alias("value")).where(F.col("value").isNotNull())
+    # written, so that the passes below read two columns and none repeats the joins and sorts that make the table
+    base = materialised(df.select(col(by).alias("grp"), v.alias("value")).where(F.col("value").isNotNull()), "box-values")
     qs = bracket_quantiles(base, ["grp"], ["value"], [0.25, 0.5, 0.75]).select(
         F.col("grp").alias("_of"), "q_0", "q_1", "q_2",
         (F.col("q_0") - 1.5 * (F.col("q_2") - F.col("q_0"))).alias("_lf"),
         (F.col("q_2") + 1.5 * (F.col("q_2") - F.col("q_0"))).alias("_uf"))
-    # the few groups' quartiles are a local table, broadcast by its size; many groups join by shuffle
+    # a table of known size: few groups' quartiles are broadcast and no group's rows meet in a task; many groups join by shuffle
+    qs = materialised(qs, "box-quartiles")
     j = base.join(qs, base["grp"].eqNullSafe(qs["_of"])).drop("_of")
     inside = (F.col("value") >= F.col("_lf")) & (F.col("value") <= F.col("_uf"))
     return j.groupBy("grp", "q_0", "q_1", "q_2").agg(

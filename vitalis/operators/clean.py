@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalis.functions.columns import col, text_columns
+from vitalis.session import materialised
 
 # Fixed values that must equal the studied application's behaviour.
 IDENTIFIER_COLUMNS = ["SNO", "MRD No.", "D.O.A", "D.O.D", "month year", "Name", "ID", "Patient_ID"]
@@ -132,8 +133,10 @@ def fit_codebook(df: DataFrame, cols: list[str] | None = None, null_label: str |
     before = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (ranged.groupBy("column", "_part").agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
-    return (ranged.withColumn("_rank", F.row_number().over(local)).join(offsets, ["column", "_part"])
+    book = (ranged.withColumn("_rank", F.row_number().over(local)).join(offsets, ["column", "_part"])
             .select("column", "label", (F.col("_before") + F.col("_rank") - 1).cast("int").alias("code")))
+    # a table of known size: Spark broadcasts few labels, and the rows of a frequent label stay where they are
+    return materialised(book, "codebook")
 
 
 def code_of(df: DataFrame, book: DataFrame, cols: list[str], null_label: str | None = None,

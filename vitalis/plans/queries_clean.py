@@ -10,6 +10,7 @@ from vitalis.plans.catalog import register, rounded, with_ctes
 from vitalis.plans.fixtures import (
     DIRTY_EVENTS_SQL, ORDER_FEATURES, ORDER_LINES_SQL, dirty_events, order_lines,
 )
+from vitalis.session import materialised
 from vitalis.sources.tables import preview
 
 # --- shared oracle pieces -------------------------------------------------------
@@ -193,7 +194,7 @@ SELECT event_id, round(coalesce(raw_value, m_raw), 6) AS raw_value, round(coales
 FROM cleaned CROSS JOIN med""")
 def q_fill_medians(spark, sf):
     out, _ = _cleaned(spark, sf)
-    out = out.cache()
+    out = materialised(out, "cleaned")
     med = M.medians_dict(out, ["raw_value", "num_a"])  # one number per feature
     # num_b has no stored median -> filled with 0
     return rounded(M.fill_medians(out.select("event_id", "raw_value", "num_a", "num_b"),

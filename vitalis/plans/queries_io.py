@@ -13,7 +13,7 @@ from vitalis.plans.catalog import register, rounded, with_ctes
 from vitalis.plans.fixtures import DIRTY_EVENTS_SQL, dirty_events
 from vitalis.plans.queries_clean import COERCED_SQL, FILLED_SQL
 from vitalis.plans.queries_score import _SCORE_SQL, SCORE_FEATURES, scoring_package
-from vitalis.session import checkpoint_dir
+from vitalis.session import checkpoint_dir, materialised
 from vitalis.sources.tables import read_table, read_testdata, require_columns, write_clean_csv
 from vitalis.streaming import scoring as ST
 
@@ -46,7 +46,7 @@ SELECT CAST(event_id AS DOUBLE) AS event_id, round(coalesce(raw_value, m_raw), 6
 FROM cleaned CROSS JOIN med""")
 def q_csv_sink(spark, sf):
     cleaned, _ = C.clean(dirty_events(spark, sf))
-    cleaned = cleaned.cache()
+    cleaned = materialised(cleaned, "cleaned")
     med = M.medians_dict(cleaned, ["raw_value", "num_a", "num_b"])
     complete = M.fill_medians(cleaned, ["raw_value", "num_a", "num_b"], med)
     path = _scratch(spark, "clean-csv")

@@ -29,7 +29,7 @@ from vitalis.plans.fixtures import (
 )
 from vitalis.plans.queries_clean import COERCED_SQL, FILLED_SQL
 from vitalis.plans.queries_evaluate import AUC_BY_MODEL, COUNTS_BY_MODEL, rates_sql
-from vitalis.session import checkpoint_dir
+from vitalis.session import checkpoint_dir, materialised
 from vitalis.sources.packages import Package, active_info, load_package, promote, register_package, save_package
 
 # ============================ registry ===========================================
@@ -193,7 +193,7 @@ LINEAR = {"intercept": -0.5, "coefficients": {"raw_value": 0.8, "num_a": -0.4, "
 
 def scoring_package(spark, sf) -> Package:
     cleaned, book = C.clean(dirty_events(spark, sf))
-    cleaned = cleaned.cache()
+    cleaned = materialised(cleaned, "cleaned")
     med = M.medians_dict(cleaned, SCORE_FEATURES)
     sc = P.scaler_dict(P.fit_scaler(cleaned, SCORE_FEATURES))
     imp = {f: abs(v) for f, v in LINEAR["coefficients"].items()}
@@ -382,7 +382,7 @@ def q_promotion(spark, sf):
     """Register two packages, rank them, promote the worse and then the better one, score with what is active."""
     folder = os.path.join(checkpoint_dir(spark), f"registry-{uuid.uuid4().hex}")
     registry, table = os.path.join(folder, "registry"), dirty_events(spark, sf)
-    cleaned = C.clean(table)[0].cache()
+    cleaned = materialised(C.clean(table)[0], "cleaned")
     base = scoring_package(spark, sf)
     ranked = [r["model"] for r in G.leaderboard(_history(spark, sf).where(F.col("model").isin(list(_CANDIDATES)))).orderBy("rank").collect()]
     for name in reversed(ranked):

@@ -10,11 +10,12 @@ import numpy as np
 
 from vitalis.llm.bpe import Memo
 from vitalis.llm.textkit import worker_cache
-from vitalis.llm.tokens import BLOCK_CHARS, compiled, encode_distinct, split_special, word_bytes, word_hashes, words_of
+from vitalis.llm.tokens import compiled, encode_distinct, split_special, word_bytes, word_hashes, words_of
 
 ID_TYPE = np.uint16  # every id of the vocabulary is below 65 536 (checked when it is loaded)
 
 MOST_WORDS = 600_000
+BLOCK_CHARS = 4 << 20  # of texts at a time: the words new to a worker are encoded together, fewer and longer array steps
 
 
 class WordIds:

@@ -81,30 +81,35 @@ def _open_sums(held, seed: int, width: int, bins: int, classes: int, depth: int,
     """(unit, bytes): of every unit (tree, its open nodes from a to b) the classes by node, feature and bin."""
     def run(batches):
         trees, units = held.value
-        blocks = []
+        blocks, places = [], []
         for batch in batches:
             for block, n, x, y, w in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5)), strict=True):
                 x = np.frombuffer(x, np.uint8).reshape(width, n)
-                blocks.append((block, x, x.astype(np.int16) * classes + np.frombuffer(y, np.uint8), np.frombuffer(w, np.int64)))
+                blocks.append((block, x, np.frombuffer(w, np.int64)))
+                places.append(x.astype(np.int16) * classes + np.frombuffer(y, np.uint8))
+        if not blocks:
+            return
+        places = np.concatenate(places, axis=1)
         by_tree: dict[int, list] = {}
         for unit, (t, a, b) in enumerate(units):
             by_tree.setdefault(t, []).append((unit, a, b))
         for t, mine in by_tree.items():
             feature, cut, left = trees[t]
-            totals = [np.zeros((width, (b - a) * bins * classes)) for _, a, b in mine]
-            for block, x, places, w in blocks:
+            nodes, draws = [], []
+            for block, x, w in blocks:
                 if bootstrap:
                     w = np.random.default_rng([seed & 0xFFFFFFFF, t, block >> 32, block & 0xFFFFFFFF]).poisson(w)
                 flat, at = x.reshape(-1), np.arange(x.shape[1])
                 start, node = feature * x.shape[1], np.zeros(x.shape[1], np.int64)
                 for _ in range(depth):  # a node without a cut leads to itself
-                    node = left[node] + (flat[start[node] + at] > cut[node])
-                for (_, a, b), total in zip(mine, totals, strict=True):
-                    live = np.flatnonzero((w > 0) & (node >= a) & (node < b))
-                    base, many = (node[live] - a) * (bins * classes), w[live].astype(float)
-                    for f in range(width):
-                        total[f] += np.bincount(base + places[f, live], many, total.shape[1])
-            for (unit, _, _), total in zip(mine, totals, strict=True):
+                    node = left.take(node) + (flat.take(start.take(node) + at) > cut.take(node))
+                nodes.append(node)
+                draws.append(w)
+            node, w = np.concatenate(nodes), np.concatenate(draws)
+            for unit, a, b in mine:
+                live = np.flatnonzero((w > 0) & (node >= a) & (node < b))
+                base, many = (node[live] - a) * (bins * classes), w[live].astype(float)
+                total = np.stack([np.bincount(base + places[f].take(live), many, (b - a) * bins * classes) for f in range(width)])
                 if total.any():
                     yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([total.tobytes()], pa.binary())],
                                                      ["unit", "sums"])

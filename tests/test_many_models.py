@@ -113,3 +113,57 @@ def test_search_scores_are_those_of_single_fits(spark):
         assert recall == pytest.approx(np.mean(want), abs=1e-9)
     assert best == max(results, key=lambda r: r[1])[0]
     assert ML.predict(model, df, FEATURES).count() == 300
+
+
+def test_cuts_are_ranks(spark):
+    """Where a rank ends is found without ranking; between rows of one key it is not."""
+    from vitalis.functions.ranking import hash_rank, rank_cuts
+
+    df = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).alias("id"), (F.col("id") % 3).alias("g"))
+    df = df.withColumn("u", ML.unit_hash(F.when(F.col("id") != "k7", F.col("id")), 42, "x")).withColumn(
+        "id", F.when(F.col("id") != "k7", F.col("id")))
+    sets = [F.col("g") == 0, F.col("g") != 1]
+    sizes, cuts = rank_cuts(df, sets, "u", "id", lambda n: [[0, 1, 500, n[0]], [3, 1999, n[1] + 5]])
+    assert sizes == [1000, 2000]
+    for s, of in zip(sets, cuts, strict=True):
+        ranked = hash_rank(df.where(s), [], "u", "r", tie="id")
+        for cut in of:
+            want = {r.id for r in ranked.where(F.col("r") <= cut.rank).collect()}
+            assert {r.id for r in df.where(s & cut.holds(F.col("u"), F.col("id"))).collect()} == want
+    twice = df.unionByName(df)
+    assert rank_cuts(twice, sets[:1], "u", "id", lambda n: [[501]])[1] is None
+    assert rank_cuts(twice, sets[:1], "u", "id", lambda n: [[502]])[1] is not None
+
+
+def test_split_and_curve_do_not_rank(spark, monkeypatch):
+    """Halves and sizes come from comparing rows with a cut; rows of one key are still parted by rank."""
+    import vitalis.operators.prep as P
+
+    used = []
+    keep = P.hash_rank
+    monkeypatch.setattr(P, "hash_rank", lambda *a, **k: used.append(a[1]) or keep(*a, **k))
+    df = spark.range(1000).select(F.concat(F.lit("k"), F.col("id")).alias("id"), F.col("id").cast("double").alias("x.y"),
+                                  (F.col("id") % 4 == 0).cast("int").alias("y"))
+    train, test = P.stratified_split(df, "id", "y", 0.25)
+    assert not used
+    assert {r.y: r["count"] for r in test.groupBy("y").count().collect()} == {0: 188, 1: 63}
+    assert train.count() == 749 and sorted(train.columns) == ["id", "x.y", "y"]
+    ranked = keep(P._with_fraction(df, "id", "y", 0.25, 42), ["y"], P.U, "r", tie="id")
+    want = {r.id for r in ranked.where("r <= CASE y WHEN 0 THEN 188 ELSE 63 END").collect()}
+    assert {r.id for r in test.collect()} == want
+    twice = df.withColumn("id", F.lit("same"))
+    assert P.split_flags(twice, "id", "y", 0.25).where("is_test").count() == 251 and used
+    used.clear()
+    curve = ML.learning_curve("logreg", df, ["x.y"], "y", "id", cv=3, sizes=3)
+    assert len(used) == 1 and curve.count() == 3  # the folds, nothing else
+
+
+def test_shuffles_are_dropped(spark):
+    from vitalis.session import CLEANUP, materialised
+
+    before = spark.conf.get(CLEANUP)
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    had = tracker.shuffleStatuses().size()
+    kept = materialised(spark.range(5000).repartition(3).groupBy((F.col("id") % 7).alias("g")).count(), "t")
+    assert tracker.shuffleStatuses().size() <= had and spark.conf.get(CLEANUP) == before
+    assert kept.count() == 7

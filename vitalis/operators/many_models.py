@@ -284,22 +284,27 @@ def curve_rows(df: DataFrame, features: list[str], label: str, key: str, fold: s
                c: float) -> list[tuple[int, float, int, float, float]]:
     """(fold, fraction, rows, training accuracy, validation accuracy) of every fold and size of a learning curve.
 
-    A size is the rows of the training folds with the smallest ``u``. All folds' ranks
-    come from one prefix pass with a weight for each fold.
+    A size is the rows of the training folds with the smallest (``u``, ``key``). No row is ranked: where a size
+    ends is found by counting, and rows are compared with it - hand in a written or cached table.
     """
-    from vitalis.functions.ranking import prefix_sums
+    from vitalis.functions.ranking import prefix_sums, rank_cuts
     from vitalis.session import materialised
 
     if cv * len(fractions) > MOST_MODELS:
         raise ValueError(f"at most {MOST_MODELS} fits in one curve")
-    ranked = prefix_sums(df.select(col(key), col(label), *map(col, features), col(fold), col(u),
-                                   *[(col(fold) != f).cast("long").alias(f"_w{f}") for f in range(cv)]),
-                         [], u, [f"_w{f}" for f in range(cv)], uniform_unit=True, tie=key)
-    sizes = ranked.agg(*[F.sum(f"_w{f}").alias(f"n{f}") for f in range(cv)]).first()
-    specs = [(f, share, int(share * (sizes[f"n{f}"] or 0))) for f in range(cv) for share in fractions]
-    train = mask_of([(col(fold) != f) & (F.col(f"_w{f}_before") < take) for f, _, take in specs])
+    sets = [col(fold) != f for f in range(cv)]
+    sizes, cuts = rank_cuts(df, sets, u, key, lambda n: [[int(share * n[f]) for share in fractions] for f in range(cv)])
+    specs = [(f, share, int(share * sizes[f])) for f in range(cv) for share in fractions]
     test = mask_of([col(fold) == f for f, _, _ in specs])
-    table = materialised(as_table(ranked, features, label, train, test), "curve")
+    if cuts is not None:
+        train = mask_of([sets[f] & cut.holds(col(u), col(key)) for f in range(cv) for cut in cuts[f]])
+        ranked = df
+    else:  # a size ends between rows of one key: all folds' ranks from one prefix pass with a weight for each fold
+        ranked = prefix_sums(df.select(col(key), col(label), *map(col, features), col(fold), col(u),
+                                       *[s.cast("long").alias(f"_w{f}") for f, s in enumerate(sets)]),
+                             [], u, [f"_w{f}" for f in range(cv)], uniform_unit=True, tie=key)
+        train = mask_of([(col(fold) != f) & (F.col(f"_w{f}_before") < take) for f, _, take in specs])
+    table = materialised(as_table(ranked, features, label, train, test), "curve", "zstd")
     xs = [f"x{i}" for i in range(len(features))]
     fitted = fit_many(table.select("mask", "y", *xs), len(features), [c] * len(specs))
     seen = judge_many(table.select("mask", "y", *xs), len(features), fitted)

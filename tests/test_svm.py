@@ -104,3 +104,24 @@ def test_map_inside_the_tasks_is_the_pipelines(spark, kernel):
                    (ML.maclaurin_transformer(FEATURES, 0.7, 3, 30, 5), ML.maclaurin_features(2, 0.7, 3, 30, 5)))
     want = np.array([[r[f"_{'rff' if kernel == 'rbf' else 'map'}{j}"] for j in range(30)] for r in stage.transform(df).collect()])
     assert made(x) == pytest.approx(want, abs=1e-12)
+
+
+def test_a_thin_hessian_leads_to_the_same_machine(spark, monkeypatch):
+    """Of many rows a wide Hessian is estimated on a part; loss and gradient are of all rows, so the minimum is the same."""
+    from vitalis.operators import many_models as MM
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 2))
+    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=3000) > 0).astype(float)
+    df = spark.createDataFrame([(1, float(b), *map(float, a)) for a, b in zip(x, y, strict=True)],
+                               "mask long, y double, x0 double, x1 double").repartition(2).cache()
+    args = dict(tolerance=1e-12, losses=MM.hinge_loss, features=ML.rff_features(2, 0.5, 20), mapped=20, most_curvature=2.0)
+    whole, = MM.fit_many(df, 2, [1.0], **args)
+    picked = []
+    keep = MM._sums
+    monkeypatch.setattr(MM, "_sums", lambda *a: picked.append(a[5]) or keep(*a))
+    monkeypatch.setattr(MM, "CURVED", 1000)
+    thin, = MM.fit_many(df, 2, [1.0], rows=3000, **args)
+    assert set(picked) == {3} and thin.converged and thin.n == whole.n == 3000
+    assert thin.coefficients == pytest.approx(whole.coefficients, abs=1e-4)
+    df.unpersist()
